@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .packing import op10_packing
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
