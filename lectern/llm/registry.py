@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .packing import op10_packing
+from .simhash import op2_simhash
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
     "op10_packing": op10_packing,
 }
