@@ -5,10 +5,12 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .packing import op10_packing
 from .simhash import op2_simhash
+from .substrings import op6_suffix_array
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op6_suffix_array": op6_suffix_array,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
