@@ -33,6 +33,8 @@ PARTS = ((0, 22), (22, 21), (43, 21))
 CODED = 15
 #: Homes in one share of an anchor at most, on average.
 SHARE = 512
+#: Pairs that a task compares at a time.
+BLOCK = 1 << 16
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -110,8 +112,8 @@ def at_anchors(fps: DataFrame, home: bool) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for a in range(0, len(b), 2048):
-                yield _replicate(b["fp"].to_numpy(np.int64)[a : a + 2048], home)
+            for a in range(0, len(b), 512):
+                yield _replicate(b["fp"].to_numpy(np.int64)[a : a + 512], home)
 
     return fps.select("fp").mapInPandas(run, "anchor long, fp long")
 
@@ -144,7 +146,7 @@ def near_pairs(home: np.ndarray, first: np.ndarray, last: np.ndarray, visitor: n
     ends = np.cumsum(width)
     a = 0
     while a < len(visitor):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
         w = width[a:b]
         row = np.repeat(np.arange(a, b), w)
         at = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(first[a:b], w)
