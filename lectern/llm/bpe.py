@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import os
+import shutil
 import tempfile
 import unicodedata
 
@@ -169,10 +170,16 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def _encoder(vocabulary: str | None, key: str, parts: dict[str, np.ndarray]) -> Encoder:
-    """The worker's encoder; the lexicon's files lie in the machine's temporary folder, written once for each worker."""
+    """The worker's encoder; the lexicon's files lie in the executor's temporary folder, written once, mapped by all its workers."""
     if (vocabulary, key) not in _ENCODERS:
-        folder = os.path.join(tempfile.mkdtemp(prefix="lexicon-"))
-        save(parts, folder)
+        folder = os.path.join(tempfile.gettempdir(), f"lexicon-{key[:32]}")
+        if not os.path.isdir(folder):
+            own = tempfile.mkdtemp(prefix="lexicon-")
+            save(parts, own)
+            try:
+                os.rename(own, folder)
+            except OSError:  # another worker was first
+                shutil.rmtree(own)
         _ENCODERS.clear()
         _ENCODERS[vocabulary, key] = Encoder(WordBpe(vocabulary or default_vocabulary()), Lexicon(folder))
     return _ENCODERS[vocabulary, key]
