@@ -1,8 +1,8 @@
 """Encoding and decoding of whole texts under a word-level BPE vocabulary.
 
 Frequent words, counted over all texts, are compiled with their ids into a minimal acyclic transducer
-(``lexicon``) on the driver; its size is bounded by ``LEXICON_WORDS``. Tasks write it to a local file once and
-memory-map it. Words that it doesn't hold are merged exactly, lowest rank first. What a text's blanks divide is
+(``lexicon``) on the driver; its size is bounded by ``LEXICON_WORDS``. Workers write it to local files and map
+them into memory. Words that it doesn't hold are merged exactly, lowest rank first. What a text's blanks divide is
 encoded apart from its neighbours, so each worker keeps the pieces it has met (bounded, results unaffected).
 """
 
@@ -11,10 +11,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
-import shutil
 import tempfile
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +26,9 @@ from .lexicon import Lexicon, compile_lexicon, save
 from .tokens import byte_alphabet
 
 #: Words in the transducer at most.
-LEXICON_WORDS = 40_000
-#: Pieces a worker keeps; beyond that it starts anew.
-KEPT_PIECES = 200_000
+LEXICON_WORDS = 150_000
+#: Pieces and words whose results a worker keeps. They bound its memory; others are worked out each time.
+KEPT_PIECES, KEPT_WORDS = 200_000, 100_000
 #: The vocabulary's pre-tokenizer pattern (fixed value), with white space as the library's engine has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -54,7 +53,7 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.by_id = {i: t for t, i in (self.vocab | self.special).items()}
-        self.stand_in = {b: c for c, b in byte_alphabet().items()}
+        self.stand_in = {b: c for c, b in byte_alphabet().items()}  # for str.translate
         self.pattern = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -71,21 +70,21 @@ class WordBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: its bytes, the last with the end mark, merged by rank, leftmost first."""
-        parts = [self.stand_in[b] for b in word]
+        parts = [*word.decode("latin-1").translate(self.stand_in)]
         parts[-1] += self.suffix
-        if (whole := self.vocab.get("".join(parts))) is not None and len(parts) == 1:
-            return [whole]
         if len(parts) > 64:
             parts = self._merge_long(parts)
         else:
-            ranks, none = self.ranks, len(self.ranks)
-            while len(parts) > 1:
-                found = [ranks.get(p, none) for p in zip(parts, parts[1:])]
-                best = min(found)
-                if best == none:
-                    break
-                i = found.index(best)
+            get, none = self.ranks.get, len(self.ranks)
+            ranks = [get(p, none) for p in zip(parts, parts[1:])]
+            while ranks and (best := min(ranks)) != none:
+                i = ranks.index(best)
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+                if i < len(ranks):
+                    ranks[i] = get((parts[i], parts[i + 1]), none)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -115,40 +114,53 @@ class WordBpe:
 
 
 class Encoder:
-    """Encodes texts; words come from the lexicon if it has them."""
+    """Encodes texts; words come from the lexicon if it has them. A result is (little-endian 32-bit ids, decoded UTF-8)."""
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon | None):
         self.bpe, self.lexicon = bpe, lexicon
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
 
-    def learn(self, pieces: list[str]) -> None:
-        """Ids and decoded bytes of pieces not met before."""
-        bpe = self.bpe
-        split = [bpe.words(p) for p in pieces]
-        words = list({w for s in split for w in s})
+    def word_results(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The results of words that aren't kept: the lexicon's, or merged."""
+        bpe, tokens = self.bpe, self.bpe.by_id
         data = [w.encode("utf-8", "surrogatepass") for w in words]
-        found = self.lexicon.numbers(data) if self.lexicon else np.full(len(words), -1)
-        ids = {w: self.lexicon.output(n).tolist() if n >= 0 else bpe.merge(b) for w, b, n in zip(words, data, found.tolist())}
-        for piece, parts in zip(pieces, split):
-            own = [i for w in parts for i in ids[w]]
-            self.pieces[piece] = np.array(own, "<u4").tobytes(), bpe.decode(own).encode()
+        found = self.lexicon.numbers(data).tolist() if self.lexicon else [-1] * len(words)
+        out = {}
+        for w, b, n in zip(words, data, found):
+            ids = self.lexicon.output(n) if n >= 0 else bpe.merge(b)
+            out[w] = array("I", ids).tobytes(), " ".join([tokens[i] for i in ids]).encode()
+        if len(self.words) < KEPT_WORDS:
+            self.words |= out
+        return out
+
+    def piece_results(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The results of pieces that aren't kept."""
+        split = self.bpe.words
+        parts = {p: ([low] if p.isascii() and (low := p.lower()).isalpha() else split(p)) for p in pieces}
+        new = set().union(*parts.values()) - self.words.keys()
+        known, new = self.words, self.word_results([*new])
+        out = {}
+        for piece, words in parts.items():
+            done = [known.get(w) or new[w] for w in words]
+            out[piece] = done[0] if len(done) == 1 else (b"".join([d[0] for d in done]), b" ".join([d[1] for d in done if d[0]]))
+        if len(self.pieces) < KEPT_PIECES:
+            self.pieces |= out
+        return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Little-endian 32-bit ids and decoded text (UTF-8) of each text."""
+        """The result of each text."""
         divided = []
         for text in texts:
             runs = self.bpe.cut.split(text) if self.bpe.cut and "<|" in text else [text]
             divided.append([r if i % 2 else r.split(" ") for i, r in enumerate(runs)])
-        unknown = set().union(*(r for runs in divided for r in runs if isinstance(r, list))) - self.pieces.keys()
-        if len(self.pieces) + len(unknown) > KEPT_PIECES and self.pieces:
-            self.pieces.clear()
-            unknown = set().union(*(r for runs in divided for r in runs if isinstance(r, list)))
-        self.learn(list(unknown))
-        get, special, out = self.pieces.__getitem__, self.bpe.special, []
+        known = self.pieces
+        new = self.piece_results(set().union(*(r for runs in divided for r in runs if isinstance(r, list))) - known.keys())
+        special, out = self.bpe.special, []
         for runs in divided:
             found = []
             for r in runs:
-                found += map(get, r) if isinstance(r, list) else [(special[r].to_bytes(4, "little"), r.encode())]
+                found += [known.get(p) or new[p] for p in r] if isinstance(r, list) else [(special[r].to_bytes(4, "little"), r.encode())]
             out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[0]])))
         return out
 
@@ -170,18 +182,13 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def _encoder(vocabulary: str | None, key: str, parts: dict[str, np.ndarray]) -> Encoder:
-    """The worker's encoder; the lexicon's files lie in the executor's temporary folder, written once, mapped by all its workers."""
+    """The worker's encoder; the lexicon's files lie in its temporary folder until they are mapped."""
     if (vocabulary, key) not in _ENCODERS:
-        folder = os.path.join(tempfile.gettempdir(), f"lexicon-{key[:32]}")
-        if not os.path.isdir(folder):
-            own = tempfile.mkdtemp(prefix="lexicon-")
-            save(parts, own)
-            try:
-                os.rename(own, folder)
-            except OSError:  # another worker was first
-                shutil.rmtree(own)
+        with tempfile.TemporaryDirectory(prefix="lexicon-") as folder:
+            save(parts, folder)
+            lexicon = Lexicon(folder)  # the mappings outlive the files' names
         _ENCODERS.clear()
-        _ENCODERS[vocabulary, key] = Encoder(WordBpe(vocabulary or default_vocabulary()), Lexicon(folder))
+        _ENCODERS[vocabulary, key] = Encoder(WordBpe(vocabulary or default_vocabulary()), lexicon)
     return _ENCODERS[vocabulary, key]
 
 

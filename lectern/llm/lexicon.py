@@ -92,7 +92,8 @@ class Lexicon:
     """Looks up many words at once, each step of the walk for all of them together."""
 
     def __init__(self, folder: str):
-        self.__dict__ |= {n: np.load(Path(folder) / f"{n}.npy", mmap_mode="r") for n in PARTS}
+        parts = {n: np.load(Path(folder) / f"{n}.npy", mmap_mode="r") for n in PARTS}
+        self.keys, self.targets, self.skips, self.final, self.starts, self.ids = (parts[n].view(np.ndarray) for n in PARTS)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Each word's number, or -1 where the automaton doesn't hold it."""
@@ -121,6 +122,6 @@ class Lexicon:
         out[ended] = number[ended]
         return out
 
-    def output(self, number: int) -> np.ndarray:
+    def output(self, number: int) -> list[int]:
         """The ids of word ``number``."""
-        return self.ids[self.starts[number] : self.starts[number + 1]]
+        return self.ids[self.starts[number] : self.starts[number + 1]].tolist()

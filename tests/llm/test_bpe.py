@@ -23,7 +23,7 @@ def test_lexicon_finds_its_words_only(tmp_path):
     lex = Lexicon(tmp_path)
     probes = [*words, b"", b"zz", *(w + b"x" for w in words), *(w[:-1] for w in words)]
     for w, n in zip(probes, lex.numbers(probes)):
-        assert (lex.output(n).tolist() if n >= 0 else None) == words.get(w)
+        assert (lex.output(n) if n >= 0 else None) == words.get(w)
 
 
 def test_lexicon_shares_suffixes():
