@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .language import op3_language
 from .packing import op10_packing
 from .simhash import op2_simhash
 from .substrings import op6_suffix_array
@@ -10,6 +11,7 @@ from .substrings import op6_suffix_array
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op3_language": op3_language,
     "op6_suffix_array": op6_suffix_array,
     "op10_packing": op10_packing,
 }
