@@ -7,12 +7,14 @@ from .language import op3_language
 from .packing import op10_packing
 from .simhash import op2_simhash
 from .substrings import op6_suffix_array
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
     "op3_language": op3_language,
     "op6_suffix_array": op6_suffix_array,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
