@@ -8,6 +8,7 @@ encoded apart from its neighbours, so each worker keeps the pieces it has met (b
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -149,7 +150,14 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """The result of each text."""
+        """The result of each text. The many small results hold no cycles, so the collector would only walk through them."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         divided = []
         for text in texts:
             runs = self.bpe.cut.split(text) if self.bpe.cut and "<|" in text else [text]
@@ -157,11 +165,14 @@ class Encoder:
         known = self.pieces
         new = self.piece_results(set().union(*(r for runs in divided for r in runs if isinstance(r, list))) - known.keys())
         special, out = self.bpe.special, []
+        get = known.get
         for runs in divided:
             found = []
             for r in runs:
-                found += [known.get(p) or new[p] for p in r] if isinstance(r, list) else [(special[r].to_bytes(4, "little"), r.encode())]
-            out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[0]])))
+                found += [get(p) or new[p] for p in r] if isinstance(r, list) else [(special[r].to_bytes(4, "little"), r.encode())]
+            found = [f for f in found if f[0]]
+            ids, decoded = zip(*found) if found else ((), ())
+            out.append((b"".join(ids), b" ".join(decoded)))
         return out
 
 
@@ -204,7 +215,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, lexicon_wor
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         done = _encoder(vocabulary, key, shared.value).encode(texts_of(batch, "text"))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1].decode("utf-8", "replace") for d in done], pa.string())], ["doc_id", "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "doc_id long, ids binary, decoded string", work)
 
