@@ -185,6 +185,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cr
     """doc_id, sig, runs (array of struct a, b): starts a..b-1 of the windows of each text that also start anywhere else."""
     found = all_stretches(docs, length, gram)
     often = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") < F.max("context")).alias("mixed")).where("n > 1").select("anchor", "mixed")
+    # stored, so that both sides of the join are dealt anew and a very frequent anchor's rows can be split
+    often = stored(often, "often")
     found = stored(found.join(often, "anchor"), "stretches")
 
     mixed = found.where("mixed")
