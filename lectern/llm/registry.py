@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .language import op3_language
 from .packing import op10_packing
+from .pages import op5_html
 from .quality import op8_quality
 from .simhash import op2_simhash
 from .substrings import op6_suffix_array
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
     "op3_language": op3_language,
+    "op5_html": op5_html,
     "op6_suffix_array": op6_suffix_array,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
