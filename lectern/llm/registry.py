@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .language import op3_language
 from .packing import op10_packing
 from .pages import op5_html
+from .pii import op7_pii
 from .quality import op8_quality
 from .simhash import op2_simhash
 from .substrings import op6_suffix_array
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op5_html": op5_html,
     "op6_suffix_array": op6_suffix_array,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
