@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .fingerprints import op1_fingerprints
 from .language import op3_language
 from .packing import op10_packing
 from .pages import op5_html
@@ -13,6 +14,7 @@ from .substrings import op6_suffix_array
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
     "op3_language": op3_language,
