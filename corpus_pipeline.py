@@ -1,11 +1,83 @@
-"""The corpus pipeline; stages follow as their operators do."""
+"""The corpus pipeline: language, near duplicates, repeated passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. SQL
+can't express the stages, so there is no oracle; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm.common import checkpointing, sized, stored
+from lectern.llm.language import UNDETERMINED, predict_language, train_language
+from lectern.llm.packing import pack_documents
+from lectern.llm.pii import find_personal, sanitised
+from lectern.llm.simhash import near_duplicates
+from lectern.llm.substrings import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents of a lower score are in no language that the model knows.
+LEAST_SCORE = 0.35
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Documents through all stages."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a known language; those without a letter or with an unsure prediction go."""
+    rows = predict_language(docs.select(*COLUMNS), *train_language(docs))
+    return rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id in each group of near duplicates; of rows that share it, one."""
+    checkpointing(spark)
+    groups = stored(near_duplicates(docs), "groups")
+    kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur again anywhere; a document of which nothing stays goes.
+
+    Bytes of a character that a cut has split are left out.
+    """
+    rows = remove_repeats(docs, carry=("lang", "source"))
+    text = F.try_validate_utf8(F.col("kept").cast("string"))
+    broken = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    rows = rows.select("doc_id", F.coalesce(text, broken).alias("text"), "lang", "source", F.size("spans").alias("cuts"))
+    return rows.where((F.col("cuts") == 0) | F.rlike("text", F.lit(r"\S"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in which personal data is replaced by its kind, and terms that disclose it are generalised or removed."""
+    found = find_personal(docs).where("size(base) + size(terms) > 0").distinct()
+    found = sized(stored(found, "personal").withColumnsRenamed({"doc_id": "p_doc", "sig": "p_sig"}), 100_000)
+    filled = docs.select(*COLUMNS).withColumn("sig", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = filled.join(found, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("sig") == F.col("p_sig")), "left")
+    text = F.when(F.col("p_doc").isNull() & F.col("base").isNull(), F.col("text")).otherwise(sanitised(F.col("text"), F.col("base"), F.col("terms")))
+    return rows.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("repeats", repeats),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through all stages; what a stage returns is stored and read again for the next."""
+    checkpointing(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

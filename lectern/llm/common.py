@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes apart at a time, unless one text is longer.
 SLICE_BYTES = 4 << 20
@@ -36,6 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``keys``, which are stored, marked for sending to all tasks if there are no more than ``most``; beyond that joins deal them out."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``most`` bytes in each (a longer text comes alone)."""
     for batch in batches:

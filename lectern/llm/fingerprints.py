@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointing, stored
+from .common import checkpointing, sized, stored
 
 #: Documents that lie next to each other share a task if their doc_id agrees but for this many low bits.
 NEIGHBOUR_BITS = 6
 #: The same for the groups themselves, to bring them in order.
 GROUP_BITS = 16
-#: Keys are sent to all tasks if there are no more than these; else both sides of a join are dealt by key.
-SENT_KEYS = 1_000_000
 
 
 def canonical(text: Column) -> Column:
@@ -61,15 +59,10 @@ def following(ids: DataFrame) -> DataFrame:
     return inner.join(firsts, "stretch").select("quotient", F.coalesce("next", "after").alias("next"))
 
 
-def _sized(keys: DataFrame) -> DataFrame:
-    """``keys``, which are stored, marked for sending to all tasks if there are few."""
-    return F.broadcast(keys) if keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS else keys
-
-
 def _ranks(made: DataFrame) -> DataFrame:
     """The ranks of texts whose digests collide; ``made`` has digest and text. Only texts of repeated digests are dealt out."""
     often = stored(made.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digests")
-    shared = made.select("digest", "text").join(_sized(often), "digest", "left_semi").select("digest", canonical(F.col("text")).alias("canonical"))
+    shared = made.select("digest", "text").join(sized(often), "digest", "left_semi").select("digest", canonical(F.col("text")).alias("canonical"))
     return stored(collisions(shared), "collisions")
 
 
@@ -77,7 +70,7 @@ def _named(rows: DataFrame, ranks: DataFrame, digest_column: str, canonical_colu
     """``rows`` with the fingerprint ``name``: the digest, and the rank if another text has the same."""
     if ranks.isEmpty():
         return rows.withColumn(name, F.col(digest_column))
-    own = _sized(ranks.withColumnsRenamed({"digest": "d__", "canonical": "c__", "rank": "r__"}))
+    own = sized(ranks.withColumnsRenamed({"digest": "d__", "canonical": "c__", "rank": "r__"}))
     joined = rows.join(own, (F.col(digest_column) == F.col("d__")) & (F.col(canonical_column) == F.col("c__")), "left")
     return joined.withColumn(name, F.concat(digest_column, F.coalesce(F.concat(F.lit("-"), F.col("r__").cast("string")), F.lit("")))).drop("d__", "c__", "r__")
 
@@ -121,7 +114,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     order = stored(following(own), "order")
     ends = order.agg(F.min("quotient").alias("first_quotient"))
     firsts = stored(own.groupBy("quotient").agg(F.min("key").alias("key")), "firsts")
-    heads = own.join(_sized(firsts), ["quotient", "key"]).groupBy("quotient").agg(F.min("text").alias("head"))
+    heads = own.join(sized(firsts), ["quotient", "key"]).groupBy("quotient").agg(F.min("text").alias("head"))
     heads = heads.withColumnRenamed("quotient", "next")
     tails = order.crossJoin(F.broadcast(ends)).select("quotient", F.coalesce("next", "first_quotient").alias("next")).join(heads, "next").select("quotient", "head")
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointing, map_texts, stored
 from .suffixes import permuted_common_prefixes, suffix_array
@@ -221,12 +222,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cr
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and sig, which with doc_id tells the texts apart."""
+    """``docs`` with sig, which with doc_id tells the texts apart."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([_signature(d) for d in _bytes_of(batch)], pa.int64())], ["doc_id", "text", "sig"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([_signature(d) for d in _bytes_of(batch)], pa.int64())], [*batch.schema.names, "sig"])
 
-    return map_texts(docs, "text", "doc_id long, text string, sig long", work)
+    return map_texts(docs, "text", T.StructType([*docs.schema.fields, T.StructField("sig", T.LongType())]), work)
 
 
 def removed_spans(runs: list[dict], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -241,18 +242,18 @@ def removed_spans(runs: list[dict], length: int = LENGTH) -> list[tuple[int, int
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc_id, kept (binary), spans (array of struct a, b: bytes removed) and n_bytes of every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``carry``, kept (binary), spans (array of struct a, b: bytes removed) and n_bytes of every row of ``docs`` (doc_id, text).
 
     A byte goes if a ``length``-byte string that covers it starts anywhere else too, in the same text or another. Null
     texts are empty; texts shorter than ``length`` stay whole; repeated rows are occurrences like others; other
     columns aren't read; an empty table gives no rows. ``kept`` may end within a character: it is bytes.
     """
     checkpointing(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    runs = repeated_windows(docs, length, gram, crowd)
-    texts = signed(docs)
-    whole = texts.join(runs, texts.doc_id.eqNullSafe(runs.doc_id) & (texts.sig == runs.sig), "left").select(texts.doc_id, "text", "runs")
+    all_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
+    runs = repeated_windows(all_.select("doc_id", "text"), length, gram, crowd)
+    texts = signed(all_)
+    whole = texts.join(runs, texts.doc_id.eqNullSafe(runs.doc_id) & (texts.sig == runs.sig), "left").select(texts.doc_id, *carry, "text", "runs")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, spans, sizes = [], [], []
@@ -265,9 +266,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
             kept.append(b"".join([*parts, data[at:]]))
             spans.append([{"a": a, "b": b} for a, b in cut])
             sizes.append(len(data))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(sizes, pa.int64())], ["doc_id", "kept", "spans", "n_bytes"])
+        first = [batch.column(i) for i in range(1 + len(carry))]
+        return pa.RecordBatch.from_arrays([*first, pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(sizes, pa.int64())], ["doc_id", *carry, "kept", "spans", "n_bytes"])
 
-    return map_texts(whole, "text", "doc_id long, kept binary, spans array<struct<a:int,b:int>>, n_bytes long", work)
+    span = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
+    made = [T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(span)), T.StructField("n_bytes", T.LongType())]
+    return map_texts(whole, "text", T.StructType([*whole.schema.fields[: 1 + len(carry)], *made]), work)
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
