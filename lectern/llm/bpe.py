@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, texts_of
+from .common import checkpointing, map_texts, stored, texts_of
 from .lexicon import Lexicon, compile_lexicon, save
 from .tokens import byte_alphabet
 
@@ -177,9 +177,19 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
-    """The most frequent words of all texts; which ones are taken changes speed, never ids."""
+    """The most frequent words of all texts, ``most`` at most; which ones are taken changes speed, never ids.
+
+    How many words have which count tells the least count to take, so that no task ranks them all.
+    """
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    return docs.select(words.alias("word")).where("word <> ''").groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
+    counts = stored(docs.select(words.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where("n > 2"), "words")
+    left, least = most, 3
+    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        left, least = left - row.words, row.n
+        if left < 0:
+            least += 1
+            break
+    return counts.where(F.col("n") >= least)
 
 
 def frequent_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> dict[str, np.ndarray]:
@@ -209,6 +219,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, lexicon_wor
     Null texts are empty and have no ids. Repeated rows come out repeated; other columns aren't read; an
     empty table gives no rows. ``vocabulary`` is the path of the file on all machines; default: the public one.
     """
+    checkpointing(docs.sparkSession)
     parts = frequent_lexicon(docs, vocabulary or default_vocabulary(), lexicon_words)
     shared = docs.sparkSession.sparkContext.broadcast(parts)
     key = hashlib.sha256(b"".join(parts[n].tobytes() for n in sorted(parts))).hexdigest()
