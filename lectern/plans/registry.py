@@ -1,6 +1,8 @@
-"""All queries of the library by name, and their SQL."""
+"""All queries of the library by name, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import analytics, chat, retrieval, text
+
+QUERIES = {**chat.QUERIES, **text.QUERIES, **retrieval.QUERIES, **analytics.QUERIES}
+ORACLES = {**chat.ORACLES, **text.ORACLES, **retrieval.ORACLES, **analytics.ORACLES}
