@@ -55,7 +55,7 @@ def lecture_notes(chunks: DataFrame, most: int = 6) -> DataFrame:
 
 def paginate(texts: DataFrame, width: int = 90, lines: int = 50) -> DataFrame:
     """doc_id, page, line_no, line: texts wrapped between words at ``width`` characters, ``lines`` to a page."""
-    flat = F.regexp_replace(F.col("text"), rf"([^\n]{{1,{width}}})(?:[ \t]+|(?=\n)|$)", "$1\n")
+    flat = F.regexp_replace(F.col("text"), rf"([^\n]{{1,{width}}})(?:[ \t]*\n|[ \t]+|$)|([^\n]{{{width}}})", "$1$2\n")
     rows = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace(flat, r"\n+$", ""), "\n")).alias("line_no", "line"))
     return rows.select("doc_id", (F.floor(F.col("line_no") / lines) + 1).cast("int").alias("page"), F.col("line_no").cast("int"), "line")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,25 +45,25 @@ PENDING = "msg_id long, session_id string, pending string, reply string"
 def stream_pending_images(messages: DataFrame) -> DataFrame:
     """Messages that answer an unclear image request right before them, on a stream of (msg_id, session_id, ord, text, unclear).
 
-    A session's state is its last message if that was unclear; it is forgotten after an hour of silence.
+    A session's state is its last message if that was unclear, else nothing.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        waiting = json.loads(state.get[0]) if state.exists else None
+        waiting = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["ord", "msg_id"])
         out = []
         for r in rows.itertuples():
             if waiting is not None:
                 out.append((r.msg_id, key[0], waiting, r.text))
             waiting = r.text if r.unclear else None
-        state.update((json.dumps(waiting),))
-        state.setTimeoutDuration(3_600_000)
+        if waiting is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((waiting,))
         yield pd.DataFrame(out, columns=["msg_id", "session_id", "pending", "reply"])
 
-    return messages.groupBy("session_id").applyInPandasWithState(step, PENDING, "waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("session_id").applyInPandasWithState(step, PENDING, "waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_latest(events: DataFrame, key: str, order: str) -> DataFrame:
