@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import contains_any, stripped, text_of
+from .scalars import bound, contains_any, stripped, text_of
 
 # The signals of each class of message.
 MATH_SIGNALS = ("solve", "integrate", "integral", "differentiate", "derivative", "evaluate", "calculate", "simplify", "∫", "∑", "√")
@@ -61,9 +61,11 @@ def _low(message: Column) -> Column:
 
 
 def is_math(message: Column) -> Column:
-    low = F.lower(text_of(message))
-    signs = sum((F.contains(low, F.lit(c)).cast("int") for c in "∫∑√^="), F.lit(0))
-    return contains_any(low, MATH_SIGNALS) | F.rlike(low, F.lit(ARITHMETIC)) | (signs >= 2)
+    def signs(low: Column) -> Column:
+        kinds = sum((F.contains(low, F.lit(c)).cast("int") for c in "∫∑√^="), F.lit(0))
+        return contains_any(low, MATH_SIGNALS) | F.rlike(low, F.lit(ARITHMETIC)) | (kinds >= 2)
+
+    return bound(F.lower(text_of(message)), signs)
 
 
 def is_reasoning(message: Column) -> Column:

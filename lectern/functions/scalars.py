@@ -37,11 +37,13 @@ def collapsed(value: Column) -> Column:
 
 
 def contains_any(value: Column, parts: tuple[str, ...]) -> Column:
-    """Whether one of ``parts`` occurs in ``value``."""
-    found = F.contains(value, F.lit(parts[0]))
-    for p in parts[1:]:
-        found = found | F.contains(value, F.lit(p))
-    return found
+    """Whether one of ``parts`` occurs in ``value``, which is worked out once for all of them."""
+    return F.rlike(value, F.lit("|".join(rf"\Q{p}\E" for p in parts)))
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def normal_email(value: Column) -> Column:

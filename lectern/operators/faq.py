@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.scalars import contains_any, stripped, text_of
+from lectern.functions.scalars import bound, contains_any, stripped, text_of
 
 #: The assistant that the bank speaks of; its name is one of the signals that a question is about itself.
 ASSISTANT = "lectern"
@@ -87,11 +87,14 @@ def faq_normal(message: Column) -> Column:
 
 def faq_canonical(message: Column) -> Column:
     """The first alias that is in the message gives its question; else the message, normalised."""
-    normal = faq_normal(message)
-    out = F.when(normal == "", "")
-    for alias, question in ALIASES:
-        out = out.when(F.contains(normal, F.lit(plain_normal(alias))), question)
-    return out.otherwise(normal)
+
+    def first_alias(normal: Column) -> Column:
+        out = F.when(normal == "", "")
+        for alias, question in ALIASES:
+            out = out.when(F.contains(normal, F.lit(plain_normal(alias))), question)
+        return out.otherwise(normal)
+
+    return bound(faq_normal(message), first_alias)
 
 
 def is_self_query(message: Column) -> Column:
