@@ -112,11 +112,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
     ranks = _ranks(made)
 
     order = stored(following(own), "order")
-    ends = order.agg(F.min("quotient").alias("first_quotient"))
+    least = order.agg(F.min("quotient").alias("q")).first().q
     firsts = stored(own.groupBy("quotient").agg(F.min("key").alias("key")), "firsts")
     heads = own.join(sized(firsts), ["quotient", "key"]).groupBy("quotient").agg(F.min("text").alias("head"))
     heads = heads.withColumnRenamed("quotient", "next")
-    tails = order.crossJoin(F.broadcast(ends)).select("quotient", F.coalesce("next", "first_quotient").alias("next")).join(heads, "next").select("quotient", "head")
+    tails = order.select("quotient", F.coalesce("next", F.lit(least).cast("long")).alias("next")).join(heads, "next").select("quotient", "head")
 
     place = W.partitionBy("quotient").orderBy("key", "text")
     placed = made.withColumn("follower", F.lead("text").over(place)).withColumn("follower_digest", F.lead("digest").over(place))
