@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.scalars import stripped, text_of
+from lectern.functions.scalars import bound, stripped, text_of
 
 WORDS = 120
 # Abbreviations whose dot ends no sentence.
@@ -31,8 +31,6 @@ def packed(parts: Column, words: int = WORDS, glue: str = " ") -> Column:
     A fold over one row's array, so nothing is shuffled. The texts come from the parts' positions, so that
     each is built once.
     """
-    sizes = F.transform(parts, word_count)
-
     def add(state: Column, n: Column) -> Column:
         fits = (state["filled"] + n <= words) | (state["count"] == 0)
         at = state["at"] + 1
@@ -44,9 +42,13 @@ def packed(parts: Column, words: int = WORDS, glue: str = " ") -> Column:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("filled"), F.lit(0).alias("count"), F.expr("cast(array() as array<int>)").alias("ends"))
-    ends = F.aggregate(sizes, start, add, lambda s: F.array_append(s["ends"], s["at"]))
-    spans = F.arrays_zip(F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends)).alias("a"), ends.alias("b"))
-    return F.transform(spans, lambda s: F.struct(F.array_join(F.slice(parts, s["a"] + 1, s["b"] - s["a"]), glue).alias("text"), (s["b"] - s["a"]).alias("n")))
+    ends_of = lambda own: F.aggregate(F.transform(own, word_count), start, add, lambda s: F.array_append(s["ends"], s["at"]))
+
+    def cut(own: Column, ends: Column) -> Column:
+        spans = F.arrays_zip(F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends)).alias("a"), ends.alias("b"))
+        return F.transform(spans, lambda s: F.struct(F.array_join(F.slice(own, s["a"] + 1, s["b"] - s["a"]), glue).alias("text"), (s["b"] - s["a"]).alias("n")))
+
+    return bound(parts, lambda own: bound(ends_of(own), lambda ends: cut(own, ends)))
 
 
 def chunk_paragraphs(rows: DataFrame, keys: list[str], text: str = "text", words: int = WORDS) -> DataFrame:
@@ -98,20 +100,22 @@ def chunk_blocks(blocks: DataFrame, words: int = WORDS) -> DataFrame:
 
 def reject_reason(text: Column, least_words: int = 5, least_share: float = 0.6) -> Column:
     """Why a chunk isn't worth embedding: the first of seven rules that it breaks; null if none."""
-    t = stripped(text)
-    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    n = F.size(words)
-    capitals = (n >= 3) & (F.upper(t) == t) & (F.lower(t) != t) & F.rlike(F.replace(t, F.lit(" "), F.lit("")), F.lit(r"^\p{L}+$"))
-    return (
-        F.when(n < least_words, "too_short")
-        .when(letters / F.greatest(F.length(t), F.lit(1)) < least_share, "few_letters")
-        .when(F.rlike(t, F.lit("https?://|www\\.|@[a-zA-Z0-9]")), "address")
-        .when(F.regexp_count(t, F.lit(r"(?i)\b[0-9a-f]{8,}\b")) > 2, "hex")
-        .when(F.regexp_count(t, F.lit(r"[^\p{L}\p{M}\p{N}_\s]{3,}")) > 3, "symbols")
-        .when(capitals, "capitals")
-        .when(F.forall(words, lambda w: F.rlike(F.regexp_replace(w, "[.,]", ""), F.lit(r"^\p{Nd}+$"))), "numbers")
-    )
+    def judged(t: Column, words: Column) -> Column:
+        letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+        n = F.size(words)
+        capitals = (n >= 3) & (F.upper(t) == t) & (F.lower(t) != t) & F.rlike(F.replace(t, F.lit(" "), F.lit("")), F.lit(r"^\p{L}+$"))
+        return (
+            F.when(n < least_words, "too_short")
+            .when(letters / F.greatest(F.length(t), F.lit(1)) < least_share, "few_letters")
+            .when(F.rlike(t, F.lit("https?://|www\\.|@[a-zA-Z0-9]")), "address")
+            .when(F.regexp_count(t, F.lit(r"(?i)\b[0-9a-f]{8,}\b")) > 2, "hex")
+            .when(F.regexp_count(t, F.lit(r"[^\p{L}\p{M}\p{N}_\s]{3,}")) > 3, "symbols")
+            .when(capitals, "capitals")
+            .when(F.forall(words, lambda w: F.rlike(F.regexp_replace(w, "[.,]", ""), F.lit(r"^\p{Nd}+$"))), "numbers")
+        )
+
+    words = lambda t: F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
+    return bound(stripped(text), lambda t: bound(words(t), lambda ws: judged(t, ws)))
 
 
 def valid_chunks(chunks: DataFrame) -> DataFrame:
