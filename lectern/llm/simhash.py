@@ -37,23 +37,27 @@ SHARE = 512
 BLOCK = 1 << 16
 
 
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's word shingles in order; a text of ``size`` words or fewer is one, a text without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
+
+
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """The 64-bit simhash of a text's word shingles; 0 for a text without words.
 
     >>> fingerprint("") == fingerprint(" ") == 0
     True
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    hashes = shingles(text, size)
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    if len(words) <= size:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[a : a + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

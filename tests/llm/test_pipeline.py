@@ -86,3 +86,19 @@ def test_empty(spark, docs, tmp_path):
     path, df = docs
     df.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_takes_near_copies_of_similarity_0_8(spark):
+    r = random.Random(8)
+    rows, want = [], set()
+    for i in range(40):
+        words = [f"w{r.randint(0, 9999)}" for _ in range(r.randint(60, 900))]
+        copy, far = list(words), list(words)
+        for at in range(20, len(words), 60):  # 5 of 60 shingles differ at each
+            copy[at] = "changed"
+        for at in range(10, len(words), 20):
+            far[at] = "changed"
+        rows += [(i, " ".join(words)), (100 + i, " ".join(copy)), (200 + i, " ".join(far))]
+        want |= {i, 200 + i}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
