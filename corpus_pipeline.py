@@ -19,6 +19,9 @@ from lectern.llm.substrings import remove_repeats
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents of a lower score are in no language that the model knows.
 LEAST_SCORE = 0.35
+#: Repeated passages of more words than this go; no such passage has fewer bytes than ``PASSAGE``, one a word and one between two.
+WORDS = 50
+PASSAGE = 2 * WORDS + 1
 ORACLE_SQL = None
 
 
@@ -45,11 +48,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur again anywhere; a document of which nothing stays goes.
+    """Texts without the passages of over ``WORDS`` words that occur again anywhere; a document of which nothing stays goes.
 
+    So do repeated passages of 400 bytes or more in fewer words, as in texts without spaces.
     Bytes of a character that a cut has split are left out.
     """
-    rows = remove_repeats(docs, carry=("lang", "source"))
+    rows = remove_repeats(docs, PASSAGE, PASSAGE // 2, carry=("lang", "source"), words=WORDS)
     text = F.try_validate_utf8(F.col("kept").cast("string"))
     broken = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
     rows = rows.select("doc_id", F.coalesce(text, broken).alias("text"), "lang", "source", F.size("spans").alias("cuts"))

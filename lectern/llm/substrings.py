@@ -242,12 +242,35 @@ def removed_spans(runs: list[dict], length: int = LENGTH) -> list[tuple[int, int
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: tuple[str, ...] = ()) -> DataFrame:
+def worded_runs(runs: list[dict], data: bytes, length: int, words: int) -> list[dict]:
+    """``runs`` joined where their starts meet, of which those stay whose bytes hold more than ``words`` whole words or ``LENGTH`` bytes."""
+    out: list[dict] = []
+    for r in runs:
+        if out and r["a"] <= out[-1]["b"]:
+            out[-1]["b"] = max(out[-1]["b"], r["b"])
+        else:
+            out.append(dict(r))
+
+    def enough(a: int, b: int) -> bool:
+        found = data[a:b].split()
+        broken = (a > 0 and not _spaced(data, a)) + (b < len(data) and not _spaced(data, b))
+        return b - a >= LENGTH or len(found) - broken > words
+
+    return [r for r in out if enough(r["a"], r["b"] - 1 + length)]
+
+
+def _spaced(data: bytes, at: int) -> bool:
+    """Whether a word ends or begins at this place, or none is near."""
+    return data[at - 1 : at].isspace() or data[at : at + 1].isspace()
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
     """doc_id, the columns ``carry``, kept (binary), spans (array of struct a, b: bytes removed) and n_bytes of every row of ``docs`` (doc_id, text).
 
     A byte goes if a ``length``-byte string that covers it starts anywhere else too, in the same text or another. Null
     texts are empty; texts shorter than ``length`` stay whole; repeated rows are occurrences like others; other
-    columns aren't read; an empty table gives no rows. ``kept`` may end within a character: it is bytes.
+    columns aren't read; an empty table gives no rows. ``kept`` may end within a character: it is bytes. With ``words``,
+    only unbroken runs of such strings go that hold more than so many whole words, or ``LENGTH`` bytes (texts without spaces).
     """
     checkpointing(docs.sparkSession)
     all_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
@@ -258,7 +281,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, spans, sizes = [], [], []
         for data, own in zip(_bytes_of(batch), batch.column("runs").to_pylist()):
-            cut = removed_spans(own or [], length)
+            own = own or []
+            cut = removed_spans(own if words is None else worded_runs(own, data, length, words), length)
             at, parts = 0, []
             for a, b in cut:
                 parts.append(data[at:a])

@@ -102,3 +102,22 @@ def test_near_dedup_takes_near_copies_of_similarity_0_8(spark):
         want |= {i, 200 + i}
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
+def test_repeats_takes_passages_of_over_50_words(spark):
+    r = random.Random(9)
+    text = lambda n, most: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, most))) for _ in range(n))
+    cut = [" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(51)), text(55, 7), text(51, 4), "x".join(text(60, 9).split())]
+    left = [text(50, 6), text(20, 9)]
+    assert all(len(p) < 400 for p in cut[:3])
+    cut[3] = cut[3] * (1 + 400 // len(cut[3]))  # one long word
+    rows, want = [], {}
+    for k, passage in enumerate(cut + left):
+        for i in range(3):
+            parts = [f"{text(80, 8)} <{i}", f"{i}> {text(80, 8)}"]
+            rows.append((10 * k + i, f"{parts[0]} {passage} {parts[1]}"))
+            want[10 * k + i] = " ".join(parts[:1] + [passage] * (passage in left) + parts[1:])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in corpus_pipeline.repeats(spark, docs, "").collect()}
+    flat = lambda t: "".join(t.split())
+    assert {i: flat(t) for i, t in got.items()} == {i: flat(t) for i, t in want.items()}
