@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,20 +25,27 @@ SCORES = {
     "l2": lambda a, b: F.lit(0.0) - F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)),
 }
 
-#: Queries that are compared with every vector in one pass at most; more are searched in blocks of so many.
+#: Queries that are compared with every vector in one pass, on average over the blocks that more are dealt to.
 QUERIES = 1000
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot") -> DataFrame:
     """query_id, vec_id, score, rank: the ``k`` best vectors of each query, the lesser vec_id of equals.
 
-    An exhaustive scan, as exact results need: the queries, ``QUERIES`` at most, are sent to all tasks, and each task
-    keeps its own ``k`` best of each, so that what is shuffled grows with the tasks, not with the vectors.
+    An exhaustive scan, as exact results need: the queries are dealt by hash to blocks of about ``QUERIES``, each of which is sent
+    to all tasks, and each task keeps its own ``k`` best of each query, so that what is shuffled grows with the tasks, not with the vectors.
     """
-    asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).limit(QUERIES))
-    scored = vectors.join(asked, F.lit(True)).select("query_id", "vec_id", F.round(SCORES[metric](F.col("embedding"), F.col("query")), 6).alias("score"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    blocks = max(1, -(-queries.count() // QUERIES))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        scored = vectors.join(F.broadcast(block), F.lit(True)).select("query_id", "vec_id", F.round(SCORES[metric](F.col("embedding"), F.col("query")), 6).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return best(asked)
+    return reduce(DataFrame.unionByName, [best(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)])
 
 
 def strict_filter(role: str, grade: int | None = None) -> Column:

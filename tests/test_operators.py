@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,3 +214,15 @@ def test_stream_pending_images(spark, streamed):
     rows = [(1, "s", 1, "make a poster", True), (2, "s", 2, "no text", False), (3, "s", 3, "thanks", False), (4, "t", 1, "hi", False)]
     df = spark.createDataFrame(rows, "msg_id long, session_id string, ord int, text string, unclear boolean")
     assert [tuple(r) for r in streamed(df, streams.stream_pending_images)] == [(2, "s", "make a poster", "no text")]
+
+
+def test_nearest_answers_more_queries_than_one_block_holds(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERIES", 7)
+    r = random.Random(4)
+    data = [(i, [r.random() for _ in range(4)]) for i in range(60)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for x in retrieval.nearest(vectors, vectors.where("vec_id % 2 = 0"), 3).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id))
+    dots = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 6)
+    assert {q: [v for _, v in sorted(rows)] for q, rows in got.items()} == {q: sorted(range(60), key=lambda v: (-dots(data[v][1], data[q][1]), v))[:3] for q in range(0, 60, 2)}
