@@ -84,6 +84,7 @@ QUERIES = {
     "answer_route": lambda s, d: _role_of(_messages(s, d)).select("msg_id", R.answer_route(F.col("text"), F.col("role"), Q.is_self_query(F.col("text"))).alias("route")),
     "is_self_query": _per_message(hit=Q.is_self_query),
     "lesson_metadata": lambda s, d: _messages(s, d).where("msg_id < 0").select("msg_id", *[c.alias(n) for n, c in R.lesson_metadata(F.col("text")).items()]),
+    "lesson_metadata_all": lambda s, d: _messages(s, d).select("msg_id", *[c.alias(n) for n, c in R.lesson_metadata(F.col("text")).items()]),
     "lesson_timing": lambda s, d: s.range(0, 241).select(F.col("id").cast("int").alias("minutes")).select("minutes", *[c.alias(n) for n, c in R.lesson_timing(F.col("minutes")).items()]),
     "expand_contractions": _per_message(expanded=Q.expand_contractions),
     "faq_normalize": _per_message(normal=Q.faq_normal),
@@ -276,3 +277,5 @@ ORACLES = {
     "faq_jaccard": _faq(f", r AS (SELECT msg_id, {_renormal('canonical')} AS asked FROM c WHERE own AND canonical <> '') SELECT msg_id, CAST(ord AS BIGINT) AS ord, round(len(list_intersect({_tok('asked')}, {_tok('qnormal')}))::DOUBLE / greatest(len(list_distinct(list_concat({_tok('asked')}, {_tok('qnormal')}))), 1), 6) AS overlap FROM r, {BANK}"),
     "faq_candidates": _faq(f"SELECT msg_id, question, CAST({POINTS} AS INT) AS points, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY points DESC, question) AS INT) AS rank FROM c, {BANK} WHERE canonical <> '' AND points > 0 QUALIFY rank <= 12"),
 }
+#: The same over every message, not the fixture sentences alone.
+ORACLES["lesson_metadata_all"] = ORACLES["lesson_metadata"].replace("WHERE msg_id < 0", "WHERE TRUE")

@@ -23,3 +23,7 @@ def test_query_equals_its_sql(spark, con, name):
         assert compare.kinds(df, con, registry.ORACLES[name]) == {}
         theirs = compare.rows_of_duck(con, registry.ORACLES[name])
         assert (names, rows) == theirs
+
+
+def test_lesson_metadata_reads_conversations(spark):
+    assert registry.QUERIES["lesson_metadata_all"](spark, SF).where("msg_id >= 0").count() > 0
