@@ -31,9 +31,13 @@ def _texts(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 300).alias("text"))
 
 
-def _augmented(s, d):
+def _whole_texts(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+
+
+def _augmented(s, d, text=None):
     docs = table(s, d, "documents")
-    text, n = F.substring("text", 1, 80), F.col("doc_id")
+    text, n = F.substring("text", 1, 80) if text is None else text, F.col("doc_id")
     return docs.select("doc_id", V.augmented(text, F.when(n % 2 == 0, F.lit("A = b")), F.when(n % 3 == 0, F.lit("earlier")), F.when(n % 5 == 0, F.col("source"))).alias("prompt"))
 
 
@@ -50,6 +54,8 @@ QUERIES = {
     "result_shape": lambda s, d: V.shaped(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"))),
     "rag_context": lambda s, d: V.contexts(V.nearest(table(s, d, "embeddings").where("vec_id < 200"), _asked(s, d), 6), _texts(s, d)),
     "augment_prompt": _augmented,
+    "rag_context_all": lambda s, d: V.contexts(V.nearest(table(s, d, "embeddings"), _asked(s, d), 6), _whole_texts(s, d)),
+    "augment_prompt_all": lambda s, d: _augmented(s, d, F.col("text")),
 }
 
 VECTORS = """WITH v AS (SELECT *, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN 'teacher' WHEN vec_id % 3 = 1 THEN 'student' ELSE 'both' END AS audience,
@@ -82,3 +88,6 @@ ORACLES = {
  CASE WHEN doc_id % 3 = 0 THEN concat('The user is replying to your previous message: "earlier"', chr(10), chr(10), 'Their follow-up: ') END,
  CASE WHEN doc_id % 2 = 0 THEN concat('Known facts for this user (use when relevant): A = b', chr(10), chr(10)) END, substring(text, 1, 80)) AS prompt FROM documents""",
 }
+#: The same over all vectors and whole texts.
+ORACLES["rag_context_all"] = f"WITH r AS ({_knn(DOT, 6)}) SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents d ON d.doc_id = r.vec_id GROUP BY query_id"
+ORACLES["augment_prompt_all"] = ORACLES["augment_prompt"].replace("substring(text, 1, 80)", "text")
