@@ -3,7 +3,7 @@
 Markup is stripped so that every block is a line. A line counts by its characters outside links; lines of menus,
 adverts, forms and the like count nothing, and where a page marks its article, so do lines outside it. The counts
 are summed over windows of ``WINDOW`` lines: where the sum surges from nothing a stretch of text begins, where it
-dives to nothing the stretch ends. The stretches that hold the text are kept, boilerplate lines in them left out.
+dives to nothing the stretch ends. All stretches that hold running text (a line that is mostly outside links) are kept, boilerplate lines in them left out.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 WINDOW = 3
-#: A stretch of a page without marked article is kept if it has this share of the longest stretch's characters.
-SHARE = 0.25
 
 # Element names of HTML, and words that name boilerplate in class and id attributes.
 BLOCKS = frozenset("address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -30,6 +28,9 @@ RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promoted related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+QUALIFIERS = frozenset("has no with without is not open closed enabled disabled active allowed".split())
+#: Classes of an article that is a comment on another.
+COMMENTS = frozenset("comment comments reply replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 #: A block that opens closes an open element of these names.
 CLOSED_BY_BLOCK = frozenset(["p"])
@@ -41,17 +42,30 @@ PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
+def _named(value: str) -> bool:
+    """Whether a class or id names boilerplate; a name with a qualifier tells of the page instead."""
+    for name in value.split():
+        parts = {part.lower() for part in PARTS.split(name) if part}
+        if parts & NAMES and not parts & QUALIFIERS:
+            return True
+    return False
+
+
 def _boilerplate(name: str, attributes: str) -> bool:
     if name in LEFT_OUT:
         return True
-    if not attributes or name in ("body", "html", "article", "main") and "comment" not in attributes.lower():
+    if not attributes or name in ("body", "html", "main"):
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
         key = key.lower()
+        if name == "article":
+            if key == "class" and any(word in COMMENTS for word in value.lower().split()):
+                return True
+            continue
         if key == "hidden" or key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and any(part.lower() in NAMES for part in PARTS.split(value) if part):
+        if key in ("class", "id") and _named(value):
             return True
     return False
 
@@ -146,7 +160,7 @@ def main_text(page: str | None) -> str:
     totals = [int(weight[a:b].sum()) for a, b in zip(surges, dives)]
     kept = []
     for a, b, total in zip(surges.tolist(), dives.tolist(), totals):
-        if total and (marked or total >= SHARE * max(totals)):
+        if total and (marked or any(weight[i] * 2 > len(lines[i][0]) for i in range(a, b))):
             own = np.flatnonzero(weight[a:b]) + a  # the window reaches one line beyond the text
             kept += [lines[i][0] for i in range(own[0], own[-1] + 1) if not lines[i][2] and (not marked or lines[i][3])]
     return "\n".join(kept)

@@ -46,3 +46,13 @@ def test_table(spark):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, TEXT, len(TEXT))] * 2 + [(2, "", 0), (3, "", 0)]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("cut", ["<div class='ad'><p>Buy</p><p>this</p><p>now</p><p>!</p></div>", "<p><a href=/a>a</a></p>" * 4, "<form><p>a</p><p>b</p><p>c</p><p>d</p></form>"])
+def test_shorter_part_of_a_parted_article_stays(cut):
+    assert main_text(f"<body><p>{'word ' * 200}</p>{cut}<p>A short end.</p></body>").split("\n")[-1] == "A short end."
+
+
+@pytest.mark.parametrize("tag", ["body class='post comments-open'", "article class='post comments-open'", "div class='content has-sidebar'", "div class='no-sidebar'", "main class='with-comments'"])
+def test_qualified_names_are_no_boilerplate(tag):
+    assert main_text(f"<{tag}>{BODY}</{tag.split()[0]}>") == TEXT
