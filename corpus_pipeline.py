@@ -26,7 +26,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a known language; those without a letter or with an unsure prediction go."""
+    """Documents whose text is in a known language; those without a letter or with an unsure prediction go.
+
+    Where no document has a label there is no language to know, and only texts without a letter go.
+    """
+    if not docs.where("lang is not null").limit(1).count():
+        return docs.where(F.rlike("text", F.lit(r"\p{L}"))).select(*COLUMNS)
     rows = predict_language(docs.select(*COLUMNS), *train_language(docs))
     return rows.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 

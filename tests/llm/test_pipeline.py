@@ -121,3 +121,16 @@ def test_repeats_takes_passages_of_over_50_words(spark):
     got = {x.doc_id: x.text for x in corpus_pipeline.repeats(spark, docs, "").collect()}
     flat = lambda t: "".join(t.split())
     assert {i: flat(t) for i, t in got.items()} == {i: flat(t) for i, t in want.items()}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_language_without_labels_takes_only_texts_without_letters(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 0), (2, "12 34", None, "s", 0), (3, None, None, "s", 0), (4, "été", None, "s", 0)], SCHEMA)
+    assert {x.doc_id for x in corpus_pipeline.language(spark, docs, "").collect()} == {1, 4}
+
+
+def test_near_dedup_keeps_null_and_shared_ids(spark):
+    docs = spark.createDataFrame([(None, "a text of no name", "en", "s", 0), (5, "one text", "en", "s", 0), (5, "quite another", "en", "s", 0), (5, "one text", "en", "t", 0)], SCHEMA)
+    assert sorted(x.text for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == ["a text of no name", "one text", "quite another"]
