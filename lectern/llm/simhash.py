@@ -55,7 +55,11 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     >>> fingerprint("") == fingerprint(" ") == 0
     True
     """
-    hashes = shingles(text, size)
+    return bits_of(shingles(text, size))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The 64 bits of which each is 1 in over half the ``hashes``; 0 without any."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

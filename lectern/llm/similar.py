@@ -1,9 +1,21 @@
-"""Near copies by the similarity of their word shingles: candidates by minima of hashes, each verified exactly.
+"""Near copies by the similarity of their word shingles: candidates by simhash anchors and by minima of hashes, each verified.
 
-Texts of the same shingles are one content. A content has ``BANDS`` keys, each made of the minima of ``ROWS`` hash functions over
-its shingles. Contents that share a key are a candidate pair; a pair of Jaccard similarity s shares none with probability
-(1 - s^ROWS)^BANDS, which is 3.2e-6 at 0.8 and less above. Pairs whose counts of shingles rule the similarity out are left
-out, and the others' texts are compared shingle by shingle, so that no link is a guess.
+Texts of the same shingles are one content. Candidates come from two sources:
+
+1. Simhash fingerprints of the shingles, linked at covering-code anchors (``simhash.links``): they gather groups of close copies in
+   as many links as there are copies. A pair of Jaccard similarity 0.8 differs in about ten of 64 bits, out of the anchors' reach.
+2. Keys of minima: a content has ``BANDS`` keys, each of the minima of ``ROWS`` hash functions. A pair of similarity s shares none with
+   probability (1 - s^ROWS)^BANDS, which is 3.2e-6 at 0.8 and less above.
+
+A key's contents are first compared with the most central of them each, which shares the most keys with others: the text of which a large
+group's copies were made has all the group's common keys. Contents of one key that are not connected by then are compared with
+each other where a key has no more than ``CROWD`` of them. Where it has more, each is compared with ``DRAWN`` of them, drawn by a hash of key
+and content; over all keys that is a sample of some hundred members of a large group. So the one link that may be missed is that of a content which is
+similar to few members of a large group, not to its central text, and to none of them in a key of its own.
+
+A pair is left out if the counts of shingles rule the similarity out or their sketches (a byte of each minimum) agree in under
+``SKETCHED`` of the places, which a pair at 0.8 does with probability 2e-6; the others' texts are compared shingle by shingle, so that
+no link is a guess.
 """
 
 from __future__ import annotations
@@ -12,66 +24,122 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointing, map_texts, sized, stored, texts_of
 from .components import components
-from .simhash import shingles
+from .simhash import bits_of, links
 
 SHINGLE = 5
 LEAST = 0.8
 #: Keeps the rounding of products from ruling out a pair at exactly ``LEAST``.
 SLACK = 1e-9
 BANDS, ROWS = 24, 4
+#: Least share of a sketch's places in which a pair at ``LEAST`` agrees.
+SKETCHED = 0.6
+#: Contents of one key that are compared pair by pair at most, and how many of more are compared with all of them.
+CROWD, DRAWN = 32, 8
 _random = np.random.default_rng(42)
 XORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 ODDS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 FOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of ``BANDS`` keys for each of the sets of hashes, none of which is empty."""
+PLACES = _random.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
+
+
+def shingles(text: str) -> np.ndarray:
+    """64-bit hashes of a text's shingles of ``SHINGLE`` words in order, A-Z in lower case; a text of fewer words is one, without words none."""
+    words, digest = text.encode("utf-8", "surrogatepass").lower().split(), xxhash.xxh64_intdigest
+    if len(words) < SHINGLE:
+        return np.array([digest(b" ".join(words), 1)] if words else [], np.uint64)
+    own = np.fromiter(map(digest, words), np.uint64, len(words))
+    out = own[: len(own) - SHINGLE + 1] * PLACES[0]
+    for k in range(1, SHINGLE):
+        out ^= out >> np.uint64(31)
+        out += own[k : len(own) - SHINGLE + 1 + k] * PLACES[k]
+    for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(odd)
+    return out ^ out >> np.uint64(31)
+
+
+def minima(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of ``BANDS`` keys, a row of ``BANDS`` * ``ROWS`` sketch bytes) for each of the sets of hashes, none of which is empty."""
     joined = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     keys = np.empty((len(sets), BANDS), np.uint64)
+    sketch = np.empty((len(sets), BANDS * ROWS), np.uint8)
+    mixed = np.empty_like(joined)
     for band in range(BANDS):
         key = np.full(len(sets), band, np.uint64)
         for i in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat((joined ^ XORS[i]) * ODDS[i], starts)
+            np.bitwise_xor(joined, XORS[i], out=mixed)
+            np.multiply(mixed, ODDS[i], out=mixed)
+            least = np.minimum.reduceat(mixed, starts)
+            sketch[:, i] = least >> np.uint64(24) & np.uint64(255)
             key = (key ^ least) * FOLD
             key ^= key >> np.uint64(29)
         keys[:, band] = key
-    return keys.view(np.int64)
+    return keys.view(np.int64), sketch
 
 
 def _contents(docs: DataFrame) -> DataFrame:
-    """doc_id, sig (of the text), content (of its shingles), n (different shingles) and keys of every row."""
+    """doc_id, sig (of the text), content (of its shingles), n (different shingles), fp (simhash), keys and sketch of every row."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingles(t, SHINGLE)) for t in texts_of(batch, "text")]
+        all_ = [shingles(t) for t in texts_of(batch, "text")]
+        fps = np.array([bits_of(x) for x in all_], np.uint64).view(np.int64)
+        sets = [np.unique(x) for x in all_]
         content = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
         n = np.array([len(x) for x in sets], np.int64)
         at = np.flatnonzero(n)
         keys: list = [[]] * len(sets)
+        sketches: list = [b""] * len(sets)
         if len(at):
-            for i, row in zip(at.tolist(), band_keys([sets[i] for i in at])):
-                keys[i] = row
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), pa.array(content), pa.array(n), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sig", "content", "n", "keys"])
+            for i, row, sketch in zip(at.tolist(), *minima([sets[i] for i in at])):
+                keys[i], sketches[i] = row, sketch.tobytes()
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), pa.array(content), pa.array(n), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "sig", "content", "n", "fp", "keys", "sketch"])
+
+    return map_texts(docs.select("doc_id", "sig", "text"), "text", "doc_id long, sig long, content long, n long, fp long, keys array<long>, sketch binary", work)
+
 
-    return map_texts(docs.select("doc_id", "sig", "text"), "text", "doc_id long, sig long, content long, n long, keys array<long>", work)
+def _alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows whose sketches may belong to similar contents."""
+    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("a_sketch", "b_sketch"))
+    at = np.flatnonzero((x == y).sum(axis=1) >= SKETCHED * BANDS * ROWS)
+    return batch.select(["a", "b", "a_sig", "b_sig"]).take(pa.array(at))
 
 
 def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The rows (a, b) whose texts are alike."""
     found = []
-    for i, (x, y) in enumerate(zip(texts_of(batch, "a_text"), texts_of(batch, "b_text"))):
-        x, y = np.unique(shingles(x, SHINGLE)), np.unique(shingles(y, SHINGLE))
+    known: dict[str, np.ndarray] = {}  # neighbouring rows share texts
+    for i, pair in enumerate(zip(texts_of(batch, "a_text"), texts_of(batch, "b_text"))):
+        if len(known) > 64:
+            known.clear()
+        for t in pair:
+            if t not in known:
+                known[t] = np.unique(shingles(t))
+        x, y = (known[t] for t in pair)
         both = len(np.intersect1d(x, y, assume_unique=True))
         if both >= LEAST * (len(x) + len(y) - both) - SLACK:
             found.append(i)
     return batch.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
 
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): the ``pairs`` (a, b: contents) whose texts have a Jaccard similarity of ``LEAST`` or more, stored."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda p: heads.select(F.col("content").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("sig", "n", "sketch")])
+    close = F.least("a_n", "b_n") >= LEAST * F.greatest("a_n", "b_n") - SLACK
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b", "a_sig", "b_sig", "a_sketch", "b_sketch")
+    both = stored(map_texts(both, "a_sketch", "a long, b long, a_sig long, b_sig long", _alike), "alike")
+    needed = sized(stored(both.select(F.explode(F.array("a_sig", "b_sig")).alias("sig")).distinct(), "needed"))
+    texts = stored(docs.select("sig", "text").join(needed, "sig", "left_semi").dropDuplicates(["sig"]), "texts")
+    whole = both.join(texts.toDF("b_sig", "b_text"), "b_sig").join(texts.toDF("a_sig", "a_text"), "a_sig").select("a", "b", "a_text", "b_text")
+    return stored(map_texts(whole, "b_text", "a long, b long", _similar), "similar")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, sig, content and root of every row of ``docs`` (doc_id, sig, text): rows of one root are linked by chains of near copies.
 
@@ -80,15 +148,30 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     checkpointing(docs.sparkSession)
     own = stored(_contents(docs), "contents")
     # any text of a content has its shingles
-    heads = own.groupBy("content").agg(F.min("sig").alias("sig"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    banded = stored(heads.select("content", "sig", "n", F.explode("keys").alias("key")), "bands")
-    often = banded.groupBy("key").count().where("count > 1").select("key")
+    heads = stored(own.where("n > 0").groupBy("content").agg(F.min("sig").alias("sig"), *[F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")]), "heads")
+
+    prints = stored(heads.groupBy("fp").agg(F.min("content").alias("least")), "prints")
+    linked = links(prints).join(prints.toDF("a", "l"), "a").join(prints.toDF("b", "m"), "b").select(F.col("l").alias("a"), F.col("m").alias("b"))
+    printed = heads.join(prints, "fp").select(F.col("content").alias("a"), F.col("least").alias("b"))
+
+    banded = heads.select("content", F.explode("keys").alias("key"))
+    often = stored(banded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "often")
     banded = stored(banded.join(often, "key"), "shared")
-    side = lambda p: banded.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("content", "sig", "n")])
-    near = (F.col("a_content") < F.col("b_content")) & (F.least("a_n", "b_n") >= LEAST * F.greatest("a_n", "b_n") - SLACK)
-    pairs = stored(side("a").join(side("b"), "key").where(near).select(F.col("a_content").alias("a"), F.col("b_content").alias("b"), "a_sig", "b_sig").distinct(), "pairs")
-    needed = sized(stored(pairs.select(F.explode(F.array("a_sig", "b_sig")).alias("sig")).distinct(), "needed"))
-    texts = stored(docs.select("sig", "text").join(needed, "sig", "left_semi").dropDuplicates(["sig"]), "texts")
-    both = pairs.join(texts.toDF("a_sig", "a_text"), "a_sig").join(texts.toDF("b_sig", "b_text"), "b_sig").select("a", "b", "a_text", "b_text")
-    roots = components(map_texts(both, "a_text", "a long, b long", _similar)).withColumnRenamed("node", "content")
+    central = stored(banded.groupBy("content").agg(F.sum("k").alias("sharing")), "central")
+    one = banded.join(central, "content").groupBy("key").agg(F.max_by("content", F.struct("sharing", "content")).alias("one"))
+    stars = banded.join(stored(one, "one"), "key").select(F.col("content").alias("a"), F.col("one").alias("b"))
+    first = verified(linked.unionByName(printed).unionByName(stars), heads, docs)
+
+    roots = stored(components(first), "roots").withColumnRenamed("node", "content")
+    rooted = banded.select("key", "content").join(roots, "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.count("*").alias("k"), F.min("root").alias("m"), F.max("root").alias("x")).where("m <> x").select("key", "k")
+    rooted = stored(rooted.join(stored(open_, "open"), "key"), "rooted")
+    side = lambda rows, p: rows.select("key", F.col("content").alias(p), F.col("root").alias(f"{p}_root"))
+    few, many = rooted.where(F.col("k") <= CROWD), rooted.where(F.col("k") > CROWD)
+    place = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("content", "key"), "content"))
+    drawn = stored(side(many, "b").withColumn("content", F.col("b")).withColumn("place", place).where(F.col("place") <= DRAWN), "drawn")
+    rest = [side(few, "a").join(side(few, "b"), "key").where("a_root < b_root"), side(many, "a").join(drawn, "key").where("a_root <> b_root")]
+    rest = verified(rest[0].select("a", "b").unionByName(rest[1].select("a", "b")), heads, docs)
+    if not rest.isEmpty():
+        roots = components(roots.select(F.col("content").alias("a"), F.col("root").alias("b")).unionByName(rest)).withColumnRenamed("node", "content")
     return own.select("doc_id", "sig", "content").join(roots, "content", "left").select("doc_id", "sig", "content", F.coalesce("root", "content").alias("root"))

@@ -10,8 +10,12 @@ choose the same occurrence of an anchor are a stretch; its context is the bytes
 3. Where an anchor has different contexts, one of each kind is cut out of the texts and dealt to shards
    by anchor. A shard's suffix array is sorted by induction; the permuted common prefixes tell which windows
    occur in another context too. An anchor with more than ``CROWD`` different contexts is not one shard's work: its
-   windows are counted by their hashes instead, over all tasks, which is exact as well.
+   contexts go through all steps again with anchors of more bytes, half way to ``length``, which part them further; where an
+   anchor is a whole window there are no different contexts left.
 4. The windows' bytes are cut out of each text.
+
+A byte goes only if a suffix array has compared its window, or if two windows agree in the hashes of anchor and context,
+128 bits of two kinds.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from .suffixes import permuted_common_prefixes, suffix_array
 LENGTH = 400
 GRAM = 200
 #: Different contexts of one anchor in a shard at most.
-CROWD = 2000
+CROWD = 500
 #: Bytes in a shard, up to one anchor's contexts more.
-SHARD = 1 << 20
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+SHARD = 1 << 18
+BASE = 0x9E3779B97F4A7C15
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -44,18 +48,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TABLES: list[np.ndarray] = []
 
 
-def rolling(data: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
+def rolling(data: np.ndarray, size: int) -> np.ndarray:
     """A mixed 64-bit hash of each ``size``-byte string in ``data``; equal strings have equal hashes."""
     n = len(data)
     if n < size:
         return np.zeros(0, np.uint64)
-    if base not in _TABLES or len(_TABLES[base][0]) < n:
+    if not _TABLES or len(_TABLES[0]) < n:
         most = max(n, 1 << 20)
-        _TABLES[base] = _powers(base, most), _powers(pow(base, -1, 1 << 64), most)
-    up, down = _TABLES[base]
+        _TABLES[:] = _powers(BASE, most), _powers(pow(BASE, -1, 1 << 64), most)
+    up, down = _TABLES
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     h = (sums[size:] - sums[:-size]) * down[: n - size + 1]
@@ -99,30 +103,31 @@ def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple
 
 
 def _bytes_of(batch: pa.RecordBatch) -> list[bytes]:
-    return [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
+    return [x if isinstance(x, bytes) else (x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
 
 
-def _signature(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data) >> 1
+def signed(docs: DataFrame) -> DataFrame:
+    """``docs`` with sig, a hash of the text, which with doc_id tells the texts apart."""
+    return docs.withColumn("sig", F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
 
 
 def all_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, sig (of the text), first, last, anchor, context (hashes) of each stretch of each text."""
+    """doc_id, sig, first, last, anchor, context (hashes) of each stretch of each text of ``docs`` (doc_id, sig, text)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sigs, columns = [], [], []
-        for doc, data in zip(batch.column("doc_id").to_pylist(), _bytes_of(batch)):
+        rows, columns = [], []
+        digest = xxhash.xxh64_intdigest
+        for data in _bytes_of(batch):
             first, last, anchor = stretches(np.frombuffer(data, np.uint8), length, gram)
+            rows.append(len(first))
             if len(first):
-                digest = xxhash.xxh64_intdigest
                 context = np.array([digest(data[a : b + length - 1], 7) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
                 columns.append((first, last, anchor.view(np.int64), context.view(np.int64)))
-                ids += [doc] * len(first)
-                sigs += [_signature(data)] * len(first)
+        of = pa.array(np.repeat(np.arange(len(rows)), rows))
         parts = [np.concatenate(c) for c in zip(*columns)] or [np.zeros(0, np.int64)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(parts[0].astype(np.int32)), pa.array(parts[1].astype(np.int32)), pa.array(parts[2]), pa.array(parts[3])], ["doc_id", "sig", "first", "last", "anchor", "context"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("sig").take(of), pa.array(parts[0].astype(np.int32)), pa.array(parts[1].astype(np.int32)), pa.array(parts[2]), pa.array(parts[3])], ["doc_id", "sig", "first", "last", "anchor", "context"])
 
-    return map_texts(docs, "text", "doc_id long, sig long, first int, last int, anchor long, context long", work)
+    return map_texts(docs.select("doc_id", "sig", "text"), "text", "doc_id long, sig long, first int, last int, anchor long, context long", work)
 
 
 def repeated_in_shard(contexts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -171,24 +176,12 @@ def _sharded(batches, length: int):
         yield done()
 
 
-def _windows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """anchor, context, at and 128 bits of each window of each context."""
-    out = []
-    for anchor, context, data in zip(*(c.to_pylist() for c in batch.columns)):
-        x = np.frombuffer(data, np.uint8)
-        one, two = (rolling(x, length, b).view(np.int64) for b in BASES)
-        n = len(one)
-        out.append((np.full(n, anchor), np.full(n, context), np.arange(n, dtype=np.int32), one, two))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["anchor", "context", "at", "one", "two"])
-
-
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc_id, sig, runs (array of struct a, b): starts a..b-1 of the windows of each text that also start anywhere else."""
-    found = all_stretches(docs, length, gram)
-    often = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") < F.max("context")).alias("mixed")).where("n > 1").select("anchor", "mixed")
+    """doc_id, sig, runs (array of struct a, b): starts a..b-1 of the windows of each text of ``docs`` (doc_id, sig, text) that also start anywhere else."""
+    every = stored(all_stretches(docs, length, gram), "stretches")
+    often = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") < F.max("context")).alias("mixed")).where("n > 1").select("anchor", "mixed")
     # stored, so that both sides of the join are dealt anew and a very frequent anchor's rows can be split
-    often = stored(often, "often")
-    found = stored(found.join(often, "anchor"), "stretches")
+    found = stored(every.join(stored(often, "often"), "anchor"), "repeated")
 
     mixed = found.where("mixed")
     kinds = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sig", "first", "last")).alias("one"))
@@ -199,35 +192,29 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cr
         rows = [(w["anchor"], w["context"], data[w["first"] : w["last"] + length - 1]) for data, ws in zip(_bytes_of(batch), batch.column("wanted").to_pylist()) for w in ws]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["anchor", "context", "data"])
 
-    texts = signed(docs)
-    holding = texts.join(wanted, (texts.doc_id.eqNullSafe(wanted.doc_id)) & (texts.sig == wanted.sig)).select("text", "wanted")
+    wanted = wanted.withColumnsRenamed({"doc_id": "w_doc", "sig": "w_sig"})
+    holding = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("sig") == F.col("w_sig"))).select("text", "wanted")
     contexts = stored(map_texts(holding, "text", "anchor long, context long, data binary", cut).dropDuplicates(["anchor", "context"]), "contexts")
 
-    crowds = kinds.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor")
-    few = contexts.join(crowds, "anchor", "left_anti")
-    spans = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _sharded(batches, length), SPAN)
-    windows = map_texts(contexts.join(crowds, "anchor", "left_semi"), "data", "anchor long, context long, at int, one long, two long", lambda b: _windows(b, length), 1 << 18)
-    keys = ["anchor", "one", "two"]
-    twice = windows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("context").alias("c"), F.min("at").alias("p")).where("n > 1").select(*keys)
-    more = windows.join(twice, keys, "left_semi").groupBy("anchor", "context").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b")))).alias("spans"))
-    spans = spans.unionByName(more)
+    crowds = stored(kinds.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "crowds")
+    if crowds.isEmpty():
+        spans = _in_shards(contexts, length)
+    else:
+        apart = contexts.join(crowds, "anchor", "left_semi").select(F.col("anchor").alias("doc_id"), F.col("context").alias("sig"), F.col("data").alias("text"))
+        again = repeated_windows(stored(apart, "crowded"), length, gram + max(1, (length - gram) // 2), crowd)
+        spans = _in_shards(contexts.join(crowds, "anchor", "left_anti"), length).unionByName(again.select(F.col("doc_id").alias("anchor"), F.col("sig").alias("context"), F.col("runs").alias("spans")))
 
-    row = ["doc_id", "sig", "first"]
     same = found.where("not mixed").select("doc_id", "sig", F.col("first").alias("a"), F.col("last").alias("b"))
     copies = kinds.where("n > 1").select("anchor", "context")
     copied = mixed.join(copies, ["anchor", "context"], "left_semi").select("doc_id", "sig", F.col("first").alias("a"), F.col("last").alias("b"))
-    single = kinds.where("n = 1").join(spans, ["anchor", "context"]).select("one.*", F.explode("spans").alias("s")).select(*row[:2], (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b"))
+    single = kinds.where("n = 1").join(spans, ["anchor", "context"]).select("one.*", F.explode("spans").alias("s")).select("doc_id", "sig", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b"))
     runs = same.unionByName(copied).unionByName(single)
     return runs.groupBy("doc_id", "sig").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("runs"))
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """``docs`` with sig, which with doc_id tells the texts apart."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([_signature(d) for d in _bytes_of(batch)], pa.int64())], [*batch.schema.names, "sig"])
-
-    return map_texts(docs, "text", T.StructType([*docs.schema.fields, T.StructField("sig", T.LongType())]), work)
+def _in_shards(contexts: DataFrame, length: int) -> DataFrame:
+    """anchor, context and spans of the ``contexts`` (anchor, context, data) with windows that occur again among those of their anchor."""
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _sharded(batches, length), SPAN)
 
 
 def removed_spans(runs: list[dict], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -273,10 +260,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     only unbroken runs of such strings go that hold more than so many whole words, or ``LENGTH`` bytes (texts without spaces).
     """
     checkpointing(docs.sparkSession)
-    all_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
-    runs = repeated_windows(all_.select("doc_id", "text"), length, gram, crowd)
-    texts = signed(all_)
-    whole = texts.join(runs, texts.doc_id.eqNullSafe(runs.doc_id) & (texts.sig == runs.sig), "left").select(texts.doc_id, *carry, "text", "runs")
+    texts = signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text"))
+    runs = repeated_windows(texts.select("doc_id", "sig", "text"), length, gram, crowd).withColumnsRenamed({"doc_id": "r_doc", "sig": "r_sig"})
+    whole = texts.join(runs, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("sig") == F.col("r_sig")), "left").select("doc_id", *carry, "text", "runs")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, spans, sizes = [], [], []

@@ -71,29 +71,38 @@ def _induce_waves(text: np.ndarray, smaller: np.ndarray, heads: np.ndarray, tail
     return sa
 
 
-def _induce_steps(text: list, smaller: list, heads: list, tails: list, seeds: list) -> np.ndarray:
-    """The same one suffix at a time, for alphabets so large that buckets hold few suffixes."""
+def _stepper(text: np.ndarray, smaller: np.ndarray, heads: np.ndarray, tails: np.ndarray):
+    """The same one suffix at a time, for alphabets so large that buckets hold few suffixes; a function of the seeds."""
     n = len(text)
-    sa = [-1] * n
-    place = tails[:]
-    for s in reversed(seeds):
-        place[text[s]] -= 1
-        sa[place[text[s]]] = s
-    place = heads[:]
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not smaller[j]:
-            c = text[j]
-            sa[place[c]] = j
-            place[c] += 1
-    place = tails[:]
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and smaller[j]:
-            c = text[j]
+    before = np.append(text[-1:], text[:-1])
+    # by suffix: the character before it if that is of the larger (smaller) kind, else -1; the last entry is for empty places
+    kind = np.append(smaller[-1:], smaller[:-1])
+    kind[0] = False
+    larger_before = np.append(np.where(kind | (np.arange(n) == 0), -1, before), -1).tolist()
+    smaller_before = np.append(np.where(kind, before, -1), -1).tolist()
+    first, last, own = heads.tolist(), tails.tolist(), text.tolist()
+
+    def induce(seeds: np.ndarray) -> np.ndarray:
+        sa, place = [n] * n, last[:]
+        for s in seeds[::-1].tolist():
+            c = own[s]
             place[c] -= 1
-            sa[place[c]] = j
-    return np.array(sa, np.int64)
+            sa[place[c]] = s
+        place = first[:]
+        for j in sa:
+            c = larger_before[j]
+            if c >= 0:
+                sa[place[c]] = j - 1
+                place[c] += 1
+        place = last[:]
+        for j in reversed(sa):
+            c = smaller_before[j]
+            if c >= 0:
+                place[c] = p = place[c] - 1
+                sa[p] = j - 1
+        return np.array(sa, np.int64)
+
+    return induce
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -113,8 +122,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if len(sizes) <= 1024:
         induce = lambda seeds: _induce_waves(text, smaller, heads, tails, seeds)
     else:
-        lists = text.tolist(), smaller.tolist(), heads.tolist(), tails.tolist()
-        induce = lambda seeds: _induce_steps(*lists, seeds.tolist())
+        induce = _stepper(text, smaller, heads, tails)
     by_char = left[np.argsort(text[left], kind="stable")]
     if len(left) == 1:
         return induce(by_char)
