@@ -68,7 +68,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in which personal data is replaced by its kind, and terms that disclose it are generalised or removed."""
-    found = find_personal(docs).where("size(base) + size(terms) > 0").distinct()
+    found = find_personal(docs).where("size(base) + size(secrets) + size(terms) > 0").select("doc_id", "sig", F.concat("base", "secrets").alias("base"), "terms").distinct()
     found = sized(stored(found, "personal").withColumnsRenamed({"doc_id": "p_doc", "sig": "p_sig"}), 100_000)
     filled = docs.select(*COLUMNS).withColumn("sig", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = filled.join(found, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("sig") == F.col("p_sig")), "left")
