@@ -1,10 +1,12 @@
 """Quality rules: plain counts, then robust multivariate outliers for each language and source.
 
-Each text gives a vector of transformed statistics. For each (lang, source) a minimum-covariance-determinant
-estimate is made over all its texts that pass the plain rules: from medians and deviations, concentration steps
-repeat "the half with the least distances, its mean and covariance" as grouped aggregates, so that no
-group is ever in one task. A text is rejected if its Mahalanobis distance is beyond what a normal vector reaches
-with probability ``TAIL``, and a margin.
+Each text gives a vector of transformed statistics, in whole thousandths, so that sums are exact and no result hangs on the order of rows.
+A minimum-covariance-determinant estimate is made for each (lang, source) with ``LEAST`` passing texts; texts of smaller ones are
+judged by their language's estimate, and by that of all texts where the language is small too. From several starts
+(medians and deviations, the covariance of spatial signs, all texts) concentration steps repeat "the ``HALF`` with the least distances, its
+mean and covariance" as grouped aggregates, so that no group is ever in one task. After ``TRIED`` steps the start of the least determinant
+goes on until its determinant falls no more. A text is rejected if its Mahalanobis distance is beyond what a
+normal vector reaches with probability ``TAIL``, and a margin.
 """
 
 from __future__ import annotations
@@ -16,19 +18,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointing, map_texts, stored, texts_of
+from .common import checkpointing, map_texts, sized, stored, texts_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("f_length", "f_word", "f_symbol", "f_lines", "f_repeat", "f_letters")
-STEPS = 4
+#: Concentration steps of every start, and of the best one at most.
+TRIED, MOST = 2, 12
 #: Share of a group's texts that an estimate rests on.
 HALF = 0.75
+#: Distances are ranked in steps of this part of their size.
+FINE = 4096
 #: Chance that a clean normal vector is rejected, and how much farther than that a text may lie: the statistics
 #: have longer tails than a normal vector.
 TAIL, MARGIN = 1e-6, 1.5
-#: Groups of fewer texts, and vectors that don't vary, are not judged.
+#: A group of fewer texts is judged by the next larger one: its language, then all texts.
 LEAST = 50
 #: Least standard deviation of a transformed statistic, so that a constant one doesn't reject what differs slightly.
 FLOOR = (0.25, 0.1, 0.1, 0.3, 0.1, 0.03)
@@ -90,10 +96,10 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def features() -> list[Column]:
-    """The transformed statistics: logarithms of sizes, square roots of shares."""
+    """The transformed statistics, in thousandths: logarithms of sizes, square roots of shares."""
     words, chars, lines = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1)), F.col("n_dup_lines") + 1
     made = (F.log1p("n_words"), F.log(chars / words), F.sqrt(F.col("n_symbols") / chars), F.log(lines), F.sqrt(F.col("n_repeat_words") / words), F.greatest(F.col("n_letters"), F.lit(0)) / chars)
-    return [c.cast("double").alias(n) for c, n in zip(made, FEATURES)]
+    return [F.round(c.cast("double") * 1000).cast("long").alias(n) for c, n in zip(made, FEATURES)]
 
 
 def cutoff(tail: float = TAIL, size: int = len(FEATURES)) -> float:
@@ -106,78 +112,143 @@ def cutoff(tail: float = TAIL, size: int = len(FEATURES)) -> float:
     return high
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """One row for each group: count, means and mean products of the statistics."""
-    pairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[: i + 1]]
-    return rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.array(*[F.avg(f) for f in FEATURES]).alias("mean"), F.array(*[F.avg(F.col(a) * F.col(b)) for a, b in pairs]).alias("products"))
+SHAPE = "grp string, start int, n long, mean array<double>, inverse array<double>, size double"
+PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 
 
-def _inverses(moments: DataFrame) -> DataFrame:
-    """lang, source, mean and the inverse covariance (flat) of each row of moments."""
+def _shapes(moments: DataFrame, products: str = "products", centre: str = "sums") -> DataFrame:
+    """grp, start, n, mean, inverse covariance (flat) and size (logarithm of the covariance's determinant) of each row of moments.
+
+    ``moments`` has grp, start, n, sums and products (exact sums of the statistics and their products, in thousandths), or ready
+    covariances (cov, flat lower triangle) around ready means.
+    """
     size, floor = len(FEATURES), np.diag(np.array(FLOOR) ** 2)
+    at = tuple(np.array(x) for x in zip(*PAIRS))
 
     def run(frames):
         for f in frames:
             out = []
-            for mean, products in zip(f["mean"], f["products"]):
-                m, full = np.array(mean), np.zeros((size, size))
-                full[np.tril_indices(size)] = products
-                full = full + full.T - np.diag(full.diagonal())
-                out.append(np.linalg.inv(full - np.outer(m, m) + floor).ravel())
-            yield pd.DataFrame({"lang": f["lang"], "source": f["source"], "n": f["n"], "mean": f["mean"], "inverse": out})
+            for n, mean, given in zip(f["n"], f["mean"], f["given"]):
+                full = np.zeros((size, size))
+                full[at] = full[at[::-1]] = np.array(given, float)
+                m = np.array(mean, float)
+                cov = (full / n / 1e6 - np.outer(m / n / 1e3, m / n / 1e3) if products == "products" else full) + floor
+                out.append((m / n / 1e3 if products == "products" else m, np.linalg.inv(cov).ravel(), np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame({"grp": f["grp"], "start": f["start"], "n": f["n"], "mean": [o[0] for o in out], "inverse": [o[1] for o in out], "size": [o[2] for o in out]})
+
+    return moments.select("grp", "start", "n", F.col(centre).alias("mean"), F.col(products).alias("given")).mapInPandas(run, SHAPE)
 
-    return moments.mapInPandas(run, "lang string, source string, n long, mean array<double>, inverse array<double>")
 
+def _moments(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """Count, sums and sums of products of the statistics, all whole numbers."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.sum(f) for f in FEATURES]).alias("sums"), F.array(*[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in PAIRS]).alias("products"))
 
-def _distance(rows: DataFrame, shapes: DataFrame) -> DataFrame:
-    """``rows`` with n and the squared distance to their group's shape."""
+
+def _far(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``rows`` (grp and the statistics) for each shape of their group, with start, n and the squared distance to it."""
     size = len(FEATURES)
-    off = [F.col(f) - F.col("mean")[i] for i, f in enumerate(FEATURES)]
-    total = sum((off[i] * off[j] * F.col("inverse")[i * size + j] for i in range(size) for j in range(size)), F.lit(0.0))
-    joined = rows.alias("r").join(shapes.withColumnsRenamed({"lang": "s_lang", "source": "s_source"}), F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
-    return joined.select("r.*", "n", total.alias("distance"))
+    off = [F.col(f) / 1000 - F.col("mean")[i] for i, f in enumerate(FEATURES)]
+    joined = rows.join(sized(shapes.drop("size"), 20_000), "grp").select(*rows.columns, "start", "n", "inverse", *[o.alias(f"o{i}") for i, o in enumerate(off)])
+    total = sum((F.col(f"o{i}") * F.col(f"o{j}") * F.col("inverse")[i * size + j] * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
+    return joined.select(*rows.columns, "start", "n", F.greatest(total, F.lit(0.0)).alias("distance"))
 
 
-def robust_shapes(rows: DataFrame) -> DataFrame:
-    """lang, source, n, mean, inverse: the minimum-covariance-determinant estimate for each group of ``rows``, which hold the statistics."""
-    quantile = lambda c: F.percentile_approx(c, 0.5, 1000)
-    middle = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[quantile(f).alias(f"m_{f}") for f in FEATURES])
-    middle = stored(middle.select("lang", "source", "n", F.array(*[f"m_{f}" for f in FEATURES]).alias("mean")), "medians")
-    # the first distances: by each statistic's median absolute deviation
-    named = middle.withColumnsRenamed({"lang": "s_lang", "source": "s_source"})
-    near = rows.join(named, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")))
-    spread = near.groupBy("lang", "source").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *[quantile(F.abs(F.col(f) - F.col("mean")[i])).alias(f"d_{f}") for i, f in enumerate(FEATURES)])
+def _rank(distance: Column) -> Column:
+    return F.floor(F.log(distance + 1e-9) * FINE).cast("int")
+
+
+def _edges(ranked: DataFrame) -> DataFrame:
+    """grp, start, edge: the least rank with ``HALF`` of the group's rows at or below it. From counts by rank; ``ranked`` has grp, start, rank."""
+    place = W.partitionBy("grp", "start")
+    counts = ranked.groupBy("grp", "start", "rank").agg(F.count("*").alias("k"))
+    below = counts.withColumn("upto", F.sum("k").over(place.orderBy("rank"))).withColumn("all", F.sum("k").over(place))
+    return below.where(F.col("upto") >= F.ceil(F.col("all") * HALF)).groupBy("grp", "start").agg(F.min("rank").alias("edge"))
+
+
+def _step(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The shapes of the rows that are nearest to the earlier shapes."""
+    ranked = stored(_far(rows, shapes).select("grp", "start", *FEATURES, _rank(F.col("distance")).alias("rank")), "ranked")
+    inner = ranked.join(sized(stored(_edges(ranked), "edges"), 20_000), ["grp", "start"]).where("rank <= edge")
+    return stored(_shapes(_moments(inner, "grp", "start")), "shapes")
+
+
+def _middles(counts: DataFrame) -> DataFrame:
+    """grp, i, middle: the exact median from counts of values; ``counts`` has grp, i, v, k."""
+    place = W.partitionBy("grp", "i")
+    below = counts.withColumn("upto", F.sum("k").over(place.orderBy("v"))).withColumn("all", F.sum("k").over(place))
+    return below.where(F.col("upto") * 2 >= F.col("all")).groupBy("grp", "i").agg(F.min("v").alias("middle"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The first shapes of each group, by three starts."""
     size = len(FEATURES)
-    diagonal = [1 / (F.pow(1.4826 * F.col(f"d_{f}"), 2) + FLOOR[i] ** 2) for i, f in enumerate(FEATURES)]
-    shapes = stored(spread.select("lang", "source", "n", "mean", F.array(*[diagonal[i] if i == j else F.lit(0.0) for i in range(size) for j in range(size)]).alias("inverse")), "shapes")
-    for _ in range(STEPS):
-        far = _distance(rows, shapes)
-        edge = far.groupBy("lang", "source").agg(F.percentile_approx("distance", HALF, 1000).alias("edge")).withColumnsRenamed({"lang": "s_lang", "source": "s_source"})
-        inner = far.join(edge, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source"))).where("distance <= edge")
-        shapes = stored(_inverses(_moments(inner)), "shapes")
-    far = _distance(rows, shapes)
-    scale = far.groupBy("lang", "source").agg(F.count("*").alias("all"), F.percentile_approx("distance", HALF, 1000).alias("edge")).withColumnsRenamed({"lang": "s_lang", "source": "s_source"})
+    counts = stored(rows.select("grp", F.posexplode(F.array(*FEATURES)).alias("i", "v")).groupBy("grp", "i", "v").agg(F.count("*").alias("k")), "values")
+    middle = _middles(counts)
+    off = counts.join(middle, ["grp", "i"]).groupBy("grp", "i", F.abs(F.col("v") - F.col("middle")).alias("v")).agg(F.sum("k").alias("k"))
+    both = middle.join(_middles(off).withColumnRenamed("middle", "spread"), ["grp", "i"])
+    own = F.transform(F.array_sort(F.collect_list(F.struct("i", "middle", "spread"))), lambda x: F.struct(x["middle"].alias("m"), x["spread"].alias("d")))
+    scale = [F.sqrt(F.pow(1.4826 * F.col("own")[i]["d"] / 1000, 2) + FLOOR[i] ** 2).alias(f"s{i}") for i in range(size)]
+    middles = stored(both.groupBy("grp").agg(own.alias("own")).select("grp", F.transform("own", lambda x: x["m"] / 1000).alias("middle"), F.array(*scale).alias("scale")), "middles")
+
+    near = rows.join(sized(middles, 20_000), "grp")
+    z = [((F.col(f) / 1000 - F.col("middle")[i]) / F.col("scale")[i]).alias(f"z{i}") for i, f in enumerate(FEATURES)]
+    signs = near.select("grp", *z).withColumn("norm", F.greatest(sum((F.col(f"z{i}") ** 2 for i in range(size)), F.lit(0.0)), F.lit(1e-9)))
+    signs = signs.groupBy("grp").agg(F.count("*").alias("n"), *[F.sum(F.round(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm") * 1_000_000).cast("long")).alias(f"p{i}{j}") for i, j in PAIRS])
+    ready = signs.join(middles, "grp")
+    sign = ready.select("grp", F.lit(1).alias("start"), "n", "middle", F.array(*[F.col(f"p{i}{j}") / 1e6 / F.col("n") * size * F.col("scale")[i] * F.col("scale")[j] for i, j in PAIRS]).alias("cov"))
+    plain = ready.select("grp", F.lit(0).alias("start"), "n", "middle", F.array(*[F.pow(F.col("scale")[i], 2) if i == j else F.lit(0.0) for i, j in PAIRS]).alias("cov"))
+    whole = _shapes(_moments(rows, "grp").withColumn("start", F.lit(2)))
+    return stored(_shapes(plain.unionByName(sign), "cov", "middle").unionByName(whole), "starts")
+
+
+def robust_shapes(rows: DataFrame) -> DataFrame:
+    """grp, start, n, mean, inverse, size: the minimum-covariance-determinant estimate for each group of ``rows`` (grp and the statistics)."""
+    shapes = _starts(rows)
+    for _ in range(TRIED):
+        shapes = _step(rows, shapes)
+    shapes = stored(shapes.groupBy("grp").agg(F.min_by(F.struct("start", "n", "mean", "inverse", "size"), F.struct("size", "start")).alias("s")).select("grp", "s.*"), "best")
+    for _ in range(MOST - TRIED):
+        after = _step(rows, shapes)
+        better = shapes.join(after.select("grp", F.col("size").alias("next")), "grp").agg(F.max(F.col("size") - F.col("next"))).first()[0]
+        shapes = after
+        if better is None or better < 1e-6:
+            break
     # the inner part varies less than the whole: the edge must lie where it would for a normal vector
-    expected = cutoff(1 - HALF)
-    joined = shapes.join(scale, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")))
-    factor = F.least(F.lit(1.0), expected / F.greatest("edge", F.lit(1e-9)))
-    return joined.select("lang", "source", F.col("all").alias("n"), "mean", F.transform("inverse", lambda x: x * factor).alias("inverse"))
+    edges = _edges(_far(rows, shapes).select("grp", "start", _rank(F.col("distance")).alias("rank")))
+    factor = F.least(F.lit(1.0), cutoff(1 - HALF) / F.exp((F.col("edge") + 1) / FINE))
+    return stored(shapes.join(edges, ["grp", "start"]).withColumn("inverse", F.transform("inverse", lambda x: x * factor)).drop("edge"), "scaled")
+
+
+def _level(level: int, *names: str) -> Column:
+    """A group's name."""
+    return F.to_json(F.struct(F.lit(level).alias("level"), *names))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts, base_failed, distance (squared; null if not judged) and kept of every row of ``docs`` (doc_id, text, lang, source).
+    """doc_id, lang, source, the counts, base_failed, distance (squared; null if base_failed) and kept of every row of ``docs`` (doc_id, text, lang, source).
 
-    Null texts have no words and fail. Null languages and sources are groups like others; groups of fewer than
-    ``LEAST`` passing texts are not judged. Repeated rows come out repeated; other columns aren't read; an empty table
-    gives no rows.
+    Null texts have no words and fail. Null languages and sources are groups like others; every text that passes the plain rules is
+    judged, by the smallest of its groups that has ``LEAST`` such texts, or by all. Repeated rows come out repeated; other columns aren't
+    read; an empty table gives no rows.
     """
     checkpointing(docs.sparkSession)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = stored(with_statistics(docs).select("*", failed.alias("base_failed"), *features()), "statistics")
-    far = _distance(rows, robust_shapes(rows.where("not base_failed")))
-    distance = F.when(~F.col("base_failed") & (F.col("n") >= LEAST), F.col("distance"))
-    kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= cutoff() * MARGIN**2)
-    return far.select("doc_id", "lang", "source", *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"))
+    rows = stored(with_statistics(docs).select("*", failed.alias("base_failed"), _level(2, "lang", "source").alias("pair"), *features()), "statistics")
+    passing = rows.where("not base_failed")
+    pairs = stored(passing.groupBy("pair", "lang", "source").agg(F.count("*").alias("n")), "pairs")
+    langs = pairs.groupBy(_level(1, "lang").alias("one")).agg(F.sum("n").alias("lang_n"))
+    named = pairs.withColumn("one", _level(1, "lang")).join(langs, "one")
+    own = F.when(F.col("n") >= LEAST, F.col("pair")).when(F.col("lang_n") >= LEAST, F.col("one")).otherwise(_level(0))
+    named = stored(named.select("pair", "one", own.alias("grp")), "named")
+    members = named.select("pair", F.explode(F.array("pair", "one", _level(0))).alias("grp")).join(named.select("grp").distinct(), "grp", "left_semi")
+    vectors = stored(passing.select("pair", *FEATURES).join(sized(stored(members, "members")), "pair").select("grp", *FEATURES), "vectors")
+    shapes = robust_shapes(vectors)
+
+    joined = rows.join(sized(named.select("pair", "grp")), "pair", "left").withColumn("grp", F.when(~F.col("base_failed"), F.col("grp")))
+    far = _far(joined.where("grp is not null"), shapes)
+    columns = ["doc_id", "lang", "source", *COUNTS, "base_failed"]
+    judged = far.select(*columns, "distance", (F.col("distance") <= cutoff() * MARGIN**2).alias("kept"))
+    return judged.unionByName(joined.where("grp is null").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
