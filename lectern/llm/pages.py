@@ -1,9 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block is a line. A line counts by its characters outside links; lines of menus,
-adverts, forms and the like count nothing, and where a page marks its article, so do lines outside it. The counts
-are summed over windows of ``WINDOW`` lines: where the sum surges from nothing a stretch of text begins, where it
-dives to nothing the stretch ends. All stretches that hold running text (a line that is mostly outside links) are kept, boilerplate lines in them left out.
+Markup is stripped so that every block is a line. A line counts by its characters outside links less those in links, so that
+a line of a menu counts against the text around it; lines in elements of menus, adverts, forms and the like count nothing, and
+where a page marks its article, so do lines outside it. The counts are summed over windows of ``WINDOW`` lines: where
+the sum surges above nothing a stretch of text begins, where it dives to nothing or below the stretch ends. So a list of links that
+no element names is left out, in a marked article too, while a linked heading or one linked line within text stays. All stretches are
+kept, boilerplate lines in them left out.
 """
 
 from __future__ import annotations
@@ -151,19 +153,14 @@ def main_text(page: str | None) -> str:
     if not lines:
         return ""
     marked = any(inside and not out for _, _, out, inside in lines)
-    weight = np.array([0 if out or marked and not inside else (len(t) if marked else n) for t, n, out, inside in lines])
+    counted = [not out and (inside or not marked) for _, _, out, inside in lines]
+    weight = np.array([(2 * n - len(t)) * c for (t, n, _, _), c in zip(lines, counted)])
     # the sum over a line and its neighbours; beyond the ends there is nothing
     padded = np.concatenate([np.zeros(WINDOW // 2, np.int64), weight, np.zeros(WINDOW // 2, np.int64)])
     blocks = np.convolve(padded, np.ones(WINDOW, np.int64), "valid")
     live = np.concatenate([[False], blocks > 0, [False]])
     surges, dives = np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(live[:-1] & ~live[1:])
-    totals = [int(weight[a:b].sum()) for a, b in zip(surges, dives)]
-    kept = []
-    for a, b, total in zip(surges.tolist(), dives.tolist(), totals):
-        if total and (marked or any(weight[i] * 2 > len(lines[i][0]) for i in range(a, b))):
-            own = np.flatnonzero(weight[a:b]) + a  # the window reaches one line beyond the text
-            kept += [lines[i][0] for i in range(own[0], own[-1] + 1) if not lines[i][2] and (not marked or lines[i][3])]
-    return "\n".join(kept)
+    return "\n".join(lines[i][0] for a, b in zip(surges.tolist(), dives.tolist()) for i in range(a, b) if counted[i])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
