@@ -10,7 +10,7 @@ Texts of the same shingles are one content. Candidates come from two sources:
 A key's contents are first compared with the most central of them each, which shares the most keys with others: the text of which a large
 group's copies were made has all the group's common keys. Contents of one key that are not connected by then are compared with
 each other where a key has no more than ``CROWD`` of them. Where it has more, each is compared with ``DRAWN`` of them, drawn by a hash of key
-and content; over all keys that is a sample of some hundred members of a large group. So the one link that may be missed is that of a content which is
+and content; over all keys that is a sample of some dozens of a large group's members. So the one link that may be missed is that of a content which is
 similar to few members of a large group, not to its central text, and to none of them in a key of its own.
 
 A pair is left out if the counts of shingles rule the similarity out or their sketches (a byte of each minimum) agree in under
@@ -39,7 +39,7 @@ BANDS, ROWS = 24, 4
 #: Least share of a sketch's places in which a pair at ``LEAST`` agrees.
 SKETCHED = 0.6
 #: Contents of one key that are compared pair by pair at most, and how many of more are compared with all of them.
-CROWD, DRAWN = 32, 8
+CROWD, DRAWN = 32, 2
 _random = np.random.default_rng(42)
 XORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 ODDS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
