@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,10 +18,13 @@ SLICE_BYTES = 4 << 20
 
 
 def checkpointing(spark: SparkSession) -> SparkSession:
-    """The session, with a checkpoint folder: the cluster's, or a local one where none is named (tests)."""
+    """The session, with a checkpoint folder: the cluster's, or a local one where none is named and all runs on one machine (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return spark
 
 

@@ -179,13 +179,13 @@ def document_probabilities(weights: dict[str, np.ndarray], texts: list[bytes], b
 def training_pairs(labelled: DataFrame, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     """(language, stretch) pairs of about ``sample`` texts for each language, chosen by a hash of doc_id; at most ``STRETCHES`` from a text, spread over it."""
     labelled = labelled.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).toLocalIterator()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
     if not counts:
         return []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, sample / n).otherwise(share)
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in counts.items()], "lang string, share double")
+    share = F.col("share")
+    # one row for each language
+    chosen = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, cuts = [], []

@@ -1,11 +1,14 @@
 """Near duplicates by simhash: fingerprints that differ in few bits, found with covering-code anchors.
 
-A fingerprint's 64 bits are divided into three parts of 22, 21 and 21 bits. Two fingerprints that differ in at
-most 4 bits differ in at most one bit of some part. Anchors of a part are the words of a code: a Hamming code
-over its first 15 bits (perfect, covering radius 1) and all values of the rest. Each part lies within distance 1 of
-exactly one anchor, its home; a part at distance 1 or less from it lies within radius plus threshold, 2, of that
-anchor. So each fingerprint is replicated to all anchors within 2 of each part, and compared there, by all
-64 bits, with those that are at home.
+A fingerprint's 64 bits are divided into parts, and so many parts are taken together that two fingerprints that differ in at most 4
+bits differ in at most ``slack`` bits of some combination: one of three parts (slack 1), or all but four of seven to nine (slack 0, as 4 bits
+lie in 4 parts at most). Anchors of a combination are the words of a code: a Hamming code over its first 15 bits (perfect, covering
+radius 1) and all values of the rest. Each fingerprint lies within distance 1 of exactly one anchor, its home; one that differs from it
+in ``slack`` bits lies within radius plus slack of that anchor. So each fingerprint is replicated to all anchors within that
+distance in each combination, and compared there, by all 64 bits, with those that are at home.
+
+The more distinct fingerprints, the more parts (``layout``): the number of anchors grows with theirs, so an anchor has a bounded number of homes
+and the pairs compared grow as the fingerprints do.
 
 Equal fingerprints are one row before that. A crowded anchor's homes are split by hash into shares of
 bounded size and its visitors sent to each share; a share yields a forest of links, never all pairs.
@@ -22,19 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointing, map_texts, stored, texts_of
+from .common import checkpointing, map_texts, sized, stored, texts_of
 from .components import components
 
 SEED = 42
 THRESHOLD = 4
 SHINGLE = 4
-#: (first bit, bits) of the parts.
-PARTS = ((0, 22), (22, 21), (43, 21))
+#: (parts, parts taken together, slack), in the order in which the number of anchors grows.
+LAYOUTS = ((3, 1, 1), (7, 3, 0), (8, 4, 0), (9, 5, 0))
 CODED = 15
+#: Homes of an anchor, on average, beyond which the next layout is taken.
+HOMES = 32
 #: Homes in one share of an anchor at most, on average.
 SHARE = 512
 #: Pairs that a task compares at a time.
 BLOCK = 1 << 16
+#: A combination has fewer bits than this, and its number lies above them.
+ANCHOR_BITS = 37
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -78,50 +85,67 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "doc_id long, fp long", work)
 
 
-def homes(part: np.ndarray) -> np.ndarray:
-    """The anchor within distance 1 of each part value: its first 15 bits corrected to a word of the Hamming code."""
-    syndrome = np.zeros_like(part)
-    for bit in range(CODED):
-        syndrome ^= np.where(part >> bit & 1, bit + 1, 0)
-    return np.where(syndrome > 0, part ^ (np.int64(1) << np.maximum(syndrome - 1, 0)), part)
+def combinations_of(parts: int, together: int) -> list[tuple[tuple[int, int], ...]]:
+    """The combinations of ``together`` of the 64 bits' ``parts``, each as the (first bit, bits) of its parts."""
+    edges = [64 * i // parts for i in range(parts + 1)]
+    return list(combinations([(a, b - a) for a, b in zip(edges, edges[1:])], together))
+
+
+def layout(prints: int) -> tuple[int, int, int]:
+    """The first of ``LAYOUTS`` in which ``prints`` fingerprints are at most ``HOMES`` an anchor; the last one if none is."""
+    for parts, together, slack in LAYOUTS:
+        bits = 64 * together // parts
+        if prints <= HOMES << (bits - 4):
+            break
+    return parts, together, slack
 
 
-def visits(part: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (index into ``part``, anchor) with the anchor within distance 2 of the value."""
-    index, anchors = [], []
-    masks = [0, *(1 << a for a in range(bits)), *(1 << a | 1 << b for a, b in combinations(range(bits), 2))]
-    syndrome = np.zeros_like(part)
+def _syndrome(values: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(values)
     for bit in range(CODED):
-        syndrome ^= np.where(part >> bit & 1, bit + 1, 0)
-    for mask in masks:
-        own = 0
-        for bit in range(CODED):
-            if mask >> bit & 1:
-                own ^= bit + 1
+        out ^= np.where(values >> bit & 1, bit + 1, 0)
+    return out
+
+
+def homes(values: np.ndarray) -> np.ndarray:
+    """The anchor within distance 1 of each value: its first 15 bits corrected to a word of the Hamming code."""
+    syndrome = _syndrome(values)
+    return np.where(syndrome > 0, values ^ (np.int64(1) << np.maximum(syndrome - 1, 0)), values)
+
+
+def visits(values: np.ndarray, bits: int, reach: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """All (index into ``values``, anchor) with the anchor within distance ``reach`` of the value."""
+    index, anchors, syndrome = [], [], _syndrome(values)
+    for changed in (c for k in range(reach + 1) for c in combinations(range(bits), k)):
+        mask, own = sum(1 << c for c in changed), 0
+        for c in changed:
+            own ^= c + 1 if c < CODED else 0
         at = np.flatnonzero(syndrome == own)  # the changed value is a code word
         index.append(at)
-        anchors.append(part[at] ^ mask)
+        anchors.append(values[at] ^ mask)
     return np.concatenate(index), np.concatenate(anchors)
 
 
-def _replicate(fps: np.ndarray, home: bool) -> pd.DataFrame:
-    """key: the anchor's number, then 0 for a fingerprint at home or 1 for a visitor in the last bit."""
-    frames = []
-    values = fps.view(np.uint64)
-    for k, (first, bits) in enumerate(PARTS):
-        part = (values >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        index, anchor = (np.arange(len(part)), homes(part)) if home else visits(part, bits)
-        frames.append(pd.DataFrame({"anchor": anchor | k << 22, "fp": fps[index]}))
+def _replicate(fps: np.ndarray, home: bool, chosen: tuple[int, int, int]) -> pd.DataFrame:
+    """anchor (the combination's number in the upper bits) and fp of each fingerprint at home or as a visitor."""
+    frames, values = [], fps.view(np.uint64)
+    for k, own in enumerate(combinations_of(*chosen[:2])):
+        joined, width = np.zeros(len(values), np.int64), 0
+        for first, bits in own:
+            joined |= (values >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64) << width
+            width += bits
+        index, anchor = (np.arange(len(joined)), homes(joined)) if home else visits(joined, width, 1 + chosen[2])
+        frames.append(pd.DataFrame({"anchor": anchor | k << ANCHOR_BITS, "fp": fps[index]}))
     return pd.concat(frames, ignore_index=True)
 
 
-def at_anchors(fps: DataFrame, home: bool) -> DataFrame:
+def at_anchors(fps: DataFrame, home: bool, chosen: tuple[int, int, int] = LAYOUTS[0]) -> DataFrame:
     """(anchor, fp) for each fingerprint's homes, or for all anchors that it visits."""
 
     def run(batches):
         for b in batches:
             for a in range(0, len(b), 512):
-                yield _replicate(b["fp"].to_numpy(np.int64)[a : a + 512], home)
+                yield _replicate(b["fp"].to_numpy(np.int64)[a : a + 512], home, chosen)
 
     return fps.select("fp").mapInPandas(run, "anchor long, fp long")
 
@@ -167,33 +191,33 @@ def near_pairs(home: np.ndarray, first: np.ndarray, last: np.ndarray, visitor: n
 
 
 def compare_sorted(batches, threshold: int):
-    """Links from rows (key, fp) in the order of key: an anchor's homes come first and wait while its visitors pass by."""
-    kept_anchor, kept = -1, np.zeros(0, np.int64)
+    """Links from rows (anchor, share, visit, fp) in that order: a share's homes come first and wait while its visitors pass by."""
+    kept_share, kept = None, np.zeros(0, np.int64)
     for frame in batches:
-        anchor, visits_ = frame["key"].to_numpy(np.int64) >> 1, (frame["key"].to_numpy(np.int64) & 1).astype(bool)
-        fp = frame["fp"].to_numpy(np.int64)
-        home_anchor = np.concatenate([np.full(len(kept), kept_anchor), anchor[~visits_]])
-        home = np.concatenate([kept, fp[~visits_]])
-        of = anchor[visits_]
-        found = near_pairs(home, np.searchsorted(home_anchor, of, "left"), np.searchsorted(home_anchor, of, "right"), fp[visits_], threshold)
-        if len(anchor):
-            kept_anchor = int(anchor[-1])
-            kept = home[home_anchor == kept_anchor]
+        if not len(frame):
+            continue
+        anchor, share, fp = (frame[c].to_numpy(np.int64) for c in ("anchor", "share", "fp"))
+        visit = frame["visit"].to_numpy().astype(bool)
+        of = np.cumsum(np.concatenate([[kept_share != (anchor[0], share[0])], (anchor[1:] != anchor[:-1]) | (share[1:] != share[:-1])]))  # 0: the share that waits
+        home_of, home = np.concatenate([np.zeros(len(kept), np.int64), of[~visit]]), np.concatenate([kept, fp[~visit]])
+        asked = of[visit]
+        found = near_pairs(home, np.searchsorted(home_of, asked, "left"), np.searchsorted(home_of, asked, "right"), fp[visit], threshold)
+        kept_share, kept = (anchor[-1], share[-1]), home[home_of == of[-1]]
         if found:
             a, b = spanning(np.concatenate(found, axis=1))
             yield pd.DataFrame({"a": a, "b": b})
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): links that connect all fingerprints of ``fps`` (distinct fp) that chains of near ones connect."""
-    at_home = at_anchors(fps, True)
-    # An anchor with many homes has several shares. There are 2^18 + 2 * 2^17 anchors at most, so this is safe to broadcast.
-    crowded = F.broadcast(at_home.groupBy("anchor").count().where(F.col("count") > SHARE).select("anchor", F.ceil(F.col("count") / SHARE).alias("shares")))
+def links(fps: DataFrame, threshold: int = THRESHOLD, chosen: tuple[int, int, int] | None = None) -> DataFrame:
+    """(a, b): links that connect all fingerprints of ``fps`` (distinct fp, stored) that chains of near ones connect."""
+    chosen = chosen or layout(fps.count())
+    at_home = at_anchors(fps, True, chosen)
+    # an anchor with many homes has several shares; by the layout few have
+    crowded = sized(stored(at_home.groupBy("anchor").count().where(F.col("count") > SHARE).select("anchor", F.ceil(F.col("count") / SHARE).alias("shares")), "crowded"))
     shares = F.coalesce("shares", F.lit(1))
-    place = lambda share, visit: (F.shiftleft(share.cast("long"), 26) + F.col("anchor")) * 2 + visit
-    home = at_home.join(crowded, "anchor", "left").select(place(F.pmod(F.xxhash64("fp"), shares), 0).alias("key"), "fp")
-    visitor = at_anchors(fps, False).join(crowded, "anchor", "left").select("anchor", "fp", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share")).select(place(F.col("share"), 1).alias("key"), "fp")
-    rows = home.unionByName(visitor).repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    home = at_home.join(crowded, "anchor", "left").select("anchor", F.pmod(F.xxhash64("fp"), shares).alias("share"), F.lit(0).alias("visit"), "fp")
+    visitor = at_anchors(fps, False, chosen).join(crowded, "anchor", "left").select("anchor", "fp", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share")).select("anchor", "share", F.lit(1).alias("visit"), "fp")
+    rows = home.unionByName(visitor).repartition("anchor", "share").sortWithinPartitions("anchor", "share", "visit")
     return rows.mapInPandas(lambda batches: compare_sorted(batches, threshold), "a long, b long")
 
 

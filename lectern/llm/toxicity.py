@@ -66,10 +66,7 @@ class Machine:
         self.bias, self.weight, self.vector = bias, weight, vector
 
     def raw(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of each text, whose buckets lie in ``flat`` from its start on; and the texts' vector sums.
-
-        Pairs are weighed by 1/n so that long texts' many pairs count like short texts' few.
-        """
+        """Log odds of each text, whose buckets lie in ``flat`` from its start on; and the texts' vector sums."""
         n = np.diff(np.append(starts, len(flat)))
         own = np.repeat(np.arange(len(starts)), n)
         linear = np.bincount(own, self.weight[flat], len(starts))

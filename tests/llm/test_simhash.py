@@ -2,11 +2,13 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+import pytest
 import xxhash
 
 from lectern.llm import simhash
 from lectern.llm.components import components
-from lectern.llm.simhash import PARTS, fingerprint, homes, links, near_duplicates, visits
+from lectern.llm.simhash import LAYOUTS, combinations_of, fingerprint, homes, layout, links, near_duplicates, op2_simhash, visits
 
 
 def plain(text):
@@ -39,17 +41,28 @@ def test_fingerprint():
         assert fingerprint(text) == plain(text)
 
 
-def test_every_value_has_one_home_and_meets_its_neighbours():
+@pytest.mark.parametrize("reach", [1, 2])
+def test_every_value_has_one_home_and_meets_its_neighbours(reach):
     r = np.random.default_rng(3)
-    for _, bits in PARTS:
+    for bits in (21, 22, 28, 36):
         x = r.integers(0, 1 << bits, 200)
-        y = x ^ (1 << r.integers(0, bits, 200))
-        index, anchor = visits(y, bits)
+        y = x ^ (1 << r.integers(0, bits, 200)) if reach == 2 else x
+        index, anchor = visits(y, bits, reach)
         seen = set(zip(index.tolist(), anchor.tolist()))
         assert all((i, a) in seen for i, a in enumerate(homes(x).tolist()))
         assert all(bin(a ^ b).count("1") <= 1 for a, b in zip(homes(x).tolist(), x.tolist()))
 
 
+def test_layouts_cover_four_bits_and_grow():
+    r = random.Random(6)
+    for parts, together, slack in LAYOUTS:
+        masks = [sum(((1 << n) - 1) << a for a, n in own) for own in combinations_of(parts, together)]
+        for _ in range(2000):
+            off = sum(1 << b for b in r.sample(range(64), 4))
+            assert min((off & m).bit_count() for m in masks) <= slack
+    assert [layout(10**k)[0] for k in (3, 6, 7, 8, 9, 11)] == [3, 3, 7, 7, 8, 9]
+
+
 def near_values(n):
     r = random.Random(4)
     values = [r.getrandbits(64) for _ in range(n)]
@@ -59,11 +72,12 @@ def near_values(n):
     return sorted(set(values))
 
 
-def test_links_connect_what_brute_force_connects(spark, monkeypatch):
+@pytest.mark.parametrize("chosen", LAYOUTS)
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, chosen):
     monkeypatch.setattr(simhash, "SHARE", 3)
     values = near_values(150)
     fps = np.array(values, np.uint64).view(np.int64)
-    pairs = links(spark.createDataFrame(pd.DataFrame({"fp": fps}))).toPandas().to_numpy(np.int64).view(np.uint64)
+    pairs = links(spark.createDataFrame(pd.DataFrame({"fp": fps})), chosen=chosen).toPandas().to_numpy(np.int64).view(np.uint64)
     joined = {int(v): int(v) for v in values}
 
     def find(v):
@@ -107,3 +121,11 @@ def test_documents(spark):
         assert got[10 - i].fp & (1 << 64) - 1 == values[i]
         assert got[10 - i].component_id == min(10 - j for j in range(len(texts)) if want[j] == want[i])
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query(spark, small):
+    docs = sorted((x["doc_id"], x["text"]) for x in pq.read_table(f"{small}/documents.parquet").to_pylist())
+    values = [fingerprint(t or "") if len(t or "") > 3000 else plain(t or "") for _, t in docs]
+    want = groups(values, 4)
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in op2_simhash(spark, small).collect()}
+    assert got == {d: (f"{v:016x}", docs[g][0]) for (d, _), v, g in zip(docs, values, want)}
