@@ -31,9 +31,12 @@ RATE = 0.1
 DECAY = 1e-4
 #: Texts in which a term must occur in training to count.
 LEAST = 4
-#: Least chi-squared (one degree of freedom) between a term and the label for the term to be learned; others would
-#: add up to noise in long texts.
+#: Least chi-squared (one degree of freedom) between a term and the label for the term to be learned for its own sake; others
+#: would add up to noise in long texts.
 TELLING = 20.0
+#: Terms, the most frequent of training, whose pairs are looked at too; least chi-squared between a pair and the label for both of
+#: its terms to be learned, whatever each says alone. It is higher, as there are so many pairs.
+PAIRED, TELLING_PAIR = 2000, 45.0
 BEGINNING = 4
 WORD = re.compile(r"[^\W_]+")
 _KEPT: dict[str, tuple[int, ...]] = {}
@@ -86,14 +89,39 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _chi_squared(toxic: np.ndarray, count: np.ndarray, share: float, texts: int) -> np.ndarray:
+    """Between the label and what is in ``count`` texts, ``toxic`` of them toxic; ``share`` of all ``texts`` are."""
+    expected = count * share
+    return (toxic - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - count / texts), 1e-9)
+
+
+def telling_pairs(samples: list[tuple[int, np.ndarray]], count: np.ndarray) -> np.ndarray:
+    """The buckets that belong to a telling pair."""
+    chosen = np.argsort(-count, kind="stable")[:PAIRED]
+    chosen = chosen[count[chosen] >= LEAST]
+    column = np.full(BUCKETS, -1)
+    column[chosen] = np.arange(len(chosen))
+    holds = np.zeros((len(samples), len(chosen)), np.float32)
+    for row, (_, buckets) in zip(holds, samples):
+        at = column[buckets]
+        row[at[at >= 0]] = 1
+    label = np.array([s[0] for s in samples], bool)
+    both, toxic = holds.T @ holds, holds[label].T @ holds[label]
+    found = (both >= LEAST) & (_chi_squared(toxic, both, label.mean(), len(samples)) >= TELLING_PAIR)
+    np.fill_diagonal(found, False)
+    # a pair that says no more than one of its terms alone tells nothing new
+    own = np.diag(_chi_squared(toxic, both, label.mean(), len(samples)))
+    found &= np.maximum(own[:, None], own[None, :]) < TELLING
+    return chosen[found.any(axis=0)]
+
+
 def train(samples: list[tuple[int, np.ndarray]], prior: float, seed: int = 7) -> Machine:
     """A machine from (label, buckets) pairs; ``prior`` is the share of label 1 where the machine will be used."""
     label = np.array([s[0] for s in samples], np.float64)
     count = np.bincount(np.concatenate([s[1] for s in samples]), minlength=BUCKETS)
     toxic = np.bincount(np.concatenate([s[1] for s in samples if s[0] == 1]), minlength=BUCKETS)
-    expected = count * label.mean()
-    left_over = expected * (1 - label.mean()) * (1 - count / len(samples))
-    used = (count >= LEAST) & ((toxic - expected) ** 2 >= TELLING * np.maximum(left_over, 1e-9))
+    used = (count >= LEAST) & (_chi_squared(toxic, count, label.mean(), len(samples)) >= TELLING)
+    used[telling_pairs(samples, count)] = True
     parts = [s[1][used[s[1]]] for s in samples]
     r = np.random.default_rng(seed)
     share = min(max(label.mean(), 1e-3), 1 - 1e-3)

@@ -1,10 +1,12 @@
 import random
+from zlib import crc32
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lectern.llm import toxicity
-from lectern.llm.toxicity import Machine, held_out, score_toxicity, term_buckets, train, train_toxicity
+from lectern.llm.toxicity import Machine, held_out, op9_toxicity, score_toxicity, term_buckets, train, train_toxicity
 
 
 def test_machine_equals_the_plain_formula():
@@ -47,3 +49,24 @@ def test_documents(spark):
     assert train_toxicity(docs, labels.limit(0)) is None
     assert {r.score for r in score_toxicity(docs, None).collect()} == {0.0}
     assert score_toxicity(docs.limit(0), machine).count() == 0
+
+
+def test_an_interaction_of_terms_that_say_nothing_alone():
+    r = random.Random(8)
+    filler = [f"w{i}" for i in range(400)]
+
+    def text(label):
+        a, b = r.choice([("alpha", "group"), ("omega", "other")] if label else [("alpha", "other"), ("omega", "group")])
+        return " ".join(r.sample(filler, 20) + [a, b])
+
+    machine = train([(y, term_buckets(text(y))) for y in [0, 1] * 600], 0.5)
+    for y in (0, 1):
+        assert np.mean((machine.score([text(y) for _ in range(200)]) >= 0.5) == y) > 0.95
+
+
+def test_query(spark, small):
+    docs = {x["doc_id"] for x in pq.read_table(f"{small}/documents.parquet").to_pylist()}
+    out = op9_toxicity(spark, small).collect()
+    assert {x.doc_id for x in out} == docs and len(out) == len(docs)
+    for x in out:
+        assert x.held_out == (crc32(str(x.doc_id).encode()) % 5 == 0) and x.predicted == int(x.score >= 0.5) and 0 <= x.score <= 1
