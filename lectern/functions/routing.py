@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import bound, contains_any, stripped, text_of
+from .scalars import bound, contains_any, stripped, text_of, weak_answer
 
 # The signals of each class of message.
 MATH_SIGNALS = ("solve", "integrate", "integral", "differentiate", "derivative", "evaluate", "calculate", "simplify", "∫", "∑", "√")
@@ -106,6 +106,20 @@ def all_but_number(message: Column) -> Column:
     return F.when(contains_any(low, ALL_BUT_SIGNALS), F.regexp_extract(low, ALL_BUT, 1)).otherwise("")
 
 
+def all_but_answer(message: Column) -> Column:
+    """The answer to an all-but question in words; empty if the message asks none."""
+    n = all_but_number(message)
+    return F.when(n != "", F.concat(F.lit("The answer is "), n, F.lit(". Because 'all but "), n, F.lit("' means every one except "), n, F.lit(" is gone, so "), n, F.lit(" are left."))).otherwise("")
+
+
+def image_prompt(message: Column, intent: Column, shown: Column) -> Column:
+    """What an image model is asked for: the wish, and what wording the image shall show."""
+    exact = F.concat(message, F.lit('. Clean professional design. IMPORTANT: display the exact text "'), shown, F.lit('", spelled correctly, sharp and clearly readable. No other text, no random letters. High resolution.'))
+    worded = F.concat(message, F.lit(". Clean professional design with the requested wording spelled correctly and clearly readable. No random or extra text. High resolution."))
+    plain = F.concat(message, F.lit(". Clean, high-quality illustration with NO text, NO words, NO letters, no captions, no labels, no watermark. High resolution."))
+    return F.when(intent != "wants_text", plain).when(shown != "", exact).otherwise(worded)
+
+
 def is_lesson(message: Column) -> Column:
     return contains_any(F.lower(text_of(message)), LESSON)
 
@@ -128,6 +142,11 @@ def route(message: Column, role: Column, staged_file: Column | None = None) -> C
     )
 
 
+def chat_action(message: Column, role: Column, staged_file: Column, url: Column) -> Column:
+    """What a request starts: reading a page if it names one, else what its message and staged file ask for."""
+    return F.when(stripped(url) != "", "web").otherwise(route(message, role, staged_file))
+
+
 def route_status(action: Column) -> Column:
     """The line shown while a route's action runs."""
     pairs = [F.lit(x) for pair in STATUS.items() for x in pair]
@@ -149,6 +168,30 @@ def answer_route(message: Column, role: Column, self_query: Column) -> Column:
     )
 
 
+def answer_cascade(message: Column, role: Column, *, cancelled: Column, url: Column, pending_image: Column, faq_hit: Column, answer: Column, has_document: Column) -> Column:
+    """Which step of the whole cascade answers a request; the first rule that holds counts.
+
+    ``faq_hit`` says whether the question bank answers, ``answer`` is what retrieval gave: a weak one goes to the web unless the session
+    has a document. Lesson plans are blocked by fewer phrases here than in ``is_lesson``.
+    """
+    low = F.lower(text_of(message))
+    plain = ~is_math(message) & ~is_reasoning(message)
+    blocked = contains_any(low, LESSON[:4]) & ~role.eqNullSafe(F.lit("teacher"))
+    return (
+        F.when(cancelled, "cancelled")
+        .when(stripped(url) != "", "url")
+        .when(blocked, "lesson-blocked")
+        .when(pending_image, "pending-image")
+        .when(all_but_number(message) != "", "all-but")
+        .when(is_math(message), "math")
+        .when(faq_hit, "faq")
+        .when(plain & contains_any(low, ("wikipedia", "wiki")), "wikipedia")
+        .when(plain & is_web(message), "web")
+        .when(weak_answer(answer) & ~has_document, "retrieval-to-web")
+        .otherwise("retrieval")
+    )
+
+
 def lesson_metadata(message: Column) -> dict[str, Column]:
     """grade, duration, topic, subject, prerequisite; empty where the message has none."""
     text = text_of(message)

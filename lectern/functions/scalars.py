@@ -70,11 +70,15 @@ def iso_to_utc(value: Column) -> Column:
     return F.try_to_timestamp(value).cast("timestamp_ntz")
 
 
-def escape_markdown(value: Column) -> Column:
+def html_escaped(value: Column) -> Column:
     out = text_of(value)
     for char, entity in ENTITIES:
         out = F.replace(out, F.lit(char), F.lit(entity))
-    return F.regexp_replace(out, MARKDOWN, r"\\$1")
+    return out
+
+
+def escape_markdown(value: Column) -> Column:
+    return F.regexp_replace(html_escaped(value), MARKDOWN, r"\\$1")
 
 
 def clean_markdown(value: Column) -> Column:

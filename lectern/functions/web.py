@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scalars import collapsed, stripped, text_of
+from .scalars import collapsed, html_escaped, stripped, text_of
 
 PAGE = 8000
 DROPPED = ("script", "style", "noscript", "header", "footer", "nav", "aside")
-REFERENCES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+#: Results in a card list at most.
+CARDS = 5
+
+
+def unescaped(text: Column) -> Column:
+    """Character references, named and numeric, decoded once, by the text library that Spark ships."""
+    decoded = F.java_method(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), text)
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def without_markup(html: Column) -> Column:
@@ -18,9 +26,7 @@ def without_markup(html: Column) -> Column:
     for name in DROPPED:
         out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}>", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    for reference, char in REFERENCES:
-        out = F.replace(out, F.lit(reference), F.lit(char))
-    return collapsed(out)
+    return collapsed(unescaped(out))
 
 
 def html_text(html: Column, limit: int = PAGE) -> Column:
@@ -29,9 +35,7 @@ def html_text(html: Column, limit: int = PAGE) -> Column:
 
 def html_title(html: Column) -> Column:
     out = F.regexp_extract(text_of(html), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for reference, char in REFERENCES:
-        out = F.replace(out, F.lit(reference), F.lit(char))
-    return stripped(out)
+    return stripped(unescaped(out))
 
 
 def page_envelope(html: Column) -> Column:
@@ -46,3 +50,29 @@ def with_scheme(url: Column) -> Column:
 
 def url_domain(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("//")), F.split_part(url, F.lit("/"), F.lit(3))).otherwise(url)
+
+
+def result_card(title: Column, body: Column, url: Column) -> Column:
+    """A search result's parts, escaped for a page: title, domain, snippet, address."""
+    url = stripped(url)
+    named = F.when(text_of(title) == "", "Untitled result").otherwise(stripped(title))
+    domain = F.when(F.contains(url, F.lit("//")), F.split_part(url, F.lit("/"), F.lit(3))).otherwise("")
+    return F.struct(html_escaped(named).alias("title"), html_escaped(domain).alias("domain"), html_escaped(stripped(body)).alias("snippet"), html_escaped(url).alias("url"))
+
+
+def result_cards(results: DataFrame, limit: int = CARDS) -> DataFrame:
+    """query_id, rank and the card of the first ``limit`` results of each query; ``results`` has query_id, ord, title, body, url."""
+    ranked = results.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("ord"))).where(F.col("rank") <= limit)
+    return ranked.select("query_id", "rank", result_card(F.col("title"), F.col("body"), F.col("url")).alias("card")).select("query_id", "rank", "card.*")
+
+
+def web_contexts(sources: DataFrame) -> DataFrame:
+    """query_id and context: what sources with a body say, in order, under their titles, and the address of the first that has one.
+
+    ``sources`` has query_id, ord (the most reliable source first), title, body, url.
+    """
+    own = sources.where(stripped(F.col("body")) != "").select("query_id", F.struct("ord", F.concat(stripped(F.col("title")), F.lit(": "), stripped(F.col("body"))).alias("part"), stripped(F.col("url")).alias("url")).alias("s"))
+    sorted_ = own.groupBy("query_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    first = F.filter("s", lambda x: x["url"] != "")
+    address = F.when(F.size(first) > 0, F.concat(F.lit("\n\nMost relevant source URL: "), F.try_element_at(first, F.lit(1))["url"])).otherwise("")
+    return sorted_.select("query_id", F.concat(F.array_join(F.transform("s", lambda x: x["part"]), "\n\n"), address).alias("context"))

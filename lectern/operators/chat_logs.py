@@ -69,6 +69,20 @@ def session_ownership(pairs: DataFrame, logs: DataFrame, strict: bool = False) -
     return joined.select("session_id", "user_email", (belongs if strict else (F.col("email__") == "") | belongs).alias("belongs"))
 
 
+def share_insert(requests: DataFrame, logs: DataFrame, now: Column, token: Column | None = None) -> DataFrame:
+    """The answer to each request to share a session: 400 without a session, 403 if it is another's, 404 if it has no log rows, else 200 and the new record.
+
+    ``requests`` has session_id and user_email. A token is 32 random bytes as URL text, unless ``token`` says another.
+    """
+    random = F.translate(F.base64(F.unhex(F.replace(F.concat(F.uuid(), F.uuid()), F.lit("-"), F.lit("")))), "+/=\n", "-_")
+    asked = requests.select(stripped(F.col("session_id")).alias("session_id"), normal_email(F.col("user_email")).alias("user_email")).distinct()
+    held = logs.select("session_id").distinct().withColumn("held", F.lit(True))
+    status = F.when(F.col("session_id") == "", 400).when(~F.col("belongs"), 403).when(F.col("held").isNull(), 404).otherwise(200).cast("int")
+    rows = session_ownership(asked, logs).join(held, "session_id", "left").withColumn("status", status)
+    good = F.col("status") == 200
+    return rows.select("session_id", "user_email", "status", F.when(good, random if token is None else token).alias("share_token"), F.when(good, now).alias("created_at_utc"), good.alias("is_active"))
+
+
 def share_lookup(shares: DataFrame, token: str) -> DataFrame:
     """The record of one share token."""
     return shares.where(F.col("share_token") == token).limit(1)

@@ -160,6 +160,16 @@ def faq_best(messages: DataFrame, least: float = FUZZY) -> DataFrame:
     return best.where(F.col("b.score") >= least).select("msg_id", "b.question", "b.answer", "b.score")
 
 
+def faq_answer(messages: DataFrame, least: float = FUZZY) -> DataFrame:
+    """The answer of the bank to each message about the assistant: the first question that holds it or is held by it, else the best by score.
+
+    Joins with the bank are with its fixed rows (``BANK``), so pairs grow with the messages alone; only messages without the first are scored.
+    """
+    sure = faq_substring(messages).withColumn("by", F.lit("substring"))
+    rest = messages.join(sure.select("msg_id"), "msg_id", "left_anti")
+    return sure.unionByName(faq_best(rest, least).drop("score").withColumn("by", F.lit("fuzzy")))
+
+
 def faq_candidates(messages: DataFrame, limit: int = 12) -> DataFrame:
     """The questions with the most points for a message: equal, prefix, shared tokens, alias."""
     from pyspark.sql import Window as W

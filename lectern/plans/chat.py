@@ -34,6 +34,28 @@ def _per_message(**columns):
     return lambda spark, d: _messages(spark, d).select("msg_id", *[c(F.col("text")).alias(n) for n, c in columns.items()])
 
 
+def _requests(spark, d):
+    """The messages as requests: some cancelled, with a page's address or a staged file, and what retrieval answered."""
+    rows = _role_of(_messages(spark, d))
+    pending = T.pending_images(rows, R.image_intent(F.col("text")), R.is_image_request(F.col("text"))).select("msg_id", F.lit(True).alias("was"))
+    bank = Q.faq_substring(rows).select("msg_id", F.lit(True).alias("hit"))
+    answers = _logs(spark, d).select(F.col("seq").cast("long").alias("msg_id"), F.col("response").alias("answer"))
+    rows = rows.join(pending, "msg_id", "left").join(bank, "msg_id", "left").join(answers, "msg_id", "left")
+    n = F.abs("msg_id")
+    return rows.withColumns({"url": F.when(n % 11 == 3, " page.example/x ").when(n % 11 == 4, " "), "staged": F.when(n % 13 == 2, "notes.pdf").when(n % 13 == 3, ""), "cancelled": n % 17 == 5, "document": n % 5 == 0})
+
+
+def _cascade(spark, d):
+    none = F.lit(False)
+    step = R.answer_cascade(F.col("text"), F.col("role"), cancelled=F.col("cancelled"), url=F.col("url"), pending_image=F.coalesce("was", none), faq_hit=F.coalesce("hit", none), answer=F.col("answer"), has_document=F.col("document"))
+    return _requests(spark, d).select("msg_id", step.alias("route"))
+
+
+def _share_requests(logs):
+    n = F.col("seq") % 7
+    return logs.select(F.when(n == 0, " ").when(n == 1, "no-such").otherwise(F.col("session_id")).alias("session_id"), F.when(n == 2, "other@students.example").when(n == 1, "").otherwise(F.col("user_email")).alias("user_email"))
+
+
 def _role_of(messages):
     return messages.withColumn("role", S.access_role(F.col("user_email")))
 
@@ -82,8 +104,15 @@ QUERIES = {
     "route_action": lambda s, d: _role_of(_messages(s, d)).select("msg_id", R.route(F.col("text"), F.col("role")).alias("action"), R.route_status(R.route(F.col("text"), F.col("role"))).alias("status")),
     "route_histogram": lambda s, d: R.route_histogram(_role_of(_messages(s, d)), F.col("role")),
     "answer_route": lambda s, d: _role_of(_messages(s, d)).select("msg_id", R.answer_route(F.col("text"), F.col("role"), Q.is_self_query(F.col("text"))).alias("route")),
+    "all_but_answer": _per_message(answer=R.all_but_answer),
+    "image_prompt": lambda s, d: _messages(s, d).where(R.is_image_request(F.col("text"))).select("msg_id", R.image_prompt(F.col("text"), R.image_intent(F.col("text")), R.image_text(F.col("text"))).alias("prompt")),
+    "chat_action": lambda s, d: _requests(s, d).select("msg_id", R.chat_action(F.col("text"), F.col("role"), F.col("staged"), F.col("url")).alias("action")),
+    "answer_cascade": _cascade,
+    "faq_answer": lambda s, d: Q.faq_answer(_messages(s, d)),
+    "share_insert": lambda s, d: L.share_insert(_share_requests(_logs(s, d)), _logs(s, d), F.lit(NOW).cast("timestamp_ntz"), F.sha2(F.col("session_id"), 256)),
+    "fact_maps": lambda s, d: T.fact_maps(T.user_facts(_messages(s, d))).select("user_email", F.to_json("facts").alias("facts")),
     "is_self_query": _per_message(hit=Q.is_self_query),
-    "lesson_metadata": lambda s, d: _messages(s, d).where("msg_id < 0").select("msg_id", *[c.alias(n) for n, c in R.lesson_metadata(F.col("text")).items()]),
+    "lesson_metadata": lambda s, d: _messages(s, d).select("msg_id", *[c.alias(n) for n, c in R.lesson_metadata(F.col("text")).items()]),
     "lesson_metadata_all": lambda s, d: _messages(s, d).select("msg_id", *[c.alias(n) for n, c in R.lesson_metadata(F.col("text")).items()]),
     "lesson_timing": lambda s, d: s.range(0, 241).select(F.col("id").cast("int").alias("minutes")).select("minutes", *[c.alias(n) for n, c in R.lesson_timing(F.col("minutes")).items()]),
     "expand_contractions": _per_message(expanded=Q.expand_contractions),
@@ -267,7 +296,6 @@ ORACLES = {
     "is_self_query": _faq("SELECT msg_id, own AS hit FROM c"),
     "lesson_metadata": _m(
         rf"CASE WHEN regexp_extract(text, {_q(R.GRADE)}, 1) <> '' THEN concat('Grade ', regexp_extract(text, {_q(R.GRADE)}, 1)) ELSE '' END AS grade, regexp_extract(text, {_q(R.DURATION)}, 1) AS duration, CASE WHEN {NAMED} THEN {TOPIC} ELSE '' END AS topic, CASE WHEN {NAMED} THEN CASE WHEN len(regexp_split_to_array({TOPIC}, '\s+')) <= 3 THEN {TOPIC} ELSE '' END ELSE {_strip(f'regexp_extract(text, {_q(R.SUBJECT)}, 1)')} END AS subject, {_strip(f'regexp_extract(text, {_q(R.PREREQUISITE)}, 1)')} AS prerequisite",
-        "msg_id < 0",
     ),
     "lesson_timing": "SELECT minutes, " + ", ".join(f"CAST(CASE WHEN minutes >= 10 THEN {e} ELSE {d} END AS INT) AS {n}" for (n, e), d in zip(PARTS.items(), (5, 15, 10, 7))) + ", CAST(CASE WHEN minutes >= 10 THEN greatest(3, minutes - (" + " + ".join(PARTS.values()) + ")) ELSE 3 END AS INT) AS closure FROM (SELECT CAST(range AS INT) AS minutes FROM range(241))",
     "expand_contractions": _faq("SELECT msg_id, expanded FROM c"),
@@ -277,5 +305,28 @@ ORACLES = {
     "faq_jaccard": _faq(f", r AS (SELECT msg_id, {_renormal('canonical')} AS asked FROM c WHERE own AND canonical <> '') SELECT msg_id, CAST(ord AS BIGINT) AS ord, round(len(list_intersect({_tok('asked')}, {_tok('qnormal')}))::DOUBLE / greatest(len(list_distinct(list_concat({_tok('asked')}, {_tok('qnormal')}))), 1), 6) AS overlap FROM r, {BANK}"),
     "faq_candidates": _faq(f"SELECT msg_id, question, CAST({POINTS} AS INT) AS points, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY points DESC, question) AS INT) AS rank FROM c, {BANK} WHERE canonical <> '' AND points > 0 QUALIFY rank <= 12"),
 }
-#: The same over every message, not the fixture sentences alone.
-ORACLES["lesson_metadata_all"] = ORACLES["lesson_metadata"].replace("WHERE msg_id < 0", "WHERE TRUE")
+ORACLES["lesson_metadata_all"] = ORACLES["lesson_metadata"]
+ORACLES["all_but_answer"] = f"SELECT msg_id, CASE WHEN n <> '' THEN concat('The answer is ', n, {_q(". Because 'all but ")}, n, {_q("' means every one except ")}, n, ' is gone, so ', n, ' are left.') ELSE '' END AS answer FROM ({_m(ALL_BUT + ' AS n')})"
+ORACLES["image_prompt"] = f"""SELECT msg_id, CASE WHEN intent <> 'wants_text' THEN concat(text, '. Clean, high-quality illustration with NO text, NO words, NO letters, no captions, no labels, no watermark. High resolution.')
+ WHEN shown <> '' THEN concat(text, '. Clean professional design. IMPORTANT: display the exact text "', shown, '", spelled correctly, sharp and clearly readable. No other text, no random letters. High resolution.')
+ ELSE concat(text, '. Clean professional design with the requested wording spelled correctly and clearly readable. No random or extra text. High resolution.') END AS prompt
+ FROM ({ORACLES["image_intent"].replace(" AS shown", " AS shown, text").replace("WHERE TRUE", "WHERE " + IMAGE)})"""
+URL = "CASE WHEN abs(msg_id) % 11 = 3 THEN ' page.example/x ' WHEN abs(msg_id) % 11 = 4 THEN ' ' END"
+ORACLES["chat_action"] = _m(f"CASE WHEN trim(coalesce({URL}, '')) <> '' THEN 'web' WHEN abs(msg_id) % 13 = 2 THEN 'document' ELSE {ACTION} END AS action")
+ORACLES["answer_cascade"] = _faq(
+    f""", p AS (SELECT msg_id AS p_id FROM (SELECT *, lag({IMAGE} AND {INTENT} = 'ambiguous') OVER w AS was FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY ord, msg_id)) WHERE was),
+ h AS (SELECT DISTINCT msg_id AS h_id FROM c JOIN {BANK} ON contains(canonical, question) OR contains(question, canonical) WHERE own AND canonical <> ''),
+ a AS (SELECT seq AS a_id, response FROM chat_logs)
+ SELECT msg_id, CASE WHEN abs(msg_id) % 17 = 5 THEN 'cancelled' WHEN abs(msg_id) % 11 = 3 THEN 'url'
+ WHEN {_any(RAW, R.LESSON[:4])} AND {ROLE} IS DISTINCT FROM 'teacher' THEN 'lesson-blocked' WHEN p_id IS NOT NULL THEN 'pending-image' WHEN {ALL_BUT} <> '' THEN 'all-but' WHEN {MATH} THEN 'math'
+ WHEN h_id IS NOT NULL THEN 'faq' WHEN NOT {REASON} AND contains({RAW}, 'wiki') THEN 'wikipedia' WHEN NOT {REASON} AND {WEB} THEN 'web'
+ WHEN abs(msg_id) % 5 <> 0 AND (length(lower({_strip('response')})) < 40 OR {_any('lower(' + _strip('response') + ')', S.WEAK_SIGNALS)}) THEN 'retrieval-to-web' ELSE 'retrieval' END AS route
+ FROM messages LEFT JOIN p ON p_id = msg_id LEFT JOIN h ON h_id = msg_id LEFT JOIN a ON a_id = msg_id"""
+)
+ORACLES["share_insert"] = _l(
+    f""", r AS (SELECT DISTINCT CASE WHEN seq % 7 = 0 THEN '' WHEN seq % 7 = 1 THEN 'no-such' ELSE session_id END AS session_id, CASE WHEN seq % 7 = 2 THEN 'other@students.example' WHEN seq % 7 = 1 THEN '' ELSE user_email END AS user_email FROM chat_logs),
+ s AS (SELECT *, CAST(CASE WHEN session_id = '' THEN 400 WHEN user_email <> '' AND NOT EXISTS (SELECT 1 FROM chat_logs l WHERE l.session_id = r.session_id AND l.user_email = r.user_email) THEN 403
+ WHEN NOT EXISTS (SELECT 1 FROM chat_logs l WHERE l.session_id = r.session_id) THEN 404 ELSE 200 END AS INT) AS status FROM r)
+ SELECT session_id, user_email, status, CASE WHEN status = 200 THEN sha256(session_id) END AS share_token, CASE WHEN status = 200 THEN TIMESTAMP '{NOW}' END AS created_at_utc, status = 200 AS is_active FROM s"""
+)
+ORACLES["fact_maps"] = f"SELECT user_email, concat('{{', string_agg(concat(to_json(term), ':', to_json(definition)), ',' ORDER BY term, definition), '}}') AS facts FROM ({ORACLES['user_facts']}) GROUP BY user_email"

@@ -16,7 +16,7 @@ def _vectors(s, d):
 
 
 def _asked(s, d):
-    return table(s, d, "embeddings").where("vec_id < 5")
+    return table(s, d, "embeddings").where("vec_id % 50 = 0")
 
 
 def _near(metric, k=6):
@@ -27,18 +27,13 @@ def _filtered(condition, k=3):
     return lambda s, d: V.nearest(_vectors(s, d).where(condition()), _asked(s, d), k)
 
 
-def _texts(s, d):
-    return table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 300).alias("text"))
-
-
 def _whole_texts(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
 
 
-def _augmented(s, d, text=None):
-    docs = table(s, d, "documents")
-    text, n = F.substring("text", 1, 80) if text is None else text, F.col("doc_id")
-    return docs.select("doc_id", V.augmented(text, F.when(n % 2 == 0, F.lit("A = b")), F.when(n % 3 == 0, F.lit("earlier")), F.when(n % 5 == 0, F.col("source"))).alias("prompt"))
+def _augmented(s, d):
+    docs, n = table(s, d, "documents"), F.col("doc_id")
+    return docs.select("doc_id", V.augmented(F.col("text"), F.when(n % 2 == 0, F.lit("A = b")), F.when(n % 3 == 0, F.lit("earlier")), F.when(n % 5 == 0, F.col("source"))).alias("prompt"))
 
 
 QUERIES = {
@@ -52,10 +47,10 @@ QUERIES = {
     "knn_filtered": _filtered(lambda: V.lenient_filter("student", 7)),
     "knn_filtered_teacher": _filtered(lambda: V.lenient_filter("teacher")),
     "result_shape": lambda s, d: V.shaped(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"))),
-    "rag_context": lambda s, d: V.contexts(V.nearest(table(s, d, "embeddings").where("vec_id < 200"), _asked(s, d), 6), _texts(s, d)),
+    "rag_context": lambda s, d: V.contexts(V.nearest(table(s, d, "embeddings"), _asked(s, d), 6), _whole_texts(s, d)),
     "augment_prompt": _augmented,
     "rag_context_all": lambda s, d: V.contexts(V.nearest(table(s, d, "embeddings"), _asked(s, d), 6), _whole_texts(s, d)),
-    "augment_prompt_all": lambda s, d: _augmented(s, d, F.col("text")),
+    "augment_prompt_all": _augmented,
 }
 
 VECTORS = """WITH v AS (SELECT *, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN 'teacher' WHEN vec_id % 3 = 1 THEN 'student' ELSE 'both' END AS audience,
@@ -66,7 +61,7 @@ COSINE = f"{DOT} / (sqrt(list_inner_product({A}, {A})) * sqrt(list_inner_product
 
 
 def _knn(score: str, k: int, source: str = "embeddings", where: str = "TRUE") -> str:
-    return f"SELECT q.vec_id AS query_id, e.vec_id, round({score}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({score}, 6) DESC, e.vec_id) AS INT) AS rank FROM (SELECT * FROM {source} WHERE {where}) e, (SELECT * FROM embeddings WHERE vec_id < 5) q QUALIFY rank <= {k}"
+    return f"SELECT q.vec_id AS query_id, e.vec_id, round({score}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({score}, 6) DESC, e.vec_id) AS INT) AS rank FROM (SELECT * FROM {source} WHERE {where}) e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= {k}"
 
 
 STUDENT = "coalesce(audience, 'both') IN ('student', 'both') AND coalesce(grade_min, {0}) <= {0} AND coalesce(grade_max, {0}) >= {0}"
@@ -83,11 +78,10 @@ ORACLES = {
     "knn_filtered": f"{VECTORS} {_knn(DOT, 3, 'v', STUDENT.format(7))}",
     "knn_filtered_teacher": f"{VECTORS} {_knn(DOT, 3, 'v', TEACHER)}",
     "result_shape": "SELECT doc_id AS id, CASE WHEN length(text) > 200 THEN concat(substring(text, 1, 200), '...') ELSE text END AS text, concat(doc_id, '.txt') AS source FROM documents",
-    "rag_context": f"WITH r AS ({_knn(DOT, 6, 'embeddings', 'vec_id < 200')}) SELECT query_id, string_agg(substring(text, 1, 300), chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents d ON d.doc_id = r.vec_id GROUP BY query_id",
+    "rag_context": f"WITH r AS ({_knn(DOT, 6)}) SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents d ON d.doc_id = r.vec_id GROUP BY query_id",
     "augment_prompt": """SELECT doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN concat('Use the following document the user uploaded in this session when relevant:', chr(10), source, chr(10), chr(10), 'User question: ') END,
  CASE WHEN doc_id % 3 = 0 THEN concat('The user is replying to your previous message: "earlier"', chr(10), chr(10), 'Their follow-up: ') END,
- CASE WHEN doc_id % 2 = 0 THEN concat('Known facts for this user (use when relevant): A = b', chr(10), chr(10)) END, substring(text, 1, 80)) AS prompt FROM documents""",
+ CASE WHEN doc_id % 2 = 0 THEN concat('Known facts for this user (use when relevant): A = b', chr(10), chr(10)) END, text) AS prompt FROM documents""",
 }
-#: The same over all vectors and whole texts.
-ORACLES["rag_context_all"] = f"WITH r AS ({_knn(DOT, 6)}) SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents d ON d.doc_id = r.vec_id GROUP BY query_id"
-ORACLES["augment_prompt_all"] = ORACLES["augment_prompt"].replace("substring(text, 1, 80)", "text")
+#: Earlier names of the same.
+ORACLES["rag_context_all"], ORACLES["augment_prompt_all"] = ORACLES["rag_context"], ORACLES["augment_prompt"]

@@ -39,11 +39,24 @@ def _numbered(s, d):
     return rows
 
 
+#: The character references in the tables' pages, and what they stand for.
+REFERENCES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def _results(s, d):
+    """Pages as what sources say to 50 questions each; some without title, body or address."""
+    n = F.col("page_id")
+    said = F.when(n % 4 != 0, F.concat(F.lit("it's \""), "url", F.lit("\" "))).otherwise(" ")
+    return table(s, d, "pages").select((n % 50).alias("query_id"), n.alias("ord"), F.when(n % 7 != 0, F.concat(F.lit(" <Page> "), n.cast("string"))).alias("title"), said.alias("body"), F.when(n % 3 != 0, F.col("url")).otherwise("").alias("url"))
+
+
 QUERIES = {
     "html_text": lambda s, d: table(s, d, "pages").select("page_id", web.html_text(F.col("html")).alias("text")),
     "html_title": lambda s, d: table(s, d, "pages").select("page_id", web.html_title(F.col("html")).alias("title")),
     "page_envelope": lambda s, d: table(s, d, "pages").select("page_id", web.page_envelope(F.col("html")).alias("envelope")),
     "url_scheme": lambda s, d: table(s, d, "pages").select("page_id", web.with_scheme(F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))).alias("url")),
+    "result_cards": lambda s, d: web.result_cards(_results(s, d)),
+    "web_contexts": lambda s, d: web.web_contexts(_results(s, d)),
     "url_domain": lambda s, d: table(s, d, "pages").select("page_id", web.url_domain(F.col("url")).alias("domain")),
     "text_basic": lambda s, d: _lines(s, d).select("doc_id", "line_no", N.basic(F.col("line")).alias("basic")),
     "normalize_text": lambda s, d: table(s, d, "documents").select("doc_id", N.normal_text(F.col("text")).alias("text")),
@@ -94,7 +107,7 @@ def _noise(compact: str) -> str:
 
 
 def _refs(value: str) -> str:
-    for reference, char in web.REFERENCES:
+    for reference, char in REFERENCES:
         value = f"replace({value}, {_q(reference)}, {_q(char)})"
     return value
 
@@ -193,3 +206,18 @@ ORACLES = {
     "lecture_notes": f"{PACKED}, k AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN concat('lesson-', doc_id % 30) ELSE concat('doc-', doc_id) END AS lesson_key FROM chunks), r AS (SELECT *, row_number() OVER (PARTITION BY lesson_key ORDER BY doc_id, chunk_index) AS rn FROM k QUALIFY rn <= 6) SELECT lesson_key, count(*) AS chunks, string_agg(text, chr(10) || chr(10) ORDER BY rn) AS notes FROM r GROUP BY lesson_key",
     "ai_json_fallback": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'no json at all' ELSE concat('s', page_id) END AS summary, CASE WHEN page_id % 3 = 0 THEN 'parsing_error' ELSE 'k' END AS key_topics, CASE WHEN page_id % 3 = 0 THEN 'unknown' ELSE 'lesson' END AS content_type FROM pages",
 }
+
+RESULTS = """SELECT page_id % 50 AS query_id, page_id AS ord, CASE WHEN page_id % 7 <> 0 THEN concat('<Page> ', page_id) ELSE '' END AS title, CASE WHEN page_id % 4 <> 0 THEN concat('it''s "', url, '"') ELSE '' END AS body,
+ CASE WHEN page_id % 3 <> 0 THEN url ELSE '' END AS url FROM pages"""
+
+
+def _escaped(value: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        value = f"replace({value}, '{char}', '{entity}')"
+    return value
+
+
+ORACLES["result_cards"] = f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ord) AS INT) AS rank, {_escaped("CASE WHEN title = '' THEN 'Untitled result' ELSE title END")} AS title,
+ {_escaped("CASE WHEN contains(url, '//') THEN split_part(url, '/', 3) ELSE '' END")} AS domain, {_escaped('body')} AS snippet, {_escaped('url')} AS url FROM ({RESULTS}) QUALIFY rank <= 5"""
+ORACLES["web_contexts"] = f"""SELECT query_id, concat(string_agg(concat(title, ': ', body), chr(10) || chr(10) ORDER BY ord), CASE WHEN count(*) FILTER (url <> '') > 0 THEN concat(chr(10), chr(10), 'Most relevant source URL: ', arg_min(url, ord) FILTER (url <> '')) ELSE '' END) AS context
+ FROM ({RESULTS}) WHERE body <> '' GROUP BY query_id"""

@@ -35,6 +35,6 @@ def test_contexts_search_all_vectors_and_keep_whole_texts(spark):
     assert len(prompts) == len(texts) and all(r.prompt.endswith(texts[r.doc_id]) for r in prompts)
     vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     dot = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 6)
-    best = {q: sorted(vectors, key=lambda v: (-dot(vectors[v], vectors[q]), v))[:6] for q in range(5)}
+    best = {q: sorted(vectors, key=lambda v: (-dot(vectors[v], vectors[q]), v))[:6] for q in vectors if q % 50 == 0}
     want = {q: "\n\n".join(texts[v] for v in vs if v in texts) for q, vs in best.items()}
     assert {r.query_id: r.context for r in registry.QUERIES["rag_context_all"](spark, SF).collect()} == {q: t for q, t in want.items() if t}
