@@ -85,8 +85,9 @@ def chunk_blocks(blocks: DataFrame, words: int = WORDS) -> DataFrame:
 
     start = F.struct(F.lit("").alias("kind"), F.lit(0).alias("words"), F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("at"))
     docs = rows.groupBy("doc_id").agg(ordered.alias("bs")).withColumn("starts", F.aggregate("bs", start, add, lambda s: F.array_append(s["starts"], s["at"])))
-    spans = F.transform(F.sequence(F.lit(1), F.size("starts") - 1), lambda i: F.struct(F.element_at("starts", i).alias("a"), F.element_at("starts", i + 1).alias("z")))
-    groups = docs.select("doc_id", F.explode(spans).alias("s"), "bs").select("doc_id", F.slice("bs", F.col("s.a") + 1, F.col("s.z") - F.col("s.a")).alias("own"))
+    # each group takes its own slice along, not the document's whole array
+    cut = lambda i: F.slice("bs", F.element_at("starts", i) + 1, F.element_at("starts", i + 1) - F.element_at("starts", i))
+    groups = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("starts") - 1), cut)).alias("own"))
     head = F.element_at("own", 1)
     joined = F.array_join(F.transform("own", lambda b: b["text"]), "\n")
     plain = F.array(F.struct(joined.alias("text"), F.size("own").alias("n")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.scalars import bound, collapsed, nfkc, stripped, text_of
+from lectern.functions.scalars import collapsed, nfkc, stripped, text_of
 
 #: Lines of a page where a document has no pages of its own.
 PAGE_LINES = 40
@@ -38,19 +38,17 @@ def is_noise(compact: Column) -> Column:
 
 
 def is_heading(text: Column) -> Column:
-    """Short, and all capitals, or mostly capitalised words without a final stop."""
-    def judged(line: Column, words: Column) -> Column:
-        n = F.size(words)
-        capitals = (F.upper(line) == line) & (F.lower(line) != line) & (n <= 12)
-        lettered = F.size(F.filter(words, lambda w: F.rlike(w, F.lit(r"\p{L}"))))
-        initial = lambda w: F.substring(w, 1, 1)
-        titled = F.size(F.filter(words, lambda w: (F.upper(initial(w)) == initial(w)) & (F.lower(initial(w)) != initial(w))))
-        # word by word only where the line may still be a heading
-        title = (n <= 10) & ~F.rlike(line, F.lit("[.:;]$")) & (titled >= F.greatest(F.lit(2), F.floor(n / 2))) & (lettered >= 2)
-        return (n > 0) & (capitals | title)
-
-    words = lambda line: F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
-    return bound(stripped(text), lambda line: F.when(F.length(line) > 90, False).otherwise(bound(words(line), lambda ws: judged(line, ws))))
+    """Short, and all capitals, or mostly capitalised words without a final stop.
+
+    Words are counted by patterns, and only where the line may still be a heading, so that lines stay in generated code.
+    """
+    line = stripped(text)
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    capitals = (F.upper(line) == line) & (F.lower(line) != line) & (count(r"(?U)\S+") <= 12)
+    n = count(r"(?U)\S+")
+    titled, lettered = count(r"(?U)(?<!\S)\p{IsUppercase}"), count(r"(?U)(?<!\S)[^\s\p{L}]*\p{L}")
+    title = (n <= 10) & (titled >= F.greatest(F.lit(2), F.floor(n / 2))) & (lettered >= 2)
+    return F.when((F.length(line) > 90) | (line == ""), False).when(capitals, True).when(F.rlike(line, F.lit("[.:;]$")), False).otherwise(title)
 
 
 def is_list_item(text: Column) -> Column:

@@ -9,11 +9,11 @@ from lectern.functions import web
 from lectern.operators import chunks as C
 from lectern.operators import lines as N
 from lectern.operators import reports as P
-from lectern.session import table
+from lectern.session import spread, table
 
 
 def _lines(s, d):
-    return N.doc_lines(table(s, d, "documents"))
+    return N.doc_lines(spread(table(s, d, "documents")))
 
 
 def _blocks(s, d):
@@ -27,7 +27,7 @@ def _chunks(s, d):
 
 
 def _paragraphs(s, d):
-    return C.chunk_paragraphs(table(s, d, "documents"), ["doc_id"])
+    return C.chunk_paragraphs(spread(table(s, d, "documents")), ["doc_id"])
 
 
 def _valid():
@@ -51,15 +51,15 @@ def _results(s, d):
 
 
 QUERIES = {
-    "html_text": lambda s, d: table(s, d, "pages").select("page_id", web.html_text(F.col("html")).alias("text")),
+    "html_text": lambda s, d: spread(table(s, d, "pages")).select("page_id", web.html_text(F.col("html")).alias("text")),
     "html_title": lambda s, d: table(s, d, "pages").select("page_id", web.html_title(F.col("html")).alias("title")),
-    "page_envelope": lambda s, d: table(s, d, "pages").select("page_id", web.page_envelope(F.col("html")).alias("envelope")),
+    "page_envelope": lambda s, d: spread(table(s, d, "pages")).select("page_id", web.page_envelope(F.col("html")).alias("envelope")),
     "url_scheme": lambda s, d: table(s, d, "pages").select("page_id", web.with_scheme(F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))).alias("url")),
     "result_cards": lambda s, d: web.result_cards(_results(s, d)),
     "web_contexts": lambda s, d: web.web_contexts(_results(s, d)),
     "url_domain": lambda s, d: table(s, d, "pages").select("page_id", web.url_domain(F.col("url")).alias("domain")),
     "text_basic": lambda s, d: _lines(s, d).select("doc_id", "line_no", N.basic(F.col("line")).alias("basic")),
-    "normalize_text": lambda s, d: table(s, d, "documents").select("doc_id", N.normal_text(F.col("text")).alias("text")),
+    "normalize_text": lambda s, d: spread(table(s, d, "documents")).select("doc_id", N.normal_text(F.col("text")).alias("text")),
     "noise_lines": lambda s, d: _lines(s, d).where(N.is_noise(N.flat_basic(F.col("line")))).groupBy("doc_id").agg(F.count("*").alias("noise")),
     "running_headers": lambda s, d: N.running_lines(_lines(s, d)),
     "strip_headers": lambda s, d: N.strip_running(_lines(s, d)).groupBy("doc_id", "page_number").agg(F.count("*").alias("kept")),
@@ -69,20 +69,20 @@ QUERIES = {
     "line_type_histogram": lambda s, d: _lines(s, d).groupBy(N.line_type(F.col("line")).alias("element_type")).agg(F.count("*").alias("lines")),
     "line_blocks": lambda s, d: N.line_blocks(_lines(s, d)),
     "block_metadata": lambda s, d: _blocks(s, d),
-    "sentences": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("at", "sentence")).select("doc_id", F.col("at").cast("int"), "sentence"),
-    "sentence_counts": lambda s, d: table(s, d, "documents").select("doc_id", F.size(C.sentences(F.col("text"))).cast("long").alias("sentences")),
+    "sentences": lambda s, d: spread(table(s, d, "documents")).select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("at", "sentence")).select("doc_id", F.col("at").cast("int"), "sentence"),
+    "sentence_counts": lambda s, d: spread(table(s, d, "documents")).select("doc_id", F.size(C.sentences(F.col("text"))).cast("long").alias("sentences")),
     "chunk_paragraphs": lambda s, d: _paragraphs(s, d),
     "chunk_blocks": lambda s, d: _chunks(s, d),
     "chunk_quality": lambda s, d: _paragraphs(s, d).select("doc_id", "chunk_index", _valid().alias("valid")),
-    "chunk_reject_reasons": lambda s, d: table(s, d, "documents").select("doc_id", C.reject_reason(F.col("text")).alias("reason")),
+    "chunk_reject_reasons": lambda s, d: spread(table(s, d, "documents")).select("doc_id", C.reject_reason(F.col("text")).alias("reason")),
     "valid_chunks": lambda s, d: C.valid_chunks(_paragraphs(s, d)).groupBy("doc_id").agg(F.count("*").alias("chunks")),
-    "char_windows": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(C.char_windows(F.col("text"))).alias("at", "part")).select("doc_id", F.col("at").cast("int"), "part"),
+    "char_windows": lambda s, d: spread(table(s, d, "documents")).select("doc_id", F.posexplode(C.char_windows(F.col("text"))).alias("at", "part")).select("doc_id", F.col("at").cast("int"), "part"),
     "chunk_ids": lambda s, d: P.chunk_ids(_numbered(s, d)).select("id", "doc_id", "chunk_index"),
-    "file_results": lambda s, d: P.file_results(C.chunk_paragraphs(table(s, d, "documents").where("doc_id % 50 <> 7"), ["doc_id"]), table(s, d, "documents"), _valid()),
+    "file_results": lambda s, d: P.file_results(C.chunk_paragraphs(spread(table(s, d, "documents")).where("doc_id % 50 <> 7"), ["doc_id"]), spread(table(s, d, "documents")), _valid()),
     "manifest": lambda s, d: P.manifest(QUERIES["file_results"](s, d)),
     "lecture_notes": lambda s, d: P.lecture_notes(_numbered(s, d).withColumn("lesson", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("lesson-"), (F.col("doc_id") % 30).cast("string"))).otherwise("")).withColumn("source_file", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))),
-    "paginate": lambda s, d: P.paginate(table(s, d, "documents")),
-    "ai_json_fallback": lambda s, d: P.ai_pages(table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "no json at all").otherwise(F.concat(F.lit('{"summary": "s'), F.col("page_id").cast("string"), F.lit('", "key_topics": "k", "content_type": "lesson"}'))).alias("response"))),
+    "paginate": lambda s, d: P.paginate(spread(table(s, d, "documents"))),
+    "ai_json_fallback": lambda s, d: P.ai_pages(spread(table(s, d, "pages")).select("page_id", F.when(F.col("page_id") % 3 == 0, "no json at all").otherwise(F.concat(F.lit('{"summary": "s'), F.col("page_id").cast("string"), F.lit('", "key_topics": "k", "content_type": "lesson"}'))).alias("response"))),
 }
 
 
