@@ -284,6 +284,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     return map_texts(whole, "text", T.StructType([*whole.schema.fields[: 1 + len(carry)], *made]), work)
 
 
+def with_dense(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """``docs`` with dense: whether some ``words`` words in a row of the text lie in fewer than ``size`` bytes."""
+
+    def is_dense(data: bytes) -> bool:
+        space = np.concatenate([[True], np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)), [True]])
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        return len(starts) >= words and bool((ends[words - 1 :] - starts[: len(starts) - words + 1] < size).any())
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([is_dense(d) for d in _bytes_of(batch)], pa.bool_())], [*batch.schema.names, "dense"])
+
+    return map_texts(docs, "text", T.StructType([*docs.schema.fields, T.StructField("dense", T.BooleanType())]), work)
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of all documents without 400-byte strings that occur again, as digests."""
     rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
