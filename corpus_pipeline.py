@@ -14,15 +14,16 @@ from lectern.llm.language import UNDETERMINED, predict_language, train_language
 from lectern.llm.packing import pack_documents
 from lectern.llm.pii import find_personal, sanitised
 from lectern.llm.similar import similar_documents
-from lectern.llm.substrings import remove_repeats
+from lectern.llm.substrings import remove_repeats, with_dense
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents of a lower score are in no language that the model knows.
 LEAST_SCORE = 0.35
-#: Repeated passages of more words than this go. They are found by strings of ``PASSAGE`` bytes, four a word: a passage of
-#: over 50 words in under 200 bytes would have words of under three letters on average, and stays.
+#: Repeated passages of more words than this go. They are found by strings of ``PASSAGE`` bytes, four a word. A passage of as many words in
+#: fewer bytes can only lie in texts that hold so many short words in a row; those are searched by strings of ``SHORTEST`` bytes, one a
+#: word and one between two.
 WORDS = 50
-PASSAGE = 4 * WORDS
+PASSAGE, SHORTEST = 4 * WORDS, 2 * WORDS + 1
 ORACLE_SQL = None
 
 
@@ -59,11 +60,20 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     So do repeated passages of 400 bytes or more in fewer words, as in texts without spaces.
     Bytes of a character that a cut has split are left out.
     """
-    rows = remove_repeats(docs, PASSAGE, PASSAGE // 2, carry=("lang", "source"), words=WORDS)
+    checkpointing(spark)
+    rows = stored(without_repeats(with_dense(docs.select(*COLUMNS), WORDS + 1, PASSAGE).withColumn("cuts", F.lit(0)), PASSAGE), "cut")
+    dense = rows.where("dense")
+    if not dense.isEmpty():
+        rows = rows.where("not dense").unionByName(without_repeats(dense, SHORTEST))
+    return rows.where((F.col("cuts") == 0) | F.rlike("text", F.lit(r"\S"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def without_repeats(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` without the passages that strings of ``size`` bytes find; their number is added to cuts."""
+    rows = remove_repeats(docs, size, size // 2, carry=("lang", "source", "dense", "cuts"), words=WORDS)
     text = F.try_validate_utf8(F.col("kept").cast("string"))
     broken = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    rows = rows.select("doc_id", F.coalesce(text, broken).alias("text"), "lang", "source", F.size("spans").alias("cuts"))
-    return rows.where((F.col("cuts") == 0) | F.rlike("text", F.lit(r"\S"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return rows.select("doc_id", F.coalesce(text, broken).alias("text"), "lang", "source", "dense", (F.col("cuts") + F.size("spans")).alias("cuts"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
