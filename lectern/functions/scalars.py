@@ -21,6 +21,17 @@ WEAK_SIGNALS = (
 DISCLAIMER = "DISCLAIMER: This response was generated. Please verify important information."
 
 
+#: The two instructions.
+TEACHER_MODE = (
+    "Teacher mode: respond as a curriculum-support assistant. "
+    "Prioritize lesson structure, pedagogy, assessment, differentiation, and classroom use."
+)
+STUDENT_MODE = (
+    "Student mode: respond in clear, simple, supportive language. "
+    "Focus on short explanations, examples, and study help without unnecessary teaching detail."
+)
+
+
 def text_of(value: Column) -> Column:
     """Null is the empty text."""
     return F.coalesce(value, F.lit(""))
@@ -59,6 +70,11 @@ def access_role(email: Column) -> Column:
     return F.when(F.contains(e, F.lit("@")), F.when(teacher, "teacher").otherwise("student"))
 
 
+def role_instruction(role: Column) -> Column:
+    """What the model is told about the reader; whoever is no teacher counts as a student."""
+    return F.when(role == "teacher", TEACHER_MODE).otherwise(STUDENT_MODE)
+
+
 def snippet(value: Column, limit: int = SNIPPET) -> Column:
     """One line of at most ``limit`` characters; a cut ends in an ellipsis."""
     flat = collapsed(value)
@@ -97,6 +113,11 @@ def weak_answer(value: Column) -> Column:
     return (F.length(low) < 40) | contains_any(low, WEAK_SIGNALS)
 
 
+def escape_pdf(value: Column) -> Column:
+    """The text as it stands between the parentheses of a PDF string."""
+    return F.regexp_replace(text_of(value), r"[\\()]", r"\\$0")
+
+
 def plus_quoted(value: Column) -> Column:
     """URL quoting with + for blanks, ~ kept and * encoded."""
     return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

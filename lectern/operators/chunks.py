@@ -123,6 +123,12 @@ def valid_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where(reject_reason(F.col("text")).isNull())
 
 
+def as_documents(chunks: DataFrame) -> DataFrame:
+    """page_content, and all other columns as metadata (JSON)."""
+    others = [c for c in chunks.columns if c != "text"]
+    return chunks.select(F.col("text").alias("page_content"), F.to_json(F.struct(*others)).alias("metadata"))
+
+
 def char_windows(text: Column, size: int = 1500, step: int = 1200) -> Column:
     """Overlapping windows of a text's characters; one at least, empty for an empty text."""
     last = F.greatest(F.lit(0), F.length(text) - size + step - 1)

@@ -128,3 +128,17 @@ def block_metadata(blocks: DataFrame, language: Column, audience: str = "both",
     rows = blocks.withColumn("block_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("block")) - 1).cast("int"))
     rows = rows.withColumn("text", collapsed(F.col("text"))).where("text <> ''")
     return rows.select("doc_id", "block_index", "element_type", "text", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_file"), F.lit(source_type or "text").alias("source_type"), F.lit(audience).alias("audience"), language.alias("language"), F.lit("semantic_denoise_v1").alias("normalization_method"))
+
+
+def stamped_blocks(blocks: DataFrame, *, source_file: str | None = None, source_type: str | None = None, subject: str | None = None, audience: str = "both", grades: tuple[int | None, int | None] = (None, None), language: str = "en") -> DataFrame:
+    """``blocks`` (doc_id, block, text, and maybe source_file, source_type) with normal text and all metadata.
+
+    Blocks are numbered before those without text go, so numbers may be missing. A source that is named here overrides the
+    block's own, an empty one does not; subject, audience, grades and language always do.
+    """
+    given = lambda name, value: F.lit(value) if value else F.col(name) if name in blocks.columns else F.lit(None).cast("string")
+    rows = blocks.withColumn("block_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("block")) - 1).cast("int"))
+    rows = rows.withColumn("text", normal_text(F.col("text"))).where("text <> ''")
+    stamps = {"source_file": given("source_file", source_file), "source_type": given("source_type", source_type), "subject": F.lit(subject).cast("string"), "audience": F.lit(audience)}
+    stamps |= {"grade_min": F.lit(grades[0]).cast("int"), "grade_max": F.lit(grades[1]).cast("int"), "language": F.lit(language), "normalization_method": F.lit("semantic_denoise_v1")}
+    return rows.select("doc_id", "block_index", "text", *[c.alias(n) for n, c in stamps.items()])

@@ -60,11 +60,52 @@ def paginate(texts: DataFrame, width: int = 90, lines: int = 50) -> DataFrame:
     return rows.select("doc_id", (F.floor(F.col("line_no") / lines) + 1).cast("int").alias("page"), F.col("line_no").cast("int"), "line")
 
 
+def suffix_of(path: Column) -> Column:
+    """The suffix of a path's last part in lower case, with its dot; empty if there is none."""
+    return F.regexp_extract(F.lower(path), r"[^/](\.[^./]+)$", 1)
+
+
+def reader_of(path: Column) -> Column:
+    """Which reader takes a file: pdf, pptx or image; null for files that none takes."""
+    suffix = suffix_of(path)
+    return F.when(suffix == ".pdf", "pdf").when(suffix == ".pptx", "pptx").when(suffix.isin(*SUFFIXES), "image")
+
+
+def supported(files: DataFrame) -> DataFrame:
+    """The files (path and others) that have a reader, with suffix and reader."""
+    return files.withColumns({"suffix": suffix_of(F.col("path")), "reader": reader_of(F.col("path"))}).where("reader is not null")
+
+
 def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """path, length and modificationTime of the supported files under a folder; their content isn't read."""
+    """path, length, modificationTime, suffix and reader of the supported files under a folder, by path; their content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    suffix = F.regexp_extract(F.lower("path"), r"(\.[a-z0-9]+)$", 1)
-    return files.where(suffix.isin(*SUFFIXES)).select("path", "length", "modificationTime", suffix.alias("suffix"))
+    return supported(files.select("path", "length", "modificationTime")).orderBy("path")
+
+
+def resolved(path: Column) -> Column:
+    """A path without . and .. parts; a .. with nothing before it stays."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != ".") & (p != ""))
+
+    def step(kept: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(kept) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), kept), -1) != "..")
+        return F.when(back, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part)))
+
+    inner = F.aggregate(parts, F.expr("cast(array() as array<string>)"), step)
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(inner, "/"))
+
+
+def inside(path: Column, folders: list[str]) -> Column:
+    """Whether a path, resolved, lies under one of the ``folders`` (without . and .. parts)."""
+    clean, out = resolved(path), F.lit(False)
+    for folder in folders:
+        out = out | F.startswith(clean, F.lit(folder.rstrip("/") + "/"))
+    return out
+
+
+def downloads(files: DataFrame, folders: list[str]) -> DataFrame:
+    """path, name and size_mb of the PDF files among ``files`` (path, length) that lie under one of the ``folders``."""
+    own = files.where(inside(F.col("path"), folders) & (suffix_of(F.col("path")) == ".pdf"))
+    return own.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.format_string("%.2f MB", F.col("length") / (1024 * 1024)).alias("size_mb"))
 
 
 def file_listing(files: DataFrame) -> DataFrame:

@@ -59,6 +59,25 @@ def document_buffers(parts: DataFrame, key: str, order: str, name: str, text: st
     return parts.groupBy(key).agg(F.substring(F.array_join(F.transform(own, lambda x: x["part"]), "\n\n"), 1, limit).alias("buffer"))
 
 
+def session_buffers(parts: DataFrame, key: str, order: str, limit: int = BUFFER) -> DataFrame:
+    """For each key what was read in it, files and web pages, each under its name and without white space at its end; the first ``limit`` characters.
+
+    ``parts`` has kind (Document or Web page), name and text. An empty text leaves its heading alone.
+    """
+    headed = F.concat(F.lit("--- "), "kind", F.lit(": "), F.col("name").cast("string"), F.lit(" ---\n"), text_of(F.col("text")))
+    section = F.regexp_replace(headed, r"(?U)\s+$", "")
+    own = F.array_sort(F.collect_list(F.struct(order, F.substring(section, 1, limit).alias("part"))))
+    return parts.groupBy(key).agg(F.substring(F.array_join(F.transform(own, lambda x: x["part"]), "\n\n"), 1, limit).alias("buffer"))
+
+
+def append_turns(sessions: DataFrame, turns: DataFrame) -> DataFrame:
+    """``sessions`` (conv_id, turns: array of role, content) with new ``turns`` (conv_id, turn, role, text) behind their own; unknown sessions begin with theirs."""
+    fresh = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    added = turns.groupBy("conv_id").agg(F.transform(fresh, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("added"))
+    none = F.expr("cast(array() as array<struct<role:string,content:string>>)")
+    return sessions.join(added, "conv_id", "full").select("conv_id", F.concat(F.coalesce("turns", none), F.coalesce("added", none)).alias("turns"))
+
+
 def user_fact(message: Column) -> tuple[Column, Column, Column]:
     """(whether a fact is stated, term, definition): of two patterns the first that holds with lengths in bounds."""
     found = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, chat, retrieval, text
+from . import analytics, chat, files, retrieval, text
 
-QUERIES = {**chat.QUERIES, **text.QUERIES, **retrieval.QUERIES, **analytics.QUERIES}
-ORACLES = {**chat.ORACLES, **text.ORACLES, **retrieval.ORACLES, **analytics.ORACLES}
+QUERIES = {**chat.QUERIES, **text.QUERIES, **retrieval.QUERIES, **files.QUERIES, **analytics.QUERIES}
+ORACLES = {**chat.ORACLES, **text.ORACLES, **retrieval.ORACLES, **files.ORACLES, **analytics.ORACLES}

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import posixpath
 import random
 
 import pytest
@@ -226,3 +227,39 @@ def test_nearest_answers_more_queries_than_one_block_holds(spark, monkeypatch):
         got.setdefault(x.query_id, []).append((x.rank, x.vec_id))
     dots = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 6)
     assert {q: [v for _, v in sorted(rows)] for q, rows in got.items()} == {q: sorted(range(60), key=lambda v: (-dots(data[v][1], data[q][1]), v))[:3] for q in range(0, 60, 2)}
+
+
+def test_paths_are_resolved_and_confined(spark):
+    paths = ["out/a.pdf", "out/../b.pdf", "out/x/../c.PDF", "./out/d.pdf", "outer/e.pdf", "/out/f.pdf", "../out/g.pdf", "out/..", ".pdf", "out/h.tar.gz", ""]
+    rows = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, length long")
+    got = {r.path: r for r in rows.select("path", reports.resolved(F.col("path")).alias("resolved"), reports.inside(F.col("path"), ["out"]).alias("inside"), reports.suffix_of(F.col("path")).alias("suffix"), reports.reader_of(F.col("path")).alias("reader")).collect()}
+    assert {p: r.resolved for p, r in got.items()} == {p: "" if posixpath.normpath(p) == "." else posixpath.normpath(p) for p in paths}
+    assert {p for p in paths if got[p].inside} == {"out/a.pdf", "out/x/../c.PDF", "./out/d.pdf", "out/h.tar.gz"}
+    assert (got[".pdf"].suffix, got["out/h.tar.gz"].suffix, got["out/x/../c.PDF"].reader, got[""].reader) == ("", ".gz", "pdf", None)
+    assert [r.name for r in reports.downloads(rows, ["out"]).orderBy("path").collect()] == ["d.pdf", "a.pdf", "c.PDF"]
+
+
+def test_stamped_blocks_override_and_keep_numbers(spark):
+    rows = spark.createDataFrame([(1, 0, "A first  block", "own", None), (1, 1, " \n ", "own", None), (1, 2, "A third", None, "pdf")], "doc_id long, block int, text string, source_file string, source_type string")
+    got = lines.stamped_blocks(rows, source_file="", source_type="html", subject="art", grades=(3, None)).orderBy("block_index").collect()
+    assert [(r.block_index, r.text, r.source_file, r.source_type, r.subject, r.audience, r.grade_min, r.grade_max, r.language) for r in got] == [
+        (0, "A first block", "own", "html", "art", "both", 3, None, "en"),
+        (2, "A third", None, "html", "art", "both", 3, None, "en"),
+    ]
+
+
+def test_session_buffers_strip_ends_and_cut(spark):
+    rows = spark.createDataFrame([(1, 2, "Web page", "u", "two \n"), (1, 1, "Document", "f", "one\n \t"), (2, 1, "Document", "g", None), (3, 1, "Document", "h", "x" * 50)], "s long, at int, kind string, name string, text string")
+    got = {r.s: r.buffer for r in turns.session_buffers(rows, "s", "at", 40).collect()}
+    assert got == {1: "--- Document: f ---\none\n\n--- Web page: u ---\ntwo"[:40], 2: "--- Document: g ---", 3: "--- Document: h ---\n" + "x" * 20}
+
+
+def test_turns_are_appended_and_lines_come_back(spark):
+    held = spark.createDataFrame([(1, [("user", "a")]), (2, [("user", "b")])], "conv_id long, turns array<struct<role:string,content:string>>")
+    more = spark.createDataFrame([(1, 2, "user", "c"), (1, 1, "assistant", None), (3, 0, "user", "d")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in turns.append_turns(held, more).collect()}
+    assert got == {1: [("user", "a"), ("assistant", None), ("user", "c")], 2: [("user", "b")], 3: [("user", "d")]}
+    rows = spark.createDataFrame([("1", "é\n😀\"\\", {"k": "v"}), ("2", "", {}), ("3", None, None)], "id string, text string, metadata map<string,string>")
+    written = jsonl.json_lines(rows)
+    assert all(r.line.isascii() and "\n" not in r.line for r in written.collect())
+    assert sorted(map(tuple, jsonl.parsed_lines(written).collect()), key=lambda r: r[0]) == sorted(map(tuple, rows.collect()), key=lambda r: r[0])
