@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP12_SQL, op12_audit
 from .bpe import op4_bpe
 from .fingerprints import op1_fingerprints
 from .language import op3_language
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op12_audit": op12_audit,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_audit": OP12_SQL}
