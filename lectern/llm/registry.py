@@ -8,6 +8,7 @@ from .fingerprints import op1_fingerprints
 from .language import op3_language
 from .packing import op10_packing
 from .pages import op5_html
+from .periodic import op11_runs
 from .pii import op7_pii
 from .quality import op8_quality
 from .simhash import op2_simhash
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_runs": op11_runs,
     "op12_audit": op12_audit,
 }
 ORACLES: dict[str, str] = {"op12_audit": OP12_SQL}
