@@ -5,6 +5,7 @@ from __future__ import annotations
 from .audit import OP12_SQL, op12_audit
 from .bpe import op4_bpe
 from .fingerprints import op1_fingerprints
+from .forest import OP13_SQL, op13_forest
 from .language import op3_language
 from .packing import op10_packing
 from .pages import op5_html
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_runs": op11_runs,
     "op12_audit": op12_audit,
+    "op13_forest": op13_forest,
 }
-ORACLES: dict[str, str] = {"op12_audit": OP12_SQL}
+ORACLES: dict[str, str] = {"op12_audit": OP12_SQL, "op13_forest": OP13_SQL}
