@@ -9,6 +9,7 @@ from lectern.functions import web
 from lectern.operators import chunks as C
 from lectern.operators import lines as N
 from lectern.operators import reports as P
+from lectern.operators import splitting as K
 from lectern.session import spread, table
 
 
@@ -77,6 +78,7 @@ QUERIES = {
     "chunk_reject_reasons": lambda s, d: spread(table(s, d, "documents")).select("doc_id", C.reject_reason(F.col("text")).alias("reason")),
     "valid_chunks": lambda s, d: C.valid_chunks(_paragraphs(s, d)).groupBy("doc_id").agg(F.count("*").alias("chunks")),
     "char_windows": lambda s, d: spread(table(s, d, "documents")).select("doc_id", F.posexplode(C.char_windows(F.col("text"))).alias("at", "part")).select("doc_id", F.col("at").cast("int"), "part"),
+    "recursive_windows": lambda s, d: K.split_documents(spread(table(s, d, "documents")), ["doc_id"]),
     "chunk_ids": lambda s, d: P.chunk_ids(_numbered(s, d)).select("id", "doc_id", "chunk_index"),
     "file_results": lambda s, d: P.file_results(C.chunk_paragraphs(spread(table(s, d, "documents")).where("doc_id % 50 <> 7"), ["doc_id"]), spread(table(s, d, "documents")), _valid()),
     "manifest": lambda s, d: P.manifest(QUERIES["file_results"](s, d)),
