@@ -16,8 +16,10 @@ import numpy as np
 SPECIAL = "<|endoftext|>"
 #: White space on both sides of a blank: there the text isn't cut.
 UNSAFE = re.compile(r"\s \s|^ \s")
-#: Pieces kept by a worker; beyond that it starts anew. Bounds memory, never results.
-KEPT_PIECES = 300_000
+#: Pieces kept by a worker, none of more characters than ``KEPT_CHARS``; beyond that it starts anew. Bounds memory, never results.
+KEPT_PIECES, KEPT_CHARS = 300_000, 64
+#: White space as the pattern below has it, so much in a row that its matching goes too deep for the library's pattern engine.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,14 +43,29 @@ class ByteEncoder:
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         self.whole = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.after_blank: dict[str, bytes] = {}
 
-    def _ids(self, piece: str) -> bytes:
-        return np.array(self.whole.encode_ordinary(piece), dtype="<u4").tobytes()
+    def _ids(self, text: str) -> bytes:
+        """Ids of a text without special tokens.
+
+        Long white space is one piece of its own up to the text's end, or but for its last character before something else, which belongs to what follows.
+        """
+        out, a = [], 0
+        for run in LONG_SPACE.finditer(text):
+            b = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.whole.encode_ordinary(text[a : run.start()])
+            out += self.whole._encode_single_piece(text[run.start() : b])
+            a = b
+        return np.array(out + self.whole.encode_ordinary(text[a:] if a else text), dtype="<u4").tobytes()
 
     def _new(self, word: str) -> bytes:
-        out = self.after_blank[word] = self._ids(" " + word)
+        out = self._ids(" " + word)
+        if len(word) <= KEPT_CHARS:
+            if len(self.after_blank) >= KEPT_PIECES:
+                self.after_blank.clear()
+            self.after_blank[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -56,11 +73,10 @@ class ByteEncoder:
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+            parts = self.at_special.split(text)
+            return b"".join([np.array([self.special[p]], dtype="<u4").tobytes() if i % 2 else self.encode(p) for i, p in enumerate(parts)])
         if "  " in text or UNSAFE.search(text):
             return self._ids(text)
-        if len(self.after_blank) > KEPT_PIECES:
-            self.after_blank.clear()
         first, *rest = text.split(" ")
         known, new = self.after_blank.get, self._new
         return self._ids(first) + b"".join([known(w) or new(w) for w in rest])

@@ -31,6 +31,41 @@ def test_fillings_use_every_piece_once():
     assert not any(left.values())
 
 
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["\n" * LONG, " " * LONG, "\t" * LONG, "a" + " " * LONG + "b", "a" + "\n" * (3 * LONG) + " b", " \n\t" * LONG, "a\n" + "\u3000" * 5000 + "é", "x" + "\u00a0" * 1000 + " y  z" + "\n" * 999 + "q", "a b " * 300_000, "a" * LONG, "<|endoftext|>" + " " * 5000 + "<|endoftext|>a" + "\n" * 2000, "\x1c" * 3000 + "a"],
+    ids=range(12),
+)
+def test_long_texts_are_encoded_as_by_the_library(text):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert byte_encoder().encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    from lectern.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 10)
+    own = tokens.ByteEncoder(__import__("public_tokenizers").path("byte_bpe_50k.json"))
+    text = " ".join(f"w{i}" for i in range(500)) + " " + "z" * 10_000
+    assert own.encode(text) == byte_encoder().encode(text)
+    assert len(own.after_blank) <= 10 and max(map(len, own.after_blank)) <= tokens.KEPT_CHARS
+
+
+def test_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, "\n" * LONG), (2, "a" + " " * LONG + "b"), (3, None)], "doc_id long, text string")
+    rows = pack_documents(docs).collect()
+    for i, text in ((1, "\n" * LONG), (2, "a" + " " * LONG + "b"), (3, "")):
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        total = len(byte_encoder().encode(text)) // 4 + 1
+        assert sum(r.length for r in own) == total == own[0].doc_tokens and [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
+
+
 @pytest.mark.parametrize("text", ["", " ", "a  b", "a   b", " \n b", "x\n\n y", "it's  fine", "a<|endoftext|>b", "tab\t here", "é ü 中文 12 3", "a \n", "\n a", "a \t b c", "don't  we'll"])
 def test_encoder_equals_the_library(text):
     import public_tokenizers as P
