@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.operators import intervals as I
 from lectern.session import table
 from lectern.streaming import events as E
 
@@ -40,6 +41,43 @@ def _top_orders(s, d):
     return table(s, d, "orders").withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("o_custkey", "o_orderkey", "rank")
 
 
+def _spans(s, d):
+    """Each user's sessions as intervals of seconds, from the first event to the last."""
+    rows = E.session_spans(table(s, d, "events"))
+    return rows.select("user_id", "session_start", I.seconds(F.col("session_start")).alias("begins"), I.seconds(F.col("session_end")).alias("ends"))
+
+
+def _session_company(s, d):
+    """For each session the events of all users while it lasted, and how many of them were errors."""
+    spans, events = _spans(s, d), table(s, d, "events").select("event_id", "event_type", I.seconds(F.col("ts")).alias("at"))
+    pairs = I.with_points(spans, events, "begins", "ends", "at", width=60.0)
+    return pairs.groupBy("user_id", "session_start").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+def _sessions_at_once(s, d):
+    """For each session how many sessions of others overlap it."""
+    mine = _spans(s, d)
+    theirs = mine.select(F.col("user_id").alias("other_id"), F.col("session_start").alias("other_start"), F.col("begins").alias("other_begins"), F.col("ends").alias("other_ends"))
+    pairs = I.overlapping(mine, theirs, ("begins", "ends"), ("other_begins", "other_ends"), width=60.0).where("user_id <> other_id")
+    return pairs.groupBy("user_id", "session_start").agg(F.count("*").alias("sessions"))
+
+
+def _after_errors(s, d):
+    """Purchases within ten minutes after an error of the same user."""
+    events = table(s, d, "events").select("event_id", "user_id", "event_type", I.seconds(F.col("ts")).alias("at"))
+    errors = events.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), "user_id", F.col("at").alias("begins"), (F.col("at") + 600).alias("ends"))
+    bought = events.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", "at")
+    return I.with_points(errors, bought, "begins", "ends", "at", ["user_id"], width=600.0).select("error_id", "purchase_id")
+
+
+def _shipped_in_window(s, d):
+    """Lines of orders that are shipped within their order's 30 to 60 days, by priority."""
+    day = 86_400.0
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("order"), "o_orderpriority", (I.seconds(F.col("o_orderdate")) + 30 * day).alias("begins"), (I.seconds(F.col("o_orderdate")) + 60 * day).alias("ends"))
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("order"), I.seconds(F.col("l_shipdate")).alias("at"))
+    return I.with_points(orders, lines, "begins", "ends", "at", ["order"], width=30 * day).groupBy("o_orderpriority").agg(F.count("*").alias("lines"))
+
+
 QUERIES = {
     "pricing_summary": _pricing,
     "revenue_by_nation": _revenue_by_nation,
@@ -49,8 +87,16 @@ QUERIES = {
     "event_windows": lambda s, d: E.windows(table(s, d, "events")),
     "event_sessions": lambda s, d: E.sessions(table(s, d, "events")),
     "event_as_of": lambda s, d: E.as_of(table(s, d, "events")),
+    "session_company": _session_company,
+    "sessions_at_once": _sessions_at_once,
+    "purchases_after_errors": _after_errors,
+    "shipped_in_window": _shipped_in_window,
 }
 
+SPANS = """WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+ n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM f),
+ spans AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end FROM n GROUP BY user_id, session)"""
+
 ORACLES = {
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY ALL",
     "revenue_by_nation": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
@@ -60,4 +106,8 @@ ORACLES = {
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "event_sessions": "SELECT user_id, min(ts) AS session_start, count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session",
     "event_as_of": "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_click FROM events",
+    "session_company": f"{SPANS} SELECT s.user_id, session_start, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM spans s JOIN events e ON e.ts BETWEEN session_start AND session_end GROUP BY ALL",
+    "sessions_at_once": f"{SPANS} SELECT a.user_id, a.session_start, count(*) AS sessions FROM spans a JOIN spans b ON a.user_id <> b.user_id AND b.session_start <= a.session_end AND a.session_start <= b.session_end GROUP BY ALL",
+    "purchases_after_errors": "SELECT a.event_id AS error_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 10 MINUTE",
+    "shipped_in_window": "SELECT o_orderpriority, count(*) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate + INTERVAL 30 DAY AND o_orderdate + INTERVAL 60 DAY GROUP BY ALL",
 }

@@ -23,6 +23,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return grouped.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "events")
 
 
+def session_spans(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Each user's runs of events without a pause of ``gap``, with the times of their first and last events."""
+    grouped = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"))
+    return grouped.select("user_id", "session_start", "session_end")
+
+
 def as_of(events: DataFrame, kind: str = "click") -> DataFrame:
     """For each event its user's last value of a kind at that time."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
