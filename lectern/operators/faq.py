@@ -107,14 +107,15 @@ def bank(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "ord int, question string, answer string, normal string"))
 
 
-def _asked(messages: DataFrame) -> DataFrame:
+def asked(messages: DataFrame) -> DataFrame:
+    """msg_id and asked, the canonical text, of the messages about the assistant."""
     return messages.where(is_self_query(F.col("text"))).select("msg_id", faq_canonical(F.col("text")).alias("asked")).where("asked <> ''")
 
 
 def faq_substring(messages: DataFrame) -> DataFrame:
     """The first question of the bank that holds the message or is held by it."""
     q, a = F.col("question"), F.col("asked")
-    hit = _asked(messages).join(bank(messages.sparkSession), F.contains(a, q) | F.contains(q, a))
+    hit = asked(messages).join(bank(messages.sparkSession), F.contains(a, q) | F.contains(q, a))
     return hit.groupBy("msg_id").agg(F.min(F.struct("ord", "question", "answer")).alias("m")).select("msg_id", "m.question", "m.answer")
 
 
@@ -130,7 +131,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def faq_jaccard(messages: DataFrame) -> DataFrame:
     """Token overlap of each message about the assistant with each question of the bank."""
-    pairs = _asked(messages).withColumn("asked", faq_normal(F.col("asked"))).join(bank(messages.sparkSession), F.lit(True))
+    pairs = asked(messages).withColumn("asked", faq_normal(F.col("asked"))).join(bank(messages.sparkSession), F.lit(True))
     return pairs.select("msg_id", F.col("ord").cast("long").alias("ord"), F.round(jaccard(F.col("asked"), F.col("normal")), 6).alias("overlap"))
 
 
@@ -147,16 +148,40 @@ def _bonus(asked: Column, question: Column) -> Column:
     return F.when(hit, 0.12).otherwise(0.0)
 
 
-def faq_fuzzy(messages: DataFrame) -> DataFrame:
-    """The score of each message about the assistant with each question: matching runs, token overlap, alias."""
-    pairs = _asked(messages).withColumn("asked", faq_normal(F.col("asked"))).where("asked <> ''").join(bank(messages.sparkSession), F.lit(True))
-    score = sequence_ratio("asked", "normal") * 0.7 + jaccard(F.col("asked"), F.col("normal")) * 0.3 + _bonus(F.col("asked"), F.col("question"))
-    return pairs.select("msg_id", "ord", "question", "answer", score.alias("score"))
+#: The characters of normal texts.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each of ``LETTERS`` is in a text."""
+    return F.transform(F.array(*map(F.lit, LETTERS)), lambda x: F.length(text) - F.length(F.replace(text, x, F.lit(""))))
+
+
+def ratio_bound(a: Column, b: Column, a_letters: Column, b_letters: Column) -> Column:
+    """What the ratio of matching runs of two normal texts can be at most: runs that match have their letters in both."""
+    both = F.aggregate(F.zip_with(a_letters, b_letters, lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return 2 * both / (F.length(a) + F.length(b))
+
+
+def faq_pairs(messages: DataFrame) -> DataFrame:
+    """Each message about the assistant with each question of the bank: certain, the part of the score from tokens and aliases, and bound, what the whole can be at most."""
+    rows = asked(messages).select("msg_id", faq_normal(F.col("asked")).alias("asked")).where("asked <> ''").withColumn("letters", letter_counts(F.col("asked")))
+    own = F.broadcast(bank(messages.sparkSession).withColumn("own_letters", letter_counts(F.col("normal"))))
+    pairs = rows.join(own, F.lit(True)).withColumn("certain", jaccard(F.col("asked"), F.col("normal")) * 0.3 + _bonus(F.col("asked"), F.col("question")))
+    return pairs.withColumn("bound", ratio_bound(F.col("asked"), F.col("normal"), F.col("letters"), F.col("own_letters")) * 0.7 + F.col("certain"))
+
+
+def faq_fuzzy(messages: DataFrame, least: float | None = None) -> DataFrame:
+    """The score of each message about the assistant with each question: matching runs, token overlap, alias. With ``least`` only pairs that can reach it are scored."""
+    pairs = faq_pairs(messages)
+    if least is not None:
+        pairs = pairs.where(F.col("bound") >= least - 1e-9)
+    return pairs.select("msg_id", "ord", "question", "answer", (sequence_ratio("asked", "normal") * 0.7 + F.col("certain")).alias("score"))
 
 
 def faq_best(messages: DataFrame, least: float = FUZZY) -> DataFrame:
     """The best question of each message, the earlier of equals, if its score is enough."""
-    best = faq_fuzzy(messages).groupBy("msg_id").agg(F.max_by(F.struct("question", "answer", "score"), F.struct("score", -F.col("ord"))).alias("b"))
+    best = faq_fuzzy(messages, least).groupBy("msg_id").agg(F.max_by(F.struct("question", "answer", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.where(F.col("b.score") >= least).select("msg_id", "b.question", "b.answer", "b.score")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import routing as R
 from lectern.functions import scalars as S
 from lectern.operators import chat_logs as L
+from lectern.operators import containment as C
 from lectern.operators import faq as Q
 from lectern.operators import turns as T
 from lectern.session import table
@@ -60,6 +61,28 @@ def _role_of(messages):
     return messages.withColumn("role", S.access_role(F.col("user_email")))
 
 
+def _plain_words(text):
+    return F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", "")
+
+
+#: Numbers of the large bank's texts begin here, behind those of the short one.
+LARGE = 1000
+
+
+def _bank_matches(s, d):
+    """For each message about the assistant the first question that it holds or lies in, of the short bank and then of a large one."""
+    large = table(s, d, "benchmark").select((LARGE + F.col("item_id")).alias("id"), Q.faq_normal(F.col("text")).alias("text"))
+    bank = Q.bank(s).select(F.col("ord").cast("long").alias("id"), F.col("question").alias("text")).unionByName(large)
+    return C.first_phrase(Q.asked(_messages(s, d)).toDF("id", "text"), bank).toDF("msg_id", "ord")
+
+
+def _bank_in_documents(s, d):
+    """The texts of the bank that each document holds, or that hold it."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), _plain_words(F.col("text")).alias("text"))
+    bank = table(s, d, "benchmark").select(F.col("item_id").alias("id"), _plain_words(F.col("text")).alias("text"))
+    return C.containing(docs, bank).distinct().select(F.col("text_id").alias("doc_id"), F.col("phrase_id").alias("item_id"))
+
+
 QUERIES = {
     "session_list": lambda s, d: L.session_lists(_logs(s, d)).select("user_email", "session_id", "last_activity", "message_count", "rank"),
     "session_list_one": lambda s, d: L.session_list(_logs(s, d), USER),
@@ -122,6 +145,9 @@ QUERIES = {
     "faq_jaccard": lambda s, d: Q.faq_jaccard(_messages(s, d)),
     "faq_best_match": lambda s, d: Q.faq_best(_messages(s, d)),
     "faq_candidates": lambda s, d: Q.faq_candidates(_messages(s, d)),
+    "faq_bounds": lambda s, d: Q.faq_pairs(_messages(s, d)).select("msg_id", F.col("ord").cast("long").alias("ord"), F.round("bound", 6).alias("bound"), (F.col("bound") >= Q.FUZZY - 1e-9).alias("scored")),
+    "bank_matches": _bank_matches,
+    "bank_in_documents": _bank_in_documents,
 }
 
 
@@ -330,3 +356,25 @@ ORACLES["share_insert"] = _l(
  SELECT session_id, user_email, status, CASE WHEN status = 200 THEN sha256(session_id) END AS share_token, CASE WHEN status = 200 THEN TIMESTAMP '{NOW}' END AS created_at_utc, status = 200 AS is_active FROM s"""
 )
 ORACLES["fact_maps"] = f"SELECT user_email, concat('{{', string_agg(concat(to_json(term), ':', to_json(definition)), ',' ORDER BY term, definition), '}}') AS facts FROM ({ORACLES['user_facts']}) GROUP BY user_email"
+
+
+def _normal(table_: str, keys: str) -> str:
+    """Rows with faq_normal of their text."""
+    out = "lower(coalesce(text, ''))"
+    for old, new in (*Q.CONTRACTIONS, *Q.PHRASES):
+        out = rf"regexp_replace({out}, {_q(chr(92) + 'b' + old + chr(92) + 'b')}, {_q(new)}, 'g')"
+    return f"SELECT {keys}, regexp_replace(lower({_strip('expanded')}), '[^a-z0-9 ]+', '', 'g') AS t FROM (SELECT {keys}, {out} AS expanded FROM {table_})"
+
+
+HOLDS = "a.t <> '' AND b.t <> '' AND (contains(a.t, b.t) OR contains(b.t, a.t))"
+LARGE_BANK = f"SELECT ord, question AS t FROM {BANK} UNION ALL SELECT {LARGE} + item_id, t FROM ({_normal('benchmark', 'item_id')})"
+ORACLES["bank_matches"] = _faq(f", a AS (SELECT msg_id, canonical AS t FROM c WHERE own), b AS ({LARGE_BANK}) SELECT msg_id, CAST(min(ord) AS BIGINT) AS ord FROM a JOIN b ON {HOLDS} GROUP BY msg_id")
+PLAIN = "regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]+', '', 'g') AS t"
+ORACLES["bank_in_documents"] = f"WITH a AS (SELECT doc_id, {PLAIN} FROM documents), b AS (SELECT item_id, {PLAIN} FROM benchmark) SELECT doc_id, item_id FROM a JOIN b ON {HOLDS}"
+
+BONUS = " OR ".join(f"(question = {_q(c)} AND (contains(asked, {_q(Q.plain_normal(a))}) OR contains({_q(Q.plain_normal(a))}, asked)))" for a, c in Q.ALIASES)
+OVERLAP = f"len(list_intersect({_tok('asked')}, {_tok('qnormal')}))::DOUBLE / greatest(len(list_distinct(list_concat({_tok('asked')}, {_tok('qnormal')}))), 1)"
+SAME = f"list_sum(list_transform(string_split({_q(Q.LETTERS)}, ''), lambda x: least(length(asked) - length(replace(asked, x, '')), length(qnormal) - length(replace(qnormal, x, '')))))"
+ORACLES["faq_bounds"] = _faq(f""", r AS (SELECT msg_id, {_renormal('canonical')} AS asked FROM c WHERE own AND canonical <> ''), b AS (SELECT msg_id, CAST(ord AS BIGINT) AS ord,
+ 1.4 * {SAME} / (length(asked) + length(qnormal)) + 0.3 * {OVERLAP} + CASE WHEN {BONUS} THEN 0.12 ELSE 0 END AS bound FROM r, {BANK} WHERE asked <> '')
+ SELECT msg_id, ord, round(bound, 6) AS bound, bound >= {Q.FUZZY} - 1e-9 AS scored FROM b""")
