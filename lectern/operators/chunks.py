@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.folds import everything, gathered, nothing
 from lectern.functions.scalars import bound, stripped, text_of
+from lectern.operators.lines import blocks_of
 
 WORDS = 120
 # Abbreviations whose dot ends no sentence.
@@ -38,11 +40,11 @@ def packed(parts: Column, words: int = WORDS, glue: str = " ") -> Column:
             at.alias("at"),
             F.when(fits, state["filled"] + n).otherwise(n).alias("filled"),
             F.when(fits, state["count"] + 1).otherwise(1).alias("count"),
-            F.when(fits, state["ends"]).otherwise(F.array_append(state["ends"], state["at"])).alias("ends"),
+            F.when(fits, state["ends"]).otherwise(gathered(state["ends"], state["at"])).alias("ends"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("filled"), F.lit(0).alias("count"), F.expr("cast(array() as array<int>)").alias("ends"))
-    ends_of = lambda own: F.aggregate(F.transform(own, word_count), start, add, lambda s: F.array_append(s["ends"], s["at"]))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("filled"), F.lit(0).alias("count"), nothing("int").alias("ends"))
+    ends_of = lambda own: F.aggregate(F.transform(own, word_count), start, add, lambda s: F.array_append(everything(s["ends"]), s["at"]))
 
     def cut(own: Column, ends: Column) -> Column:
         spans = F.arrays_zip(F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends)).alias("a"), ends.alias("b"))
@@ -69,7 +71,17 @@ def chunk_blocks(blocks: DataFrame, words: int = WORDS) -> DataFrame:
     """
     size = word_count(F.col("text"))
     rows = blocks.select("doc_id", F.struct("block_index", "element_type", "text", size.alias("words")).alias("b"))
-    ordered = F.array_sort(F.collect_list("b"))
+    return _chunked(rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("bs")), words)
+
+
+def chunk_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``chunk_blocks`` of the blocks of whole texts (doc_id, text), made and folded where the row is: no shuffle."""
+    sized = F.transform(blocks_of(F.split(text_of(F.col("text")), "\n")), lambda b: F.struct(b["block"].alias("block_index"), b["element_type"].alias("element_type"), b["text"].alias("text"), word_count(b["text"]).alias("words")))
+    return _chunked(docs.select("doc_id", sized.alias("bs")), words)
+
+
+def _chunked(docs: DataFrame, words: int) -> DataFrame:
+    """Chunks of ``docs`` (doc_id, bs: the blocks in order)."""
 
     def add(state: Column, b: Column) -> Column:
         kind, last = b["element_type"], state["kind"]
@@ -79,15 +91,16 @@ def chunk_blocks(blocks: DataFrame, words: int = WORDS) -> DataFrame:
             F.when(fits, last).otherwise(kind).alias("kind"),
             # a heading over the size takes nothing with it
             F.when(fits, state["words"] + b["words"]).otherwise(b["words"]).alias("words"),
-            F.when(fits, state["starts"]).otherwise(F.array_append(state["starts"], state["at"])).alias("starts"),
+            F.when(fits, state["starts"]).otherwise(gathered(state["starts"], state["at"])).alias("starts"),
             (state["at"] + 1).alias("at"),
         )
 
-    start = F.struct(F.lit("").alias("kind"), F.lit(0).alias("words"), F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("at"))
-    docs = rows.groupBy("doc_id").agg(ordered.alias("bs")).withColumn("starts", F.aggregate("bs", start, add, lambda s: F.array_append(s["starts"], s["at"])))
+    start = F.struct(F.lit("").alias("kind"), F.lit(0).alias("words"), nothing("int").alias("starts"), F.lit(0).alias("at"))
+    starts_of = lambda bs: F.aggregate(bs, start, add, lambda s: F.array_append(everything(s["starts"]), s["at"]))
     # each group takes its own slice along, not the document's whole array
-    cut = lambda i: F.slice("bs", F.element_at("starts", i) + 1, F.element_at("starts", i + 1) - F.element_at("starts", i))
-    groups = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("starts") - 1), cut)).alias("own"))
+    slices = lambda bs, starts: F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: F.slice(bs, F.element_at(starts, i) + 1, F.element_at(starts, i + 1) - F.element_at(starts, i)))
+    own = lambda bs: F.when(F.size(bs) > 0, bound(starts_of(bs), lambda starts: slices(bs, starts)))
+    groups = docs.select("doc_id", F.explode(bound(F.col("bs"), own)).alias("own"))
     head = F.element_at("own", 1)
     joined = F.array_join(F.transform("own", lambda b: b["text"]), "\n")
     plain = F.array(F.struct(joined.alias("text"), F.size("own").alias("n")))

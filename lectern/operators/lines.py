@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.scalars import collapsed, nfkc, stripped, text_of
+from lectern.functions.scalars import bound, collapsed, nfkc, stripped, text_of
 
 #: Lines of a page where a document has no pages of its own.
 PAGE_LINES = 40
@@ -123,6 +125,41 @@ def line_blocks(lines: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block", F.col("kind").alias("element_type"), "lines", glue.alias("text"))
 
 
+def kind_of(flat: Column) -> Column:
+    """The kind of a line without white space beside single blanks."""
+    return F.when(flat == "", "blank").when(is_heading(flat), "heading").when(is_list_item(flat), "list_item").when(is_table_row(flat), "table").otherwise("paragraph")
+
+
+def blocks_of(lines: Column, made: Callable[[Column], Column] = collapsed) -> Column:
+    """Array of struct (block, element_type, lines, text) of an array of lines, each ``made`` first: ``line_blocks`` inside of one row, without a shuffle.
+
+    ``block`` counts from 1, the runs of blank lines too.
+    """
+
+    def cut(typed: Column) -> Column:
+        begins = lambda x, i: (i == 0) | x["kind"].isin("heading", "list_item") | (x["kind"] != F.get(typed, i - 1)["kind"])
+        starts = F.filter(F.transform(typed, lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull())
+        return bound(F.concat(starts, F.array(F.size(typed))), lambda edges: slices(typed, edges))
+
+    def slices(typed: Column, edges: Column) -> Column:
+        own = lambda a, i: F.slice(typed, a + 1, F.get(edges, i + 1) - a)
+        parts = F.transform(F.slice(edges, F.lit(1), F.size(edges) - 1), lambda a, i: F.struct((i + 1).cast("long").alias("block"), own(a, i).alias("own")))
+        return F.transform(F.filter(parts, lambda p: p["own"][0]["kind"] != "blank"), block)
+
+    def block(part: Column) -> Column:
+        flats, kind = F.transform(part["own"], lambda x: x["flat"]), part["own"][0]["kind"]
+        text = F.when(kind == "table", F.array_join(flats, "\n")).otherwise(F.array_join(flats, " "))
+        return F.struct(part["block"].alias("block"), kind.alias("element_type"), F.size(flats).cast("long").alias("lines"), text.alias("text"))
+
+    typed = F.transform(F.transform(lines, made), lambda flat: F.struct(flat.alias("flat"), kind_of(flat).alias("kind")))
+    return bound(typed, cut)
+
+
+def document_blocks(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the columns of ``line_blocks`` for whole texts: each row's lines are folded where the row is."""
+    return docs.select(*keys, F.explode(blocks_of(F.split(text_of(F.col("text")), "\n"))).alias("b")).select(*keys, "b.*")
+
+
 def block_metadata(blocks: DataFrame, language: Column, audience: str = "both", source_type: str | None = None) -> DataFrame:
     """The blocks with their metadata; numbered before empty ones go."""
     rows = blocks.withColumn("block_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("block")) - 1).cast("int"))

@@ -19,12 +19,12 @@ def _lines(s, d):
 
 def _blocks(s, d):
     """Blocks of all documents as the chunker takes them."""
-    blocks = N.line_blocks(_lines(s, d)).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
-    return N.block_metadata(blocks.withColumnRenamed("lang", "l"), F.col("l"))
+    blocks = N.document_blocks(spread(table(s, d, "documents")).withColumnRenamed("lang", "l"), ["doc_id", "l"])
+    return N.block_metadata(blocks, F.col("l"))
 
 
 def _chunks(s, d):
-    return C.chunk_blocks(N.line_blocks(_lines(s, d)).withColumnRenamed("block", "block_index"))
+    return C.chunk_documents(spread(table(s, d, "documents")))
 
 
 def _paragraphs(s, d):
@@ -68,7 +68,7 @@ QUERIES = {
     "list_lines": lambda s, d: _lines(s, d).where(N.is_list_item(F.col("line"))).select("doc_id", "line_no"),
     "table_lines": lambda s, d: _lines(s, d).where(N.is_table_row(F.col("line"))).select("doc_id", "line_no"),
     "line_type_histogram": lambda s, d: _lines(s, d).groupBy(N.line_type(F.col("line")).alias("element_type")).agg(F.count("*").alias("lines")),
-    "line_blocks": lambda s, d: N.line_blocks(_lines(s, d)),
+    "line_blocks": lambda s, d: N.document_blocks(spread(table(s, d, "documents")), ["doc_id"]),
     "block_metadata": lambda s, d: _blocks(s, d),
     "sentences": lambda s, d: spread(table(s, d, "documents")).select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("at", "sentence")).select("doc_id", F.col("at").cast("int"), "sentence"),
     "sentence_counts": lambda s, d: spread(table(s, d, "documents")).select("doc_id", F.size(C.sentences(F.col("text"))).cast("long").alias("sentences")),
