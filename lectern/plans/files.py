@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalars as S
 from lectern.operators import chunks as C
+from lectern.operators import ingestion as G
 from lectern.operators import lines as N
 from lectern.operators import reports as P
 from lectern.operators import turns as T
@@ -65,7 +66,34 @@ def _instructions(s, d):
     return rows.select("msg_id", S.role_instruction(S.access_role(F.col("user_email"))).alias("instruction"))
 
 
+def _page_rows(s, d):
+    """Documents as files of pages of 40 lines; of one page in nine only its image was there, and its lines were recognised."""
+    lines = F.split(S.text_of(F.col("text")), "\n")
+    rows = spread(table(s, d, "documents")).select("doc_id", lines.alias("lines")).withColumn("page", F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / N.PAGE_LINES).cast("int"))))
+    own = F.slice("lines", F.col("page") * N.PAGE_LINES + 1, F.lit(N.PAGE_LINES))
+    text = F.when((F.col("doc_id") + F.col("page")) % 9 != 0, F.array_join(own, "\n"))
+    return rows.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), (F.col("page") + 1).alias("page_number"), text.alias("text"), own.alias("recognised"))
+
+
+def _contents(s, d):
+    """Documents as text files, some of them broken, without a reader, or of pages in JSON."""
+    n = F.col("doc_id")
+    content = F.when(n % 50 == 7, F.unhex(F.lit("fffe00"))).when(n % 50 == 8, F.lit('{"page_number"').cast("binary")).otherwise(S.text_of(F.col("text")).cast("binary"))
+    suffix = F.when(n % 50 == 8, ".jsonl").when(n % 50 == 9, ".odd").otherwise(".txt")
+    return spread(table(s, d, "documents")).select(F.concat(F.lit("in/"), n.cast("string"), suffix).alias("path"), content.alias("content"))
+
+
+def _run(s, d):
+    """A whole run: files are read, their pages packed into chunks, and each file has its result."""
+    read = G.read_files(_contents(s, d))
+    chunks = C.chunk_paragraphs(G.pages_of(read), ["path"])
+    return G.run_results(read, chunks, X._valid())
+
+
 QUERIES = {
+    "page_blocks": lambda s, d: G.page_blocks(_page_rows(s, d)),
+    "run_results": lambda s, d: _run(s, d).withColumn("error", F.when(F.col("path").endswith(".jsonl"), F.lit("not JSON")).otherwise(F.col("error"))),
+    "run_manifest": lambda s, d: P.manifest(_run(s, d)),
     "file_readers": lambda s, d: P.supported(_files(s, d)).select("path", "suffix", "reader"),
     "file_downloads": lambda s, d: P.downloads(_files(s, d), ["out"]),
     "manifest_comparison": lambda s, d: J.side_by_side(_runs(s, d)),
@@ -104,4 +132,6 @@ ORACLES = {
     "pdf_escape": r"SELECT doc_id, replace(replace(replace(coalesce(text, ''), '\', '\\'), '(', '\('), ')', '\)') AS text FROM documents",
     "session_read_buffer": r"""SELECT doc_id % 100 AS session_id, substring(string_agg(regexp_replace(concat('--- ', CASE WHEN doc_id % 3 = 0 THEN 'Web page' ELSE 'Document' END, ': ', source, '/', doc_id, ' ---', chr(10), text), '[\s\p{Z}]+$', ''), chr(10) || chr(10) ORDER BY doc_id), 1, 12000) AS buffer FROM documents GROUP BY 1""",
     "append_turns": "SELECT conv_id, CAST(count(*) AS INT) AS turns, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id",
+    "run_results": f"""{X.RUN} SELECT concat('in/', doc_id, CASE doc_id % 50 WHEN 8 THEN '.jsonl' WHEN 9 THEN '.odd' ELSE '.txt' END) AS path, CASE WHEN error IS NULL THEN 1 ELSE 0 END::BIGINT AS pages, chunk_count, valid_count, error FROM files""",
+    "run_manifest": f"{X.RUN} SELECT count(*) AS files_discovered, count(*) FILTER (error IS NULL) AS files_succeeded, count(error) AS files_failed, CAST(sum(chunk_count) AS BIGINT) AS chunks_total, CAST(sum(valid_count) AS BIGINT) AS chunks_valid, 'local' AS embedding_provider FROM files",
 }

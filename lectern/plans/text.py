@@ -175,6 +175,8 @@ def _reason(value: str) -> str:
 
 FILES = f"{PACKED}, made AS (SELECT doc_id, count(*) AS c, count(*) FILTER ({_reason('text')} IS NULL) AS v FROM chunks WHERE doc_id % 50 <> 7 GROUP BY doc_id), files AS (SELECT d.doc_id, coalesce(c, 0) AS chunk_count, coalesce(v, 0) AS valid_count, CASE WHEN c IS NULL THEN 'no text' END AS error FROM documents d LEFT JOIN made m ON d.doc_id = m.doc_id)"
 
+RUN = f"{PACKED}, made AS (SELECT doc_id, count(*) AS c, count(*) FILTER ({_reason('text')} IS NULL) AS v FROM chunks WHERE doc_id % 50 NOT IN (7, 8, 9) GROUP BY doc_id), files AS (SELECT d.doc_id, coalesce(c, 0) AS chunk_count, coalesce(v, 0) AS valid_count, CASE d.doc_id % 50 WHEN 7 THEN 'not UTF-8 text' WHEN 8 THEN 'not JSON' WHEN 9 THEN 'no reader for .odd' END AS error FROM documents d LEFT JOIN made m ON d.doc_id = m.doc_id)"
+
 ORACLES = {
     "html_text": f"SELECT page_id, substring({_markup('html')}, 1, 8000) AS text FROM pages",
     "html_title": f"SELECT page_id, {_strip(_refs('regexp_extract(html, ' + _q('(?is)<title[^>]*>(.*?)</title>') + ', 1)'))} AS title FROM pages",
