@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalars as S
 from lectern.operators import chunks as C
+from lectern.operators import embedding as E
 from lectern.operators import ingestion as G
 from lectern.operators import lines as N
 from lectern.operators import reports as P
@@ -13,7 +14,9 @@ from lectern.operators import turns as T
 from lectern.plans import text as X
 from lectern.session import spread, table
 from lectern.sources import jsonl as J
+from lectern.sources import jsonl_files as W
 from lectern.sources.fixtures import oracle_with, view
+from lectern.sources.scratch import scratch_path
 
 #: Suffixes of the made-up paths, by doc_id.
 MADE = (".pdf", ".PPTX", ".Png", ".jpg", ".jpeg", ".webp", ".bmp", ".TIF", ".tiff", ".txt", "", ".pdf.bak")
@@ -90,7 +93,25 @@ def _run(s, d):
     return G.run_results(read, chunks, X._valid())
 
 
+def _files_round_trip(s, d):
+    """All chunks written as JSON lines, and read again."""
+    path = scratch_path(W.registered(s), "jsonl")
+    _jsonl_chunks(s, d).write.format(W.NAME).mode("append").option("path", path).save()
+    rows = s.read.format(W.NAME).option("path", path).load()
+    return rows.select("id", "text", F.col("metadata")["doc"].alias("doc"), F.col("metadata")["strategy"].alias("strategy"))
+
+
+def _chunk_vectors(s, d):
+    """Vectors of all chunks; the first provider isn't there. The sum weighs each place of the vector by its number."""
+    chunks = _jsonl_chunks(s, d).select("id", "text")
+    rows = E.embedded(chunks, ["absent", "letters"])
+    weighed = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("id", "provider", F.size("embedding").cast("long").alias("dimensions"), weighed.alias("weighed"))
+
+
 QUERIES = {
+    "jsonl_files": _files_round_trip,
+    "chunk_embeddings": _chunk_vectors,
     "page_blocks": lambda s, d: G.page_blocks(_page_rows(s, d)),
     "run_results": lambda s, d: _run(s, d).withColumn("error", F.when(F.col("path").endswith(".jsonl"), F.lit("not JSON")).otherwise(F.col("error"))),
     "run_manifest": lambda s, d: P.manifest(_run(s, d)),
@@ -134,4 +155,6 @@ ORACLES = {
     "append_turns": "SELECT conv_id, CAST(count(*) AS INT) AS turns, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id",
     "run_results": f"""{X.RUN} SELECT concat('in/', doc_id, CASE doc_id % 50 WHEN 8 THEN '.jsonl' WHEN 9 THEN '.odd' ELSE '.txt' END) AS path, CASE WHEN error IS NULL THEN 1 ELSE 0 END::BIGINT AS pages, chunk_count, valid_count, error FROM files""",
     "run_manifest": f"{X.RUN} SELECT count(*) AS files_discovered, count(*) FILTER (error IS NULL) AS files_succeeded, count(error) AS files_failed, CAST(sum(chunk_count) AS BIGINT) AS chunks_total, CAST(sum(valid_count) AS BIGINT) AS chunks_valid, 'local' AS embedding_provider FROM files",
+    "chunk_embeddings": f"{STORED_CHUNKS} SELECT id, 'letters' AS provider, {E.DIMENSIONS}::BIGINT AS dimensions, CAST(coalesce(list_sum(list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c) % {E.DIMENSIONS} + 1)), 0) AS DOUBLE) AS weighed FROM stored",
 }
+ORACLES["jsonl_files"] = ORACLES["jsonl_round_trip"]
