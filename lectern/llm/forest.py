@@ -2,18 +2,18 @@
 
 Texts of one set of shingles are one content, told by a 128-bit digest of the set. A content's signature is ``TREES`` * ``DEPTH`` minima of hash functions;
 each tree orders all contents by the signature from its own ``DEPTH`` minima on, cyclically. Two contents of similarity s agree in a tree's first ``DEPTH`` minima
-with probability s^DEPTH, and in no tree's with (1 - s^DEPTH)^TREES: 3.9e-7 at 0.85, less above. So a tree's regions are the contents with equal first
-minima, and in them candidates are those whose common prefix is longest:
-
-* In a region of up to ``CROWD`` contents these are all, so the depth needed is ``DEPTH``.
-* In a crowded region the order goes on through the rest of the signature, and each content meets the ``NEXT`` behind it, which are those with which it
-  shares the longest prefix: as deep as that region is dense. Neighbours are found in stretches of the order, so a region is no single task's burden.
-
-Candidates whose whole signatures agree in too few places, which a pair at ``LEAST`` does with probability 2e-7, are dropped where they are found. The others are confirmed
-on their full sets, for each content or connected group its best candidate first, so a large group of copies grows together without all of its pairs being compared.
-
-Neighbours alone may miss a link of a crowded region. So where a region isn't connected by then, all its contents outside its largest connected group are compared with all of its
-contents: by their signatures, in shares of the region, and what agrees is confirmed as above. Nothing is drawn or left out.
+with probability s^DEPTH, and in no tree's with (1 - s^DEPTH)^TREES: 3.9e-7 at 0.85, less above. So a tree's regions are the contents with equal first minima, and a link is
+looked for between those that share a region:
+
+1. In each tree a content meets the next in the order, with which it has the longest common prefix: as deep as that region is dense. For each content the neighbour
+   that agrees best in the whole signature is confirmed on the full sets. So large groups of copies grow together, by no more comparisons than they
+   have members.
+2. Contents of one region that aren't known to be connected by then are compared with each other. In regions of up to ``CROWD`` contents, by their signatures first: pairs that agree in
+   too few places, which a pair at ``LEAST`` does with probability 2e-7, go, and the others are confirmed on the full sets.
+3. In a crowded region the contents outside its largest group meet all of its contents with their full sets, in shares of the region of bounded size, so
+   that only confirmed links leave the task that compares them. Nothing is drawn or left out.
+
+A pair is compared in the first tree in which it shares a region, and in no other.
 """
 
 from __future__ import annotations
@@ -28,25 +28,24 @@ from pyspark.sql import functions as F
 
 from .common import checkpointing, map_texts, sized, stored, texts_of
 from .components import components
+from .simhash import spanning
 
 SHINGLE = 3
 #: Percent of two sets' union that their intersection has at least.
 LEAST = 85
 TREES, DEPTH = 20, 4
 PLACES = TREES * DEPTH
-CROWD, NEXT = 32, 4
-#: Contents of a crowded region that are compared with its others in one share, on average.
-SHARE = 512
+CROWD = 32
+#: Bytes of the sets of a crowded region that are in one share, on average.
+SHARE = 8 << 20
 #: Places in which two signatures agree at least: of 80 a pair at 0.85 agrees in fewer with probability 1.9e-7.
 AGREEING = 50
-#: Rounds of best candidates before all that are left are confirmed.
-ROUNDS = 4
 _random = np.random.default_rng(13)
 XORS = _random.integers(0, 1 << 64, PLACES, np.uint64)
 ODDS = _random.integers(0, 1 << 64, PLACES, np.uint64) | np.uint64(1)
 STEPS = _random.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 FOLD = np.uint64(0x9E3779B97F4A7C15)
-PAIR = "a long, b long, agree int"
+LINK = "a long, b long"
 
 
 def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -118,60 +117,122 @@ def _close(n: np.ndarray, m: np.ndarray, least: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= least * np.maximum(n, m)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
 
+def _regions(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("regions").flatten().to_numpy().reshape(-1, TREES)
 
-def neighbours(batches: Iterator[pa.RecordBatch], most: int, least: int = LEAST) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (region, node, n, tail) in order of region and tail: each with the ``most`` behind it in its region, if they may be similar."""
-    waiting: tuple | None = None
+
+def _first_here(x: np.ndarray, y: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Whether ``region`` is the first that both of (rows of) ``x`` and ``y`` are in."""
+    same = x == y
+    at = same.argmax(axis=-1)
+    return same.any(axis=-1) & (np.take_along_axis(np.broadcast_to(x, same.shape), at[..., None], axis=-1)[..., 0] == region)
+
+
+def next_others(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
+    """root, agree, a and b from rows (region, node, root, n, tail) in order of region and tail: each row with the next of another root in its region."""
+    waiting: list | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = [batch.column(c).to_numpy() for c in ("region", "node", "n")] + [_matrix(batch, "tail")]
+        own = [batch.column(c).to_numpy() for c in ("region", "node", "root", "n")] + [_matrix(batch, "tail")]
+        region, node, root, n, tail = (np.concatenate(x) for x in zip(waiting, own)) if waiting else own
+        cut = np.flatnonzero((region[1:] != region[:-1]) | (root[1:] != root[:-1])) + 1  # where another root or region begins
+        first = np.arange(len(region))
+        after = np.append(cut, len(region))[np.searchsorted(cut, first, "right")]
+        first, after = first[after < len(region)], after[after < len(region)]
+        ok = (region[first] == region[after]) & _close(n[first], n[after], least)
+        first, after = first[ok], after[ok]
+        agree = (tail[first] == tail[after]).sum(axis=1)
+        ok = agree >= AGREEING
+        first, after = first[ok], after[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(root[first]), pa.array(agree[ok].astype(np.int32)), pa.array(node[first]), pa.array(node[after])], ["root", "agree", "a", "b"])
+        waiting = [x[-1:] for x in (region, node, root, n, tail)]
+
+
+def others_in_region(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows (region, node, root, n, tail, regions) in order of region, ``CROWD`` in one at most: those of different roots that may be similar and share no region before."""
+    waiting: list | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(c).to_numpy() for c in ("region", "node", "root", "n")] + [_matrix(batch, "tail"), _regions(batch)]
         seen = len(waiting[0]) if waiting else 0
-        region, node, n, tail = (np.concatenate(x) for x in zip(waiting, own)) if waiting else own
-        for ahead in range(1, most + 1):
+        region, node, root, n, tail, regions = (np.concatenate(x) for x in zip(waiting, own)) if waiting else own
+        for ahead in range(1, len(region)):
             first = np.arange(max(seen - ahead, 0), len(region) - ahead)
             first = first[region[first] == region[first + ahead]]
             if not len(first):
                 break
-            first = first[_close(n[first], n[first + ahead], least)]
-            agree = (tail[first] == tail[first + ahead]).sum(axis=1)
-            ok = agree >= AGREEING
-            if ok.any():
-                yield _pairs(node[first[ok]], node[first[ok] + ahead], agree[ok])
-        last = max(int(np.searchsorted(region, region[-1])), len(region) - most)
-        waiting = (region[last:], node[last:], n[last:], tail[last:])
+            first = first[(root[first] != root[first + ahead]) & _close(n[first], n[first + ahead], least)]
+            first = first[(tail[first] == tail[first + ahead]).sum(axis=1) >= AGREEING]
+            first = first[_first_here(regions[first], regions[first + ahead], region[first])]
+            if len(first):
+                yield _links(node[first], node[first + ahead])
+        last = int(np.searchsorted(region, region[-1]))
+        waiting = [x[last:] for x in (region, node, root, n, tail, regions)]
+
+
+def shared(one: np.ndarray, many: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many hashes the sorted set ``one`` has in common with each of the sets that lie in ``many`` from ``starts`` on."""
+    at = np.minimum(np.searchsorted(one, many), len(one) - 1)
+    return np.add.reduceat((one[at] == many).astype(np.int64), starts)
 
 
 def met(batches: Iterator[pa.RecordBatch], least: int = LEAST) -> Iterator[pa.RecordBatch]:
-    """Pairs from rows (region, share, visit, node, root, n, tail) in that order: a share's contents come first and wait while its visitors pass by."""
-    kept_of, kept = None, None
+    """Links from rows (region, share, visit, node, root, regions, hashes) in that order: a share's contents come first and wait while its visitors pass by.
+
+    Of what it finds, a share gives links that connect as much.
+    """
+    kept_of, nodes, roots, regions, sets = None, None, None, None, []
+    joined: tuple[np.ndarray, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        region, share, visit, node, root, n = (batch.column(c).to_numpy() for c in ("region", "share", "visit", "node", "root", "n"))
-        tail = _matrix(batch, "tail")
+        region, share, visit, node, root = (batch.column(c).to_numpy() for c in ("region", "share", "visit", "node", "root"))
+        own, hashes = _regions(batch), [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         cuts = np.flatnonzero((region[1:] != region[:-1]) | (share[1:] != share[:-1])) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(region)]):
             home = a + int(np.count_nonzero(visit[a:b] == 0))
-            rows = [x[a:home] for x in (node, root, n, tail)]
-            kept = [np.concatenate(x) for x in zip(kept, rows)] if kept_of == (region[a], share[a]) else rows
-            kept_of = (region[a], share[a])
-            for i in range(home, b, 64):
-                at = slice(i, min(i + 64, b))
-                agree = (tail[at][:, None] == kept[3][None]).sum(axis=2)
-                ok = (agree >= AGREEING) & (root[at][:, None] != kept[1][None]) & _close(n[at][:, None], kept[2][None], least)
-                x, y = np.nonzero(ok)
-                if len(x):
-                    yield _pairs(node[at][x], kept[0][y], agree[x, y])
+            if kept_of != (region[a], share[a]):
+                kept_of, nodes, roots, regions, sets, joined = (region[a], share[a]), node[a:home], root[a:home], own[a:home], hashes[a:home], None
+            elif home > a:
+                nodes, roots, regions = (np.concatenate(x) for x in ((nodes, node[a:home]), (roots, root[a:home]), (regions, own[a:home])))
+                sets, joined = sets + hashes[a:home], None
+            if home == b or not len(sets):
+                continue
+            if joined is None:
+                sizes = np.array([len(s) for s in sets])
+                joined = np.concatenate(sets), sizes
+            many, sizes = joined
+            starts = np.cumsum(sizes) - sizes
+            for i in range(home, b):
+                one = hashes[i]
+                ok = (roots != root[i]) & _close(len(one), sizes, least) & _first_here(own[i][None], regions, region[i])
+                if not ok.any():
+                    continue
+                at = np.flatnonzero(ok)
+                n = sizes[at]
+                begins = np.cumsum(n) - n
+                both = shared(one, many[np.repeat(starts[at] - begins, n) + np.arange(n.sum())], begins)
+                at = at[100 * both >= least * (len(one) + n - both)]
+                if len(at):
+                    at = at[np.unique(roots[at], return_index=True)[1]]
+                    found.append((np.full(len(at), node[i]), nodes[at]))
+            if found:
+                yield _links(*spanning(np.stack([np.concatenate(x) for x in zip(*found)])))
+                found = []
 
 
 class Contents:
-    """The contents of a table, and what is confirmed about them.
+    """The contents of a table, and what connects them.
 
-    ``heads`` has node (number of the content), digest, least (doc_id), named (a row that has it), n, regions and places.
+    ``heads`` has node (number of the content), digest, named (a row that has it: doc_id, sig), n, regions and places; ``rows`` has the contents of each region
+    of more than one: region, k (how many), node, n, regions and tail, the places in the tree's order; ``sets`` the hashes of those contents; ``roots`` node and root of those that are linked.
     """
 
     def __init__(self, docs: DataFrame, own: DataFrame, least: int, size: int):
@@ -179,10 +240,21 @@ class Contents:
         a_row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sig"))
         heads = own.where("n > 0").groupBy("digest").agg(a_row.alias("named"), *[F.first(c).alias(c) for c in ("n", "regions", "places")])
         self.heads = stored(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
-
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """node and hashes: the whole sets of all contents in ``pairs``, stored."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        self.rows = self._rows()
+        self.sets = self._sets()
+        self.roots: DataFrame | None = None
+
+    def _rows(self) -> DataFrame:
+        rows = self.heads.select("node", F.posexplode("regions").alias("tree", "region"))
+        often = stored(rows.groupBy("region").agg(F.count("*").alias("k")).where("k > 1"), "often")
+        # only contents that share a region take their signatures along
+        rows = stored(rows.join(sized(often), "region"), "shared").join(self.heads.select("node", "n", "regions", "places"), "node")
+        cut = (F.col("tree") + 1) * DEPTH
+        tail = F.concat(F.substr("places", cut + 1), F.substr("places", F.lit(1), cut))
+        return stored(rows.select("region", "k", "node", "n", "regions", tail.alias("tail")), "regions")
+
+    def _sets(self) -> DataFrame:
+        nodes = self.rows.select("node").distinct()
         needed = stored(self.heads.join(nodes, "node", "left_semi").select("node", "digest", F.col("named.doc_id").alias("of"), F.col("named.sig").alias("of_sig")), "needed")
         texts = self.docs.join(sized(needed), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("of_sig"))).select("node", "digest", "text")
         size = self.size
@@ -194,8 +266,14 @@ class Contents:
 
         return stored(map_texts(texts, "text", "node long, hashes binary", work).dropDuplicates(["node"]), "sets")
 
-    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b): the ``pairs`` whose whole sets are similar, stored."""
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the root of each node; one that isn't linked is its own."""
+        if self.roots is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): the ``pairs`` whose whole sets are similar."""
         least = self.least
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -204,75 +282,48 @@ class Contents:
             at = [i for i, (k, p, q) in enumerate(zip(both, x, y)) if 100 * k >= least * (len(p) + len(q) - k)]
             return batch.select(["a", "b"]).take(pa.array(at, pa.int64()))
 
-        rows = pairs.select("a", "b").join(sets.toDF("a", "a_set"), "a").join(sets.toDF("b", "b_set"), "b").select("a", "b", "a_set", "b_set")
-        return stored(map_texts(rows, "a_set", "a long, b long", work), "confirmed")
-
-    def connect(self, pairs: DataFrame, roots: DataFrame | None) -> DataFrame | None:
-        """node and root of all contents that are linked, with the links among ``pairs`` (a, b, agree; stored) and those that made ``roots``."""
-        if pairs.isEmpty():
-            return roots
-        sets = self.sets(pairs)
-        nodes = sets.count()
-        for turn in range(ROUNDS + 1):
-            best = turn < ROUNDS and pairs.count() > nodes
-            chosen = stored(best_pairs(rooted(pairs, roots)), "chosen") if best else pairs
-            links = self.confirmed(chosen, sets)
-            if roots is not None:
-                links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = stored(components(links), "roots")
-            if not best:
-                break
-            left = rooted(pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), roots)
-            pairs = stored(left.where("a_root <> b_root").select("a", "b", "agree"), "left")
-            if pairs.isEmpty():
-                break
-        return roots
-
-
-def rooted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``pairs`` with the root of each side; a content that isn't linked is its own."""
-    if roots is None:
-        return pairs.withColumns({"a_root": F.col("a"), "b_root": F.col("b")})
-    for side in ("a", "b"):
-        pairs = pairs.join(roots.toDF(side, f"{side}_root"), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    return pairs
-
-
-def best_pairs(pairs: DataFrame) -> DataFrame:
-    """For each root its pair that agrees most: (a, b)."""
-    ends = pairs.select(F.explode(F.array("a_root", "b_root")).alias("root"), F.struct("agree", "a", "b").alias("pair"))
-    return ends.groupBy("root").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
-
-
-def in_regions(heads: DataFrame) -> DataFrame:
-    """region, k (its contents), node, n and tail, the places in the tree's order, of all contents in regions of more than one."""
-    rows = heads.select("node", "n", "places", F.posexplode("regions").alias("tree", "region"))
-    often = stored(rows.groupBy("region").agg(F.count("*").alias("k")).where("k > 1"), "often")
-    cut = (F.col("tree") + 1) * DEPTH
-    tail = F.concat(F.substr("places", cut + 1), F.substr("places", F.lit(1), cut))
-    return stored(rows.join(often, "region").select("region", "k", "node", "n", tail.alias("tail")), "regions")
-
-
-def met_in_crowds(crowded: DataFrame, roots: DataFrame | None, least: int) -> DataFrame:
-    """Pairs of contents of ``crowded`` regions (rows as in ``in_regions``) with different roots, of all in regions that aren't connected."""
-    rows = crowded.withColumn("root", F.col("node")) if roots is None else crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = stored(rows, "crowded")
-    groups = rows.groupBy("region", "root").agg(F.count("*").alias("size"))
-    parted = groups.groupBy("region").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("size", "root")).alias("largest")).where("groups > 1")
-    rows = rows.join(sized(stored(parted, "parted")), "region").withColumn("shares", F.ceil(F.col("k") / SHARE))
-    homes = rows.withColumns({"share": F.pmod(F.xxhash64("node"), F.col("shares")), "visit": F.lit(0)})
-    visitors = rows.where("root <> largest").withColumns({"share": F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)), "visit": F.lit(1)})
-    dealt = homes.unionByName(visitors).select("region", "share", "visit", "node", "root", "n", "tail").repartition("region", "share").sortWithinPartitions("region", "share", "visit")
-    return dealt.mapInArrow(lambda batches: met(batches, least), PAIR)
+        rows = pairs.join(self.sets.toDF("a", "a_set"), "a").join(self.sets.toDF("b", "b_set"), "b").select("a", "b", "a_set", "b_set")
+        return map_texts(rows, "a_set", LINK, work)
+
+    def gather(self, links: DataFrame) -> DataFrame:
+        """The ``links`` (a, b), stored. Their contents get as root the least content within two links or more; what has one root is connected, not all that is connected has."""
+        links = stored(links, "confirmed")
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("near")), "near")
+        self.roots = stored(near.join(near.toDF("near", "root"), "near").select("node", "root"), "roots")
+        return links
+
+    def between_roots(self, links: DataFrame) -> DataFrame:
+        """The ``links`` (a, b) as links of their contents' roots."""
+        for side in ("a", "b"):
+            links = self.rooted(links.withColumnRenamed(side, "node")).drop("node").withColumnRenamed("root", side)
+        return links.select("a", "b")
+
+    def best_neighbours(self) -> DataFrame:
+        """a, b: for each root the pair that agrees most among those of its contents with the next of another root in their regions."""
+        least = self.least
+        rows = self.rooted(self.rows).select("region", "node", "root", "n", "tail")
+        ordered = rows.repartitionByRange("region", "tail", "node").sortWithinPartitions("region", "tail", "node")
+        found = ordered.mapInArrow(lambda batches: next_others(batches, least), "root long, agree int, a long, b long")
+        return stored(found.groupBy("root").agg(F.max(F.struct("agree", "a", "b")).alias("pair")).select("pair.a", "pair.b"), "best")
 
+    def others(self) -> DataFrame:
+        """a, b: the pairs of different roots in regions that aren't crowded."""
+        least = self.least
+        rows = self.rooted(self.rows.where(F.col("k") <= CROWD)).select("region", "node", "root", "n", "tail", "regions")
+        return rows.repartition("region").sortWithinPartitions("region").mapInArrow(lambda batches: others_in_region(batches, least), LINK)
 
-def candidates(rows: DataFrame, least: int) -> DataFrame:
-    """a, b and agree of all neighbours in the trees' orders; ``rows`` as in ``in_regions``."""
-    columns = ["region", "node", "n", "tail"]
-    few = rows.where(F.col("k") <= CROWD).select(*columns).repartition("region").sortWithinPartitions("region", "tail")
-    many = rows.where(F.col("k") > CROWD).select(*columns).repartitionByRange("region", "tail", "node").sortWithinPartitions("region", "tail", "node")
-    found = few.mapInArrow(lambda batches: neighbours(batches, CROWD, least), PAIR).unionByName(many.mapInArrow(lambda batches: neighbours(batches, NEXT, least), PAIR))
-    return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    def met_in_crowds(self) -> DataFrame:
+        """Links of crowded regions: of all contents outside a region's largest root with all of the region."""
+        least = self.least
+        rows = stored(self.rooted(self.rows.where(F.col("k") > CROWD)).select("region", "node", "root", "n", "regions"), "crowded")
+        groups = rows.groupBy("region", "root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+        parted = groups.groupBy("region").agg(F.count("*").alias("groups"), F.max_by("root", F.struct("size", "root")).alias("largest"), F.ceil(8 * F.sum("n") / SHARE).alias("shares")).where("groups > 1")
+        rows = rows.join(sized(stored(parted, "parted")), "region").join(self.sets, "node")
+        homes = rows.withColumns({"share": F.pmod(F.xxhash64("node"), F.col("shares")), "visit": F.lit(0)})
+        visitors = rows.where("root <> largest").withColumns({"share": F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)), "visit": F.lit(1)})
+        dealt = homes.unionByName(visitors).select("region", "share", "visit", "node", "root", "regions", "hashes").repartition("region", "share").sortWithinPartitions("region", "share", "visit")
+        return dealt.mapInArrow(lambda batches: met(batches, least), LINK)
 
 
 def similar_sets(docs: DataFrame, least: int = LEAST, size: int = SHINGLE) -> DataFrame:
@@ -286,14 +337,13 @@ def similar_sets(docs: DataFrame, least: int = LEAST, size: int = SHINGLE) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"))
     own = stored(with_signatures(docs, size), "signatures")
     contents = Contents(docs, own, least, size)
-    rows = in_regions(contents.heads)
-    roots = contents.connect(stored(candidates(rows, least), "candidates"), None)
-    crowded = rows.where(F.col("k") > CROWD)
-    if not crowded.isEmpty():
-        rest = met_in_crowds(crowded, roots, least).groupBy("a", "b").agg(F.max("agree").alias("agree"))
-        roots = contents.connect(stored(rest, "rest"), roots)
-    heads = contents.heads.select("node", "digest", F.col("named.doc_id").alias("first"))
-    heads = heads.withColumn("root", F.col("node")) if roots is None else heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = contents.gather(contents.confirmed(contents.best_neighbours()))
+    found = contents.confirmed(contents.others()).unionByName(contents.met_in_crowds())
+    # what has one root by now is one node of the graph that is left
+    left = contents.between_roots(first.unionByName(found))
+    whole = components(left).toDF("root", "whole")
+    heads = contents.rooted(contents.heads.select("node", "digest", F.col("named.doc_id").alias("first"))).join(whole, "root", "left")
+    heads = heads.select("node", "digest", "first", F.coalesce("whole", "root").alias("root"))
     heads = stored(heads, "rooted")
     named = heads.join(heads.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("digest", "component_id")
     alone = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

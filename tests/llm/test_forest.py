@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lectern.llm import forest
-from lectern.llm.forest import OP13_SQL, PLACES, TREES, digest_of, neighbours, op13_forest, shingle_set, signatures, similar_sets
+from lectern.llm.forest import OP13_SQL, PLACES, TREES, digest_of, next_others, op13_forest, others_in_region, shared, shingle_set, signatures, similar_sets
 
 sys.path.insert(0, str(Path(__file__).parent.parent))
 import compare  # noqa: E402
@@ -79,17 +79,44 @@ def test_regions_agree_as_often_as_sets_are_similar():
     assert np.mean(same) == pytest.approx(550 / 650, abs=0.02)
 
 
-def test_neighbours_over_batches_are_those_of_one_batch():
-    r = np.random.default_rng(5)
-    n = 300
-    region, node = np.sort(r.integers(0, 40, n)), np.arange(n)
+def some_rows(r, n):
+    """Rows of some regions in their order."""
+    region, node, root = np.sort(r.integers(0, 40, n)), np.arange(n), r.integers(0, 3, n)
     tail = np.where(r.random((n, PLACES)) < 0.8, 7, r.integers(0, 256, (n, PLACES))).astype(np.uint8)
-    rows = pa.RecordBatch.from_arrays([pa.array(region), pa.array(node), pa.array(np.full(n, 50)), pa.array([x.tobytes() for x in tail], pa.binary())], ["region", "node", "n", "tail"])
-    pairs = lambda batches, most: sorted((a, b) for x in neighbours(iter(batches), most) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist()))
-    for most in (1, 4, 32):
-        want = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + most + 1)) if region[i] == region[j] and (tail[i] == tail[j]).sum() >= forest.AGREEING]
-        for cuts in ([0, n], [0, 1, 2, 3, 150, 151, 200, n], list(range(0, n + 1, 10))):
-            assert pairs([rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])], most) == want
+    regions = np.concatenate([region[:, None], r.integers(1000, 1003, (n, TREES - 1))], axis=1)
+    r.permuted(regions, axis=1, out=regions)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * TREES + 1, TREES), pa.int32()), pa.array(regions.ravel()))
+    columns = {"region": pa.array(region), "node": pa.array(node), "root": pa.array(root), "n": pa.array(np.full(n, 50)), "tail": pa.array([x.tobytes() for x in tail], pa.binary()), "regions": lists}
+    return pa.RecordBatch.from_pydict(columns), region, root, tail, regions
+
+
+CUTS = ([0, 300], [0, 1, 2, 3, 150, 151, 200, 300], list(range(0, 301, 10)))
+
+
+@pytest.mark.parametrize("cuts", CUTS, ids=range(3))
+def test_pairs_over_batches_are_those_of_all(cuts):
+    rows, region, root, tail, regions = some_rows(np.random.default_rng(5), 300)
+    first = lambda i, j: next(a for a, b in zip(regions[i], regions[j]) if a == b) == region[i] if (regions[i] == regions[j]).any() else False
+    want = [(i, j) for i in range(300) for j in range(i + 1, 300) if region[i] == region[j] and root[i] != root[j] and (tail[i] == tail[j]).sum() >= forest.AGREEING and first(i, j)]
+    batches = [rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    got = sorted((a, b) for x in others_in_region(iter(batches)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist()))
+    assert got == want and want
+
+
+def test_the_next_of_another_root():
+    rows, region, root, tail, _ = some_rows(np.random.default_rng(6), 300)
+    want = []
+    for i in range(300):
+        j = next((j for j in range(i + 1, 300) if root[j] != root[i] or region[j] != region[i]), None)
+        if j is not None and region[i] == region[j] and (tail[i] == tail[j]).sum() >= forest.AGREEING:
+            want.append((i, j))
+    got = lambda batches: [(a, b) for x in next_others(iter(batches)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+    assert got([rows]) == want and set(got([rows.slice(0, 100), rows.slice(100)])) <= set(want)
+
+
+def test_shared():
+    one, many = np.array([2, 5, 9], np.uint64), np.array([1, 2, 5, 9, 3, 10, 9], np.uint64)
+    assert shared(one, many, np.array([0, 4, 6])).tolist() == [3, 0, 1]
 
 
 def test_components_equal_all_pairs(spark):
@@ -100,8 +127,7 @@ def test_components_equal_all_pairs(spark):
 
 def test_a_crowded_region_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(forest, "CROWD", 4)
-    monkeypatch.setattr(forest, "NEXT", 1)
-    monkeypatch.setattr(forest, "SHARE", 16)
+    monkeypatch.setattr(forest, "SHARE", 16_000)
     docs = some_groups(random.Random(2), [150, 60, 12, 12, 1, 1], edits=6)
     want = plain(docs)
     assert got(spark, docs) == want and 5 < len({c for _, c in want.values()}) < len(docs)
