@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import lessons as P
 from lectern.functions import routing as R
 from lectern.functions import scalars as S
 from lectern.operators import chat_logs as L
@@ -61,6 +62,18 @@ def _role_of(messages):
     return messages.withColumn("role", S.access_role(F.col("user_email")))
 
 
+def _minutes(s, d):
+    """The minutes that each message asks for, 40 where it names none."""
+    asked = P.requested_minutes(R.lesson_metadata(F.col("text"))["duration"])
+    return _messages(s, d).select("msg_id", F.coalesce(asked, F.lit(40)).alias("minutes"))
+
+
+def _lesson_plans(s, d):
+    """The answer to each message, in the lesson template where a lesson was asked for."""
+    answers = _logs(s, d).select(F.col("seq").cast("long").alias("msg_id"), F.col("response").alias("answer"))
+    return _messages(s, d).join(answers, "msg_id", "left").select("msg_id", P.lesson_plan(F.col("answer"), F.col("text")).alias("plan"))
+
+
 def _plain_words(text):
     return F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", "")
 
@@ -137,7 +150,8 @@ QUERIES = {
     "is_self_query": _per_message(hit=Q.is_self_query),
     "lesson_metadata": lambda s, d: _messages(s, d).select("msg_id", *[c.alias(n) for n, c in R.lesson_metadata(F.col("text")).items()]),
     "lesson_metadata_all": lambda s, d: _messages(s, d).select("msg_id", *[c.alias(n) for n, c in R.lesson_metadata(F.col("text")).items()]),
-    "lesson_timing": lambda s, d: s.range(0, 241).select(F.col("id").cast("int").alias("minutes")).select("minutes", *[c.alias(n) for n, c in R.lesson_timing(F.col("minutes")).items()]),
+    "lesson_timing": lambda s, d: _minutes(s, d).select("msg_id", "minutes", *[c.alias(n) for n, c in R.lesson_timing(F.col("minutes")).items()]),
+    "lesson_plans": _lesson_plans,
     "expand_contractions": _per_message(expanded=Q.expand_contractions),
     "faq_normalize": _per_message(normal=Q.faq_normal),
     "faq_canonicalize": _per_message(canonical=Q.faq_canonical),
@@ -256,6 +270,7 @@ NAMED = f"regexp_matches(text, {_q(R.TOPIC)})"
 TOPIC = rf"{_strip('regexp_replace(' + _strip(f'regexp_extract(text, {_q(R.TOPIC)}, 1)') + r", '(?i)\s+for\b.*', '')")}"
 PART = "greatest({1}, CAST(round_even(CAST(minutes AS DOUBLE) * CAST({0} AS DOUBLE), 0) AS INT))"
 PARTS = {"intro": PART.format(0.12, 3), "direct": PART.format(0.30, 8), "guided": PART.format(0.30, 8), "independent": PART.format(0.18, 5)}
+TIMES = ", ".join(f"CAST(CASE WHEN minutes >= 10 THEN {e} ELSE {d} END AS INT) AS {n}" for (n, e), d in zip(PARTS.items(), (5, 15, 10, 7))) + ", CAST(CASE WHEN minutes >= 10 THEN greatest(3, minutes - (" + " + ".join(PARTS.values()) + ")) ELSE 3 END AS INT) AS closure"
 
 ORACLES = {
     "session_list": _l(LISTS),
@@ -323,7 +338,7 @@ ORACLES = {
     "lesson_metadata": _m(
         rf"CASE WHEN regexp_extract(text, {_q(R.GRADE)}, 1) <> '' THEN concat('Grade ', regexp_extract(text, {_q(R.GRADE)}, 1)) ELSE '' END AS grade, regexp_extract(text, {_q(R.DURATION)}, 1) AS duration, CASE WHEN {NAMED} THEN {TOPIC} ELSE '' END AS topic, CASE WHEN {NAMED} THEN CASE WHEN len(regexp_split_to_array({TOPIC}, '\s+')) <= 3 THEN {TOPIC} ELSE '' END ELSE {_strip(f'regexp_extract(text, {_q(R.SUBJECT)}, 1)')} END AS subject, {_strip(f'regexp_extract(text, {_q(R.PREREQUISITE)}, 1)')} AS prerequisite",
     ),
-    "lesson_timing": "SELECT minutes, " + ", ".join(f"CAST(CASE WHEN minutes >= 10 THEN {e} ELSE {d} END AS INT) AS {n}" for (n, e), d in zip(PARTS.items(), (5, 15, 10, 7))) + ", CAST(CASE WHEN minutes >= 10 THEN greatest(3, minutes - (" + " + ".join(PARTS.values()) + ")) ELSE 3 END AS INT) AS closure FROM (SELECT CAST(range AS INT) AS minutes FROM range(241))",
+    "lesson_timing": oracle_with("messages") + f" SELECT msg_id, minutes, {TIMES} FROM (SELECT msg_id, coalesce(TRY_CAST(regexp_extract(regexp_extract(text, {_q(R.DURATION)}, 1), '[0-9]+') AS INT), 40) AS minutes FROM messages)",
     "expand_contractions": _faq("SELECT msg_id, expanded FROM c"),
     "faq_normalize": _faq("SELECT msg_id, normal FROM c"),
     "faq_canonicalize": _faq("SELECT msg_id, canonical FROM c"),
@@ -378,3 +393,22 @@ SAME = f"list_sum(list_transform(string_split({_q(Q.LETTERS)}, ''), lambda x: le
 ORACLES["faq_bounds"] = _faq(f""", r AS (SELECT msg_id, {_renormal('canonical')} AS asked FROM c WHERE own AND canonical <> ''), b AS (SELECT msg_id, CAST(ord AS BIGINT) AS ord,
  1.4 * {SAME} / (length(asked) + length(qnormal)) + 0.3 * {OVERLAP} + CASE WHEN {BONUS} THEN 0.12 ELSE 0 END AS bound FROM r, {BANK} WHERE asked <> '')
  SELECT msg_id, ord, round(bound, 6) AS bound, bound >= {Q.FUZZY} - 1e-9 AS scored FROM b""")
+
+
+def _filled(template: str, value) -> str:
+    return "concat(" + ", ".join(value(part) if name else _q(part) for part, name in P.pieces(template)) + ")"
+
+
+def _plan_sql() -> str:
+    cell = lambda n: f"coalesce(nullif({_strip(f'regexp_replace(replace({n}, chr(124), chr(92) || chr(124)), chr(91) || chr(10) || chr(13) || chr(93), chr(32), chr(103))')}, ''), {_q(P.MISSING)})"
+    value = lambda n: n if n in ("intro", "direct", "guided", "independent", "closure") else f"CASE WHEN topic = '' THEN 'Lesson Plan' ELSE {cell('topic')} END" if n == "title" else cell(n)
+    facts = ORACLES["lesson_metadata"].split(" SELECT msg_id, ", 1)
+    lesson = ORACLES["is_lesson"].split(" SELECT msg_id, ", 1)[1]
+    return f"""{oracle_with("messages", "chat_logs")}, facts AS (SELECT msg_id, {facts[1]}), lessons AS (SELECT msg_id, {lesson}),
+ given AS (SELECT * REPLACE (CASE WHEN duration = '' THEN {_q(P.MINUTES)} ELSE duration END AS duration) FROM facts), timed AS (SELECT *, coalesce(TRY_CAST(regexp_extract(duration, '[0-9]+') AS INT), 0) AS minutes FROM given),
+ parts AS (SELECT *, {TIMES} FROM timed), answers AS (SELECT seq AS msg_id, response AS answer, {_strip("response")} AS draft FROM chat_logs)
+ SELECT p.msg_id, CASE WHEN hit THEN concat({_filled(P.TEMPLATE, value)}, CASE WHEN coalesce(draft, '') = '' THEN '' ELSE {_filled(P.DRAFT, lambda n: n)} END) ELSE coalesce(answer, '') END AS plan
+ FROM parts p JOIN lessons l ON l.msg_id = p.msg_id LEFT JOIN answers a ON a.msg_id = p.msg_id"""
+
+
+ORACLES["lesson_plans"] = _plan_sql()
