@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,41 +14,95 @@ from pyspark.sql import functions as F
 from lectern.functions.scalars import text_of
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Bytes of queries that meet every vector in one pass; more queries are dealt to passes.
+PASS = 64 << 20
+#: Queries that are multiplied with a frame of vectors at a time.
+BLOCK = 256
+#: Scores are told apart to so many digits.
+DIGITS = 6
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return y @ x.T
 
 
-SCORES = {
-    "dot": lambda a, b: dot(a, b),
-    "cosine": lambda a, b: dot(a, b) / (norm(a) * norm(b)),
-    "l2": lambda a, b: F.lit(0.0) - F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)),
-}
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return _dot(x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True))
 
-#: Queries that are compared with every vector in one pass, on average over the blocks that more are dealt to.
-QUERIES = 1000
+
+def _l2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    squares = (x * x).sum(axis=1)[None] + (y * y).sum(axis=1)[:, None] - 2 * _dot(x, y)
+    return 0.0 - np.sqrt(np.maximum(squares, 0.0))
+
+
+#: Scores of all vectors (rows of the first) for all queries (rows of the second).
+SCORES = {"dot": _dot, "cosine": _cosine, "l2": _l2}
+
+
+def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
+
+
+def _width(vectors: DataFrame) -> type:
+    """Single precision is enough for vectors that are stored so."""
+    return np.float32 if dict(vectors.dtypes)["vector"] == "array<float>" else np.float64
+
+
+def _packed(rows: DataFrame, width: type) -> DataFrame:
+    """ids and vectors (bytes) of ``rows`` (id, vector), many of them in a row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids, vectors = b.column("id").to_numpy(), _matrix(b.column("vector"), width)
+                yield pa.RecordBatch.from_pydict({"ids": [ids.astype(np.int64).tobytes()], "vectors": [vectors.tobytes()]})
+
+    return rows.where("id is not null and vector is not null").mapInArrow(work, "ids binary, vectors binary")
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, id, score) of the ``k`` best columns of each row of ``scores``, the lesser id of equals."""
+    place = np.argsort(ids, kind="stable").argsort(kind="stable")
+    scores = np.floor(scores * 10**DIGITS + 0.5)
+    last = 2.0**62 / len(ids)  # what is beyond comes first or last, as what isn't a number comes last
+    ranked = np.clip(np.nan_to_num(scores, nan=-last, posinf=last, neginf=-last), -last, last)
+    key = (-ranked).astype(np.int64) * len(ids) + place[None]
+    k = min(k, len(ids))
+    at = np.argpartition(key, k - 1, axis=1)[:, :k] if k < len(ids) else np.broadcast_to(np.arange(k), (len(scores), k))
+    return np.repeat(np.arange(len(scores)), k), ids[at].ravel(), np.take_along_axis(scores, at, axis=1).ravel() / 10**DIGITS
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot") -> DataFrame:
     """query_id, vec_id, score, rank: the ``k`` best vectors of each query, the lesser vec_id of equals.
 
-    An exhaustive scan, as exact results need: the queries are dealt by hash to blocks of about ``QUERIES``, each of which is sent
-    to all tasks, and each task keeps its own ``k`` best of each query, so that what is shuffled grows with the tasks, not with the vectors.
+    An exhaustive scan, as exact results need. Vectors and queries are packed, frames of each to a row, and each frame of vectors is multiplied with all queries, which go to all tasks
+    in passes of ``PASS`` bytes at most; it keeps the ``k`` best of each query by partial selection. So vectors are read once a pass, and what is shuffled is k rows a query and frame, not a row a pair.
     """
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    blocks = max(1, -(-queries.count() // QUERIES))
+    score = SCORES[metric]
+    asked = queries.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    width, own_width = _width(rows), _width(asked)
+    size = asked.agg(F.sum(np.dtype(own_width).itemsize * F.size("vector") + 8)).first()[0] or 0
+    passes = -(-size // PASS) or 1
+    frames = _packed(rows, width).toDF("ids", "vectors")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, own = (np.frombuffer(b.column(c)[i].as_py(), np.int64) for c in ("ids", "q_ids"))
+                x, y = (np.frombuffer(b.column(c)[i].as_py(), w).astype(np.float64).reshape(len(n), -1) for c, n, w in (("vectors", ids, width), ("q_vectors", own, own_width)))
+                for a in range(0, len(own), BLOCK):
+                    row, vec, value = _best(ids, score(x, y[a : a + BLOCK]), k)
+                    yield pa.RecordBatch.from_pydict({"query_id": own[a : a + BLOCK][row], "vec_id": vec, "score": value})
+
+    def best(part: DataFrame) -> DataFrame:
+        return frames.join(F.broadcast(_packed(part, own_width).toDF("q_ids", "q_vectors")), F.lit(True)).mapInArrow(work, "query_id long, vec_id long, score double")
+
+    parts = [asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i) for i in range(passes)] if passes > 1 else [asked]
+    found = reduce(DataFrame.unionByName, [best(p) for p in parts])
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def best(block: DataFrame) -> DataFrame:
-        scored = vectors.join(F.broadcast(block), F.lit(True)).select("query_id", "vec_id", F.round(SCORES[metric](F.col("embedding"), F.col("query")), 6).alias("score"))
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    if blocks == 1:
-        return best(asked)
-    return reduce(DataFrame.unionByName, [best(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)])
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def strict_filter(role: str, grade: int | None = None) -> Column:

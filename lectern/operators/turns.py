@@ -51,12 +51,22 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
 
 
+def _joined(parts: DataFrame, key: str, order: str, section: Column, limit: int, shortest: int) -> DataFrame:
+    """For each key the first ``limit`` characters of its sections, a blank line between two, in their order.
+
+    Sections have ``shortest`` characters at least, so only so many of a key's first ones can be in them: each task passes on no more than those, and a key with very many parts is no single task's burden.
+    """
+    most = limit // (shortest + 2) + 1
+    rows = parts.select(key, F.col(order).alias("at"), F.substring(section, 1, limit).alias("part"))
+    first = rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("at", "part"))).where(F.col("rank") <= most)
+    own = F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x["part"])
+    return first.groupBy(key).agg(F.substring(F.array_join(own, "\n\n"), 1, limit).alias("buffer"))
+
+
 def document_buffers(parts: DataFrame, key: str, order: str, name: str, text: str, limit: int = BUFFER) -> DataFrame:
     """For each key its documents one behind the other under their names, the first ``limit`` characters."""
     section = F.concat(F.lit("--- Document: "), F.col(name).cast("string"), F.lit(" ---\n"), text_of(F.col(text)))
-    # no more than the limit of any part can be in the buffer
-    own = F.array_sort(F.collect_list(F.struct(order, F.substring(section, 1, limit).alias("part"))))
-    return parts.groupBy(key).agg(F.substring(F.array_join(F.transform(own, lambda x: x["part"]), "\n\n"), 1, limit).alias("buffer"))
+    return _joined(parts, key, order, section, limit, len("--- Document:  ---\n"))
 
 
 def session_buffers(parts: DataFrame, key: str, order: str, limit: int = BUFFER) -> DataFrame:
@@ -65,9 +75,7 @@ def session_buffers(parts: DataFrame, key: str, order: str, limit: int = BUFFER)
     ``parts`` has kind (Document or Web page), name and text. An empty text leaves its heading alone.
     """
     headed = F.concat(F.lit("--- "), "kind", F.lit(": "), F.col("name").cast("string"), F.lit(" ---\n"), text_of(F.col("text")))
-    section = F.regexp_replace(headed, r"(?U)\s+$", "")
-    own = F.array_sort(F.collect_list(F.struct(order, F.substring(section, 1, limit).alias("part"))))
-    return parts.groupBy(key).agg(F.substring(F.array_join(F.transform(own, lambda x: x["part"]), "\n\n"), 1, limit).alias("buffer"))
+    return _joined(parts, key, order, F.regexp_replace(headed, r"(?U)\s+$", ""), limit, len("--- :  ---"))
 
 
 def append_turns(sessions: DataFrame, turns: DataFrame) -> DataFrame:
