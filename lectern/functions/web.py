@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scalars import collapsed, html_escaped, stripped, text_of
+from .folds import everything, folded, gathered, using
+from .scalars import bound, collapsed, html_escaped, stripped, text_of
 
 PAGE = 8000
 DROPPED = ("script", "style", "noscript", "header", "footer", "nav", "aside")
@@ -20,13 +21,45 @@ def unescaped(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
+#: Elements whose content is no markup.
+RAW = ("script", "style")
+
+
+def _texts(html: Column) -> Column:
+    """The page's texts outside of markup, comments and the elements ``DROPPED``, those inside of such included, in one pass over the pieces between its ``<``."""
+
+    def add(s: Column, p: Column) -> Column:
+        name = F.lower(F.regexp_extract(p, "^/?([A-Za-z][A-Za-z0-9]*)", 1))
+        return using(s, F.struct(name.alias("name"), F.startswith(p, F.lit("/")).alias("closing")), lambda s, x: step(s, p, x["name"], x["closing"]))
+
+    def step(s: Column, p: Column, name: Column, closing: Column) -> Column:
+        fresh, raw, inside = s["mode"] == "text", s["open"].isin(*RAW), s["open"] != ""
+        comment = (s["mode"] == "comment") | (fresh & ~raw & F.startswith(p, F.lit("!--")))
+        opens, same = fresh & ~inside & ~closing & name.isin(*DROPPED), fresh & inside & (name == s["open"])
+        depth = F.when(opens, 1).when(same & closing, s["depth"] - 1).when(same & ~raw, s["depth"] + 1).otherwise(s["depth"])
+        sign = fresh & ~inside & (name == "") & ~closing & ~F.rlike(p, F.lit("^[!?]"))  # no tag, but what it says
+        mark = F.when(comment, F.instr(p, "-->") + 2).otherwise(F.instr(p, ">"))
+        ended = F.when(comment, mark > 2).otherwise(mark > 0)
+        mode = F.when(sign | ended | (raw & ~same), "text").when(comment, "comment").otherwise("tag")
+        text = F.when(sign, F.concat(F.lit("<"), p)).when(ended & (depth == 0), F.substr(p, mark + 1)).otherwise("")
+        found = F.struct(text.alias("text"), mode.alias("mode"), depth.cast("int").alias("depth"), F.when(opens, name).otherwise(s["open"]).alias("open"))
+        return using(s, found, lambda s, x: F.struct(
+            F.when(x["text"] == "", s["held"]).otherwise(gathered(s["held"], x["text"])).alias("held"),
+            x["mode"].alias("mode"),
+            F.when(x["depth"] == 0, "").otherwise(x["open"]).alias("open"),
+            x["depth"].alias("depth"),
+        ))
+
+    def texts(pieces: Column) -> Column:
+        start = {"mode": F.lit("text"), "open": F.lit(""), "depth": F.lit(0)}
+        return F.concat(F.slice(pieces, 1, 1), folded(F.slice(pieces, F.lit(2), F.size(pieces)), "string", start, add, lambda s: everything(s["held"])))
+
+    return bound(F.split(html, "<"), texts)
+
+
 def without_markup(html: Column) -> Column:
-    """The page's text on one line, without the elements that hold none."""
-    out = text_of(html)
-    for name in DROPPED:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}>", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    return collapsed(unescaped(out))
+    """The page's text on one line, without the elements that hold none; an element that isn't closed reaches to the page's end."""
+    return collapsed(unescaped(F.array_join(_texts(text_of(html)), " ")))
 
 
 def html_text(html: Column, limit: int = PAGE) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.folds import everything, gathered, nothing
+from lectern.functions.folds import everything, folded, gathered
 from lectern.functions.scalars import bound, stripped, text_of
 from lectern.operators.lines import blocks_of
 
@@ -37,14 +37,14 @@ def packed(parts: Column, words: int = WORDS, glue: str = " ") -> Column:
         fits = (state["filled"] + n <= words) | (state["count"] == 0)
         at = state["at"] + 1
         return F.struct(
+            F.when(fits, state["held"]).otherwise(gathered(state["held"], state["at"])).alias("held"),
             at.alias("at"),
             F.when(fits, state["filled"] + n).otherwise(n).alias("filled"),
             F.when(fits, state["count"] + 1).otherwise(1).alias("count"),
-            F.when(fits, state["ends"]).otherwise(gathered(state["ends"], state["at"])).alias("ends"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("filled"), F.lit(0).alias("count"), nothing("int").alias("ends"))
-    ends_of = lambda own: F.aggregate(F.transform(own, word_count), start, add, lambda s: F.array_append(everything(s["ends"]), s["at"]))
+    start = {name: F.lit(0) for name in ("at", "filled", "count")}
+    ends_of = lambda own: bound(F.transform(own, word_count), lambda ns: folded(ns, "int", start, add, lambda s: F.array_append(everything(s["held"]), s["at"])))
 
     def cut(own: Column, ends: Column) -> Column:
         spans = F.arrays_zip(F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends)).alias("a"), ends.alias("b"))
@@ -88,15 +88,15 @@ def _chunked(docs: DataFrame, words: int) -> DataFrame:
         joins = ((last == "heading") & (kind == "paragraph")) | ((last == kind) & kind.isin("list_item", "table_row"))
         fits = joins & (state["words"] + b["words"] <= words)
         return F.struct(
+            F.when(fits, state["held"]).otherwise(gathered(state["held"], state["at"])).alias("held"),
             F.when(fits, last).otherwise(kind).alias("kind"),
             # a heading over the size takes nothing with it
             F.when(fits, state["words"] + b["words"]).otherwise(b["words"]).alias("words"),
-            F.when(fits, state["starts"]).otherwise(gathered(state["starts"], state["at"])).alias("starts"),
             (state["at"] + 1).alias("at"),
         )
 
-    start = F.struct(F.lit("").alias("kind"), F.lit(0).alias("words"), nothing("int").alias("starts"), F.lit(0).alias("at"))
-    starts_of = lambda bs: F.aggregate(bs, start, add, lambda s: F.array_append(everything(s["starts"]), s["at"]))
+    start = {"kind": F.lit(""), "words": F.lit(0), "at": F.lit(0)}
+    starts_of = lambda bs: folded(bs, "int", start, add, lambda s: F.array_append(everything(s["held"]), s["at"]))
     # each group takes its own slice along, not the document's whole array
     slices = lambda bs, starts: F.transform(F.sequence(F.lit(1), F.size(starts) - 1), lambda i: F.slice(bs, F.element_at(starts, i) + 1, F.element_at(starts, i + 1) - F.element_at(starts, i)))
     own = lambda bs: F.when(F.size(bs) > 0, bound(starts_of(bs), lambda starts: slices(bs, starts)))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.folds import everything, gathered, gathered_all, nothing
+from lectern.functions.folds import everything, folded, gathered, gathered_all, using
 from lectern.functions.scalars import bound, text_of
 
 SEPARATORS = ("\n\n", "\n", " ")
@@ -44,10 +44,10 @@ def _spans(text: Column, base: Column, separators: tuple[str, ...], size: int, o
     def windows(pieces: Column) -> Column:
         """``pieces`` of the text in order, each with its separator."""
         lengths = F.transform(pieces, lambda p: F.length(p))
-        return bound(lengths, lambda ns: folded(pieces, ns))
+        return bound(lengths, lambda ns: joined(pieces, ns))
 
-    def folded(pieces: Column, ns: Column) -> Column:
-        start = F.struct(nothing(SPAN).alias("held"), F.lit(0).alias("i"), base.alias("end"), F.lit(0).alias("first"), F.lit(0).alias("total"))
+    def joined(pieces: Column, ns: Column) -> Column:
+        start = {"i": F.lit(0), "end": base, "first": F.lit(0), "total": F.lit(0)}
 
         def closed(s: Column) -> Column:
             """What is held with the window that is open, if it has pieces."""
@@ -64,15 +64,15 @@ def _spans(text: Column, base: Column, separators: tuple[str, ...], size: int, o
             return F.aggregate(own, F.struct(s["first"].alias("first"), s["total"].alias("total")), drop)
 
         def add(s: Column, piece: Column) -> Column:
-            def of_length(n: Column) -> Column:
+            def of_length(s: Column, n: Column) -> Column:
                 long = state(gathered_all(closed(s), _spans(piece, s["end"], finer, size, overlap)), s, n, s["i"] + 1, F.lit(0))
                 joins = state(s["held"], s, n, s["first"], s["total"] + n)
-                full = bound(kept(s, n), lambda k: state(closed(s), s, n, k["first"], k["total"] + n))
+                full = using(s, kept(s, n), lambda s, k: state(closed(s), s, n, k["first"], k["total"] + n))
                 return F.when(n >= size, long).when(s["total"] + n <= size, joins).otherwise(full)
 
-            return bound(F.length(piece), of_length)
+            return using(s, F.length(piece), of_length)
 
-        return F.aggregate(pieces, start, add, lambda s: everything(closed(s)))
+        return folded(pieces, SPAN, start, add, lambda s: everything(closed(s)))
 
     def headed(parts: Column) -> Column:
         own = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(first), p)))

@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.folds import SHORT, everything, gathered, gathered_all, nothing
+from lectern.functions.folds import BLOCK, everything, folded, gathered, gathered_all
 from lectern.operators.splitting import recursive_spans, recursive_windows, split_documents
 
 SF = "/root/testdata/sf0.01"
@@ -98,9 +98,10 @@ def test_no_python_and_no_shuffle(spark):
     assert "Exchange" not in plan and "Python" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-def test_gathering(spark):
-    n = 3 * SHORT + 7
-    fold = F.aggregate(F.sequence(F.lit(1), F.lit(n)), nothing("int"), lambda held, x: gathered(held, x), everything)
-    mixed = F.aggregate(F.sequence(F.lit(1), F.lit(n)), nothing("int"), lambda held, x: F.when(x % 5 == 0, gathered_all(held, F.array(x, -x))).otherwise(gathered(held, x)), everything)
-    row = spark.range(1).select(fold.alias("a"), mixed.alias("b")).first()
-    assert row.a == list(range(1, n + 1)) and row.b == [y for x in range(1, n + 1) for y in ((x, -x) if x % 5 == 0 else (x,))]
+@pytest.mark.parametrize("n", [0, 1, BLOCK, BLOCK + 1, 3 * BLOCK + 7])
+def test_folds_gather_all_in_order(spark, n):
+    items = F.filter(F.sequence(F.lit(1), F.lit(n + 1)), lambda x: x <= n)
+    step = lambda s, x: F.struct(F.when(x % 5 == 0, gathered_all(s["held"], F.array(x, -x))).when(x % 7 == 0, s["held"]).otherwise(gathered(s["held"], x)).alias("held"), (s["total"] + x).alias("total"))
+    fold = folded(items, "int", {"total": F.lit(0)}, step, lambda s: F.array_append(everything(s["held"]), s["total"]))
+    want = [y for x in range(1, n + 1) for y in ((x, -x) if x % 5 == 0 else () if x % 7 == 0 else (x,))]
+    assert spark.range(1).select(fold.alias("a")).first().a == [*want, sum(range(n + 1))]
