@@ -218,7 +218,7 @@ def test_stream_pending_images(spark, streamed):
 
 
 def test_nearest_answers_more_queries_than_one_block_holds(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERIES", 7)
+    monkeypatch.setattr(retrieval, "PASS", 7 * (4 * 8 + 8))
     r = random.Random(4)
     data = [(i, [r.random() for _ in range(4)]) for i in range(60)]
     vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>")
