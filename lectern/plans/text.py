@@ -45,10 +45,10 @@ REFERENCES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<
 
 
 def _results(s, d):
-    """Pages as what sources say to 50 questions each; some without title, body or address."""
+    """Pages as what sources say to questions, eight to each; some without title, body or address."""
     n = F.col("page_id")
     said = F.when(n % 4 != 0, F.concat(F.lit("it's \""), "url", F.lit("\" "))).otherwise(" ")
-    return table(s, d, "pages").select((n % 50).alias("query_id"), n.alias("ord"), F.when(n % 7 != 0, F.concat(F.lit(" <Page> "), n.cast("string"))).alias("title"), said.alias("body"), F.when(n % 3 != 0, F.col("url")).otherwise("").alias("url"))
+    return table(s, d, "pages").select(F.floor(n / 8).alias("query_id"), n.alias("ord"), F.when(n % 7 != 0, F.concat(F.lit(" <Page> "), n.cast("string"))).alias("title"), said.alias("body"), F.when(n % 3 != 0, F.col("url")).otherwise("").alias("url"))
 
 
 QUERIES = {
@@ -211,7 +211,7 @@ ORACLES = {
     "ai_json_fallback": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'no json at all' ELSE concat('s', page_id) END AS summary, CASE WHEN page_id % 3 = 0 THEN 'parsing_error' ELSE 'k' END AS key_topics, CASE WHEN page_id % 3 = 0 THEN 'unknown' ELSE 'lesson' END AS content_type FROM pages",
 }
 
-RESULTS = """SELECT page_id % 50 AS query_id, page_id AS ord, CASE WHEN page_id % 7 <> 0 THEN concat('<Page> ', page_id) ELSE '' END AS title, CASE WHEN page_id % 4 <> 0 THEN concat('it''s "', url, '"') ELSE '' END AS body,
+RESULTS = """SELECT page_id // 8 AS query_id, page_id AS ord, CASE WHEN page_id % 7 <> 0 THEN concat('<Page> ', page_id) ELSE '' END AS title, CASE WHEN page_id % 4 <> 0 THEN concat('it''s "', url, '"') ELSE '' END AS body,
  CASE WHEN page_id % 3 <> 0 THEN url ELSE '' END AS url FROM pages"""
 
 
