@@ -221,7 +221,7 @@ def predict_language(docs: DataFrame, languages: list[str], weights: dict[str, n
         named = [languages[b] if ok and languages else UNDETERMINED for b, ok in zip(best.tolist(), lettered.tolist())]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    return map_texts(docs, "text", schema, work, 2 << 20)
+    return map_texts(docs, "text", schema, work, 1 << 20)
 
 
 def held_out() -> Column:

@@ -100,7 +100,7 @@ def _contents(docs: DataFrame) -> DataFrame:
                 keys[i], sketches[i] = row, sketch.tobytes()
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sig"), pa.array(content), pa.array(n), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "sig", "content", "n", "fp", "keys", "sketch"])
 
-    return map_texts(docs.select("doc_id", "sig", "text"), "text", "doc_id long, sig long, content long, n long, fp long, keys array<long>, sketch binary", work)
+    return map_texts(docs.select("doc_id", "sig", "text"), "text", "doc_id long, sig long, content long, n long, fp long, keys array<long>, sketch binary", work, 1 << 20)
 
 
 def _alike(batch: pa.RecordBatch) -> pa.RecordBatch:
