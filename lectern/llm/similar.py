@@ -9,9 +9,10 @@ Texts of the same shingles are one content. Candidates come from two sources:
 
 A key's contents are first compared with the most central of them each, which shares the most keys with others: the text of which a large
 group's copies were made has all the group's common keys. Contents of one key that are not connected by then are compared with
-each other where a key has no more than ``CROWD`` of them. Where it has more, each is compared with ``DRAWN`` of them, drawn by a hash of key
-and content; over all keys that is a sample of some dozens of a large group's members. So the one link that may be missed is that of a content which is
-similar to few members of a large group, not to its central text, and to none of them in a key of its own.
+each other where a key has no more than ``CROWD`` of them. Where it has more, each is first compared with ``DRAWN`` of them, drawn by a hash of key
+and content, which connects most. What still isn't connected in such a key is then compared pair by pair too: its contents are dealt to parts of about
+``PART``, and each two parts meet in a task of their own (``crowded_pairs``). So no key loses a pair; the work grows with the square of a key's contents
+that are linked with none, the memory of a task doesn't.
 
 A pair is left out if the counts of shingles rule the similarity out or their sketches (a byte of each minimum) agree in under
 ``SKETCHED`` of the places, which a pair at 0.8 does with probability 2e-6; the others' texts are compared shingle by shingle, so that
@@ -38,8 +39,10 @@ SLACK = 1e-9
 BANDS, ROWS = 24, 4
 #: Least share of a sketch's places in which a pair at ``LEAST`` agrees.
 SKETCHED = 0.6
-#: Contents of one key that are compared pair by pair at most, and how many of more are compared with all of them.
+#: Contents of one key that are compared pair by pair at once, and how many of more are compared with all of them before those that are left are compared.
 CROWD, DRAWN = 32, 2
+#: Contents of a crowded key in one part, on average, and how many of a part are held against another at a time.
+PART, ROWS_AT_ONCE = 1024, 64
 _random = np.random.default_rng(42)
 XORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 ODDS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -127,6 +130,41 @@ def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
 
+def _across(table: pa.Table) -> pa.Table:
+    """(a, b) of two parts of a key, or of one with itself: contents of different roots whose counts and sketches may belong to similar ones."""
+    low, high, part = (table.column(c).to_numpy() for c in ("low", "high", "part"))
+    content, root, n = (table.column(c).to_numpy() for c in ("content", "root", "n"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    here = np.flatnonzero(part == low)
+    # rows of one root together, which aren't held against each other
+    here = here[np.argsort(root[here], kind="stable")]
+    there = np.flatnonzero(part == high)
+    found: list = [np.zeros((2, 0), np.int64)]
+    for i in range(0, len(here), ROWS_AT_ONCE):
+        own = here[i : i + ROWS_AT_ONCE]
+        others = there[root[there] != root[own[0]]] if root[own[0]] == root[own[-1]] else there
+        at, to = np.nonzero((root[own][:, None] != root[others]) & (np.minimum(n[own][:, None], n[others]) >= LEAST * np.maximum(n[own][:, None], n[others]) - SLACK))
+        x, y = own[at], others[to]
+        if low[0] == high[0]:
+            x, y = x[content[x] < content[y]], y[content[x] < content[y]]
+        for j in range(0, len(x), 1 << 14):
+            a, b = x[j : j + (1 << 14)], y[j : j + (1 << 14)]
+            near = (sketch[a] == sketch[b]).sum(axis=1) >= SKETCHED * BANDS * ROWS
+            found.append(np.stack([content[a[near]], content[b[near]]]))
+    a, b = np.concatenate(found, axis=1)
+    return pa.table({"a": a, "b": b})
+
+
+def crowded_pairs(rows: DataFrame, heads: DataFrame, size: int = PART) -> DataFrame:
+    """(a, b): all pairs of ``rows`` (key, content, root, k: the key's contents) of one key and different roots that counts and sketches allow; pairs may come twice."""
+    parts = F.greatest(F.ceil(F.col("k") / size), F.lit(1)).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    sent = dealt.join(heads.select("content", "n", "sketch"), "content").select("key", "content", "root", "n", "sketch", "part", other)
+    sent = sent.select("key", "content", "root", "n", "sketch", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    return sent.groupBy("key", "low", "high").applyInArrow(_across, "a long, b long")
+
+
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): the ``pairs`` (a, b: contents) whose texts have a Jaccard similarity of ``LEAST`` or more, stored."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -162,10 +200,18 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     stars = banded.join(stored(one, "one"), "key").select(F.col("content").alias("a"), F.col("one").alias("b"))
     first = verified(linked.unionByName(printed).unionByName(stars), heads, docs)
 
+    def grown(roots: DataFrame, found: DataFrame) -> DataFrame:
+        more = roots.select(F.col("content").alias("a"), F.col("root").alias("b")).unionByName(found)
+        return stored(components(more), "roots").withColumnRenamed("node", "content")
+
+    def unconnected(roots: DataFrame, shared: DataFrame) -> DataFrame:
+        """key, content, root and k (the key's contents) of the keys of ``shared`` whose contents are of several roots."""
+        rooted = shared.select("key", "content").join(roots, "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
+        open_ = rooted.groupBy("key").agg(F.count("*").alias("k"), F.min("root").alias("m"), F.max("root").alias("x")).where("m <> x").select("key", "k")
+        return stored(rooted.join(stored(open_, "open"), "key"), "rooted")
+
     roots = stored(components(first), "roots").withColumnRenamed("node", "content")
-    rooted = banded.select("key", "content").join(roots, "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.count("*").alias("k"), F.min("root").alias("m"), F.max("root").alias("x")).where("m <> x").select("key", "k")
-    rooted = stored(rooted.join(stored(open_, "open"), "key"), "rooted")
+    rooted = unconnected(roots, banded)
     side = lambda rows, p: rows.select("key", F.col("content").alias(p), F.col("root").alias(f"{p}_root"))
     few, many = rooted.where(F.col("k") <= CROWD), rooted.where(F.col("k") > CROWD)
     place = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("content", "key"), "content"))
@@ -173,5 +219,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     rest = [side(few, "a").join(side(few, "b"), "key").where("a_root < b_root"), side(many, "a").join(drawn, "key").where("a_root <> b_root")]
     rest = verified(rest[0].select("a", "b").unionByName(rest[1].select("a", "b")), heads, docs)
     if not rest.isEmpty():
-        roots = components(roots.select(F.col("content").alias("a"), F.col("root").alias("b")).unionByName(rest)).withColumnRenamed("node", "content")
+        roots = grown(roots, rest)
+    if not many.isEmpty():
+        left = unconnected(roots, many)
+        last = verified(crowded_pairs(left, heads), heads, docs) if not left.isEmpty() else left
+        if not last.isEmpty():
+            roots = grown(roots, last)
     return own.select("doc_id", "sig", "content").join(roots, "content", "left").select("doc_id", "sig", "content", F.coalesce("root", "content").alias("root"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from lectern.llm import similar
 from lectern.llm.simhash import fingerprint
 from lectern.llm.tokens import byte_encoder
 from tests.llm.test_pii import brute as personal
@@ -134,3 +135,33 @@ def test_language_without_labels_takes_only_texts_without_letters(spark):
 def test_near_dedup_keeps_null_and_shared_ids(spark):
     docs = spark.createDataFrame([(None, "a text of no name", "en", "s", 0), (5, "one text", "en", "s", 0), (5, "quite another", "en", "s", 0), (5, "one text", "en", "t", 0)], SCHEMA)
     assert sorted(x.text for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == ["a text of no name", "one text", "quite another"]
+
+
+def test_near_dedup_links_what_is_near_few_of_a_crowd(spark):
+    """A short text is near one of a crowd alone, which isn't the central one, and shares its keys with all of the crowd."""
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(10):
+        stem = words(200)
+        central = stem + words(2)
+        crowd = [stem, stem[:161], central, *[central + words(1) for _ in range(45)]]
+        sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in crowd]
+        assert [j for j in range(48) if j != 1 and 5 * len(sets[1] & sets[j]) >= 4 * len(sets[1] | sets[j])] == [0]
+        rows += [(100 * i + j, " ".join(t), "en", "s", 0) for j, t in enumerate(crowd)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, rows, "").collect()) == [100 * i for i in range(10)]
+
+
+def test_pairs_of_a_crowd_come_whole_from_its_parts(spark):
+    r = np.random.default_rng(3)
+    sketch = r.integers(0, 256, (1, similar.BANDS * similar.ROWS), np.uint8).repeat(90, 0)
+    for row in sketch[:60]:
+        row[r.choice(len(row), r.integers(0, 45), replace=False)] = r.integers(0, 256)
+    n, root = r.integers(80, 120, 90).tolist(), r.integers(0, 9, 90).tolist()
+    heads = spark.createDataFrame([(i, n[i], sketch[i].tobytes()) for i in range(90)], "content long, n long, sketch binary")
+    rows = spark.createDataFrame([(5, i, root[i], 90) for i in range(90)], "key long, content long, root long, k long")
+    close = lambda i, j: root[i] != root[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and (sketch[i] == sketch[j]).mean() >= similar.SKETCHED
+    want = sorted((i, j) for i in range(90) for j in range(i + 1, 90) if close(i, j))
+    for size in (10, 1000):
+        assert sorted((min(x.a, x.b), max(x.a, x.b)) for x in similar.crowded_pairs(rows, heads, size).collect()) == want
