@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.scalars import nfkc, stripped, text_of
+from lectern.functions.scalars import bound, nfkc, text_of
 from lectern.operators.lines import blocks_of, flat_basic, is_noise, normal_text
 from lectern.operators.reports import suffix_of
 
@@ -114,26 +114,31 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
     First a file's running lines: those that are twice among the first two or the last two of its pages. Then each page, without them and without noise, by the first producer that has something: the
     blocks of its lines (``lines``), its whole normal text as one block without element_type (``page``), the blocks of the lines recognised in its image (``recognised``).
-    All of it is by files: pages are dealt once, and running lines are counted and joined where a file's pages lie.
+    Pages are dealt by file once, to meet their running lines.
     """
-    lines = F.filter(F.split(F.col("composed"), LINE_END), lambda x: stripped(x) != "")
-    rows = pages.withColumn("composed", composed(F.col("text"))).select("path", "page_number", "composed", "recognised", lines.alias("lines"), F.transform(lines, flat_basic).alias("compact"))
-    rows = rows.repartition("path")
+    lines = F.filter(F.split(F.col("composed"), LINE_END), lambda x: F.rlike(x, F.lit(r"(?U)\S")))
+    rows = pages.withColumn("composed", composed(F.col("text"))).select("path", "page_number", "composed", "recognised", lines.alias("lines"))
+    rows = rows.withColumn("compact", F.transform("lines", flat_basic))
     said = F.filter("compact", lambda x: x != "")
     ends = F.concat(*[F.transform(part, lambda x: F.struct(F.lit(place).alias("place"), x.alias("line"))) for place, part in (("head", F.slice(said, 1, 2)), ("foot", F.slice(said, F.greatest(F.size(said) - 1, F.lit(1)), F.lit(2))))])
-    often = rows.select("path", F.explode(ends).alias("e")).groupBy("path", "e.place", "e.line").agg(F.count("*").alias("n")).where("n >= 2")
+    # only the lines at the ends of pages are dealt to be counted, and the pages as one text each
+    often = rows.select("path", ends.alias("ends")).repartition("path").select("path", F.explode("ends").alias("e")).groupBy("path", "e.place", "e.line").agg(F.count("*").alias("n")).where("n >= 2")
     running = often.groupBy("path").agg(*[F.array_sort(F.collect_set(F.when(F.col("place") == p, F.col("line")))).alias(p) for p in ("head", "foot")])
     none = F.expr("cast(array() as array<string>)")
-    rows = rows.join(running, "path", "left").withColumns({p: F.coalesce(p, none) for p in ("head", "foot")})
+    rows = rows.select("path", "page_number", "composed", "recognised").repartition("path").join(running, "path", "left").withColumns({p: F.coalesce(p, none) for p in ("head", "foot")})
+    rows = rows.withColumn("lines", lines).withColumn("compact", F.transform("lines", flat_basic))
 
     both = F.arrays_zip("lines", "compact")
     n = F.size("lines")
     goes = lambda x, i: (x["compact"] == "") | ((i <= 1) & F.array_contains("head", x["compact"])) | ((i >= F.greatest(F.lit(0), n - 2)) & F.array_contains("foot", x["compact"])) | is_noise(x["compact"])
     kept = F.transform(F.filter(both, lambda x, i: ~goes(x, i)), lambda x: x["lines"])
-    seen = F.filter(F.coalesce("recognised", none), lambda x: ~is_noise(flat_basic(x)))
-    rows = rows.select("path", "page_number", "recognised", kept.alias("kept"), normal_text(F.col("composed")).alias("whole"), seen.alias("seen"))
-    producer = F.when(F.size("kept") > 0, "lines").when(F.col("whole") != "", "page").otherwise("recognised")
+    seen = F.filter(F.coalesce("recognised", none), lambda x: ~bound(flat_basic(x), is_noise))
+    # a producer is asked only where those before it have nothing
+    rows = rows.select("path", "page_number", "composed", "recognised", kept.alias("kept"))
+    rows = rows.withColumn("whole", F.when(F.size("kept") > 0, "").otherwise(normal_text(F.col("composed"))))
+    rows = rows.withColumn("producer", F.when(F.size("kept") > 0, "lines").when(F.col("whole") != "", "page").otherwise("recognised"))
+    rows = rows.withColumn("seen", F.when(F.col("producer") == "recognised", seen))
     whole = F.array(F.struct(F.lit(1).cast("long").alias("block"), F.lit(None).cast("string").alias("element_type"), F.lit(1).cast("long").alias("lines"), F.col("whole").alias("text")))
     made = F.when(F.col("producer") == "page", whole).otherwise(blocks_of(F.when(F.col("producer") == "lines", F.col("kept")).otherwise(F.col("seen")), normal_text))
-    rows = rows.withColumn("producer", producer).select("path", "page_number", "producer", F.when(F.col("producer") == "recognised", F.size("recognised")).alias("recognised_lines"), F.posexplode(made).alias("at", "b"))
+    rows = rows.select("path", "page_number", "producer", F.when(F.col("producer") == "recognised", F.size("recognised")).alias("recognised_lines"), F.posexplode(made).alias("at", "b"))
     return rows.select("path", "page_number", (F.col("at") + 1).cast("int").alias("block"), "b.element_type", "b.text", "producer", "recognised_lines")

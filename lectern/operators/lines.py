@@ -19,6 +19,8 @@ NOT_ALNUM = "[^A-Za-z0-9]{2,}"
 SYMBOLS = "[■□▪▫◆◇○●◦※¤§¶©®™]+"
 #: What a wrong encoding made of a character, and the character.
 MENDED = (("\u00a0", " "), ("\ufeff", ""), ("â€™", "'"), ("â€˜", "'"), ("â€œ", '"'), ("â€\x9d", '"'), ("â€“", "-"), ("â€”", "-"), ("â€¦", "..."), ("Â", ""))
+#: Without one of these characters nothing is to be mended.
+MENDABLE = "[" + "".join(sorted({old[0] for old, _ in MENDED})) + "]"
 LIST_MARK = r"^([-*•] |([0-9]+|[a-zA-Z])[.)]\s+)"
 
 
@@ -40,11 +42,15 @@ def is_noise(compact: Column) -> Column:
 
 
 def is_heading(text: Column) -> Column:
-    """Short, and all capitals, or mostly capitalised words without a final stop.
+    """Short, and all capitals, or mostly capitalised words without a final stop."""
+    return _heading(stripped(text))
+
+
+def _heading(line: Column) -> Column:
+    """``is_heading`` of a stripped line.
 
     Words are counted by patterns, and only where the line may still be a heading, so that lines stay in generated code.
     """
-    line = stripped(text)
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     capitals = (F.upper(line) == line) & (F.lower(line) != line) & (count(r"(?U)\S+") <= 12)
     n = count(r"(?U)\S+")
@@ -59,7 +65,11 @@ def is_list_item(text: Column) -> Column:
 
 def is_table_row(text: Column) -> Column:
     """A bar, a tab, or three cells with wide gaps."""
-    line = stripped(text)
+    return _row(stripped(text))
+
+
+def _row(line: Column) -> Column:
+    """``is_table_row`` of a stripped line."""
     return (line != "") & (F.contains(line, F.lit("|")) | F.contains(line, F.lit("\t")) | (F.size(F.split(line, r"\s{2,}")) >= 3))
 
 
@@ -95,16 +105,28 @@ def strip_running(lines: DataFrame) -> DataFrame:
 
 
 def normal_text(text: Column) -> Column:
-    """Cleaned for embedding: composed, wrong encodings mended, hyphens and line ends joined, noise lines and symbols out."""
-    out = nfkc(text)
-    for old, new in MENDED:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.regexp_replace(out, r"([A-Za-z])-[ \t]*\n[ \t]*([A-Za-z])", "$1$2")
-    out = F.regexp_replace(out, r"(?<![.!?:;])\n(?!\n)", " ")
-    out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    kept = F.filter(F.split(out, "\n"), lambda line: ~is_noise(flat_basic(line)))
-    out = F.regexp_replace(F.array_join(kept, "\n"), SYMBOLS, " ")
+    """Cleaned for embedding: composed, wrong encodings mended, hyphens and line ends joined, noise lines and symbols out.
+
+    Every step's text is worked out once, and steps that need certain characters are left out where there are none.
+    """
+
+    def mended(t: Column) -> Column:
+        out = t
+        for old, new in MENDED:
+            out = F.replace(out, F.lit(old), F.lit(new))
+        return F.when(F.rlike(t, F.lit(MENDABLE)), out).otherwise(t)
+
+    def joined(t: Column) -> Column:
+        out = F.regexp_replace(t, r"([A-Za-z])-[ \t]*\n[ \t]*([A-Za-z])", "$1$2")
+        return F.when(F.contains(t, F.lit("\n")), F.regexp_replace(out, r"(?<![.!?:;])\n(?!\n)", " ")).otherwise(t)
+
+    def without_noise(t: Column) -> Column:
+        kept = F.filter(F.split(F.regexp_replace(t, r"\n{3,}", "\n\n"), "\n"), lambda line: ~bound(flat_basic(line), is_noise))
+        return F.when(F.contains(t, F.lit("\n")), F.array_join(kept, "\n")).when(bound(flat_basic(t), is_noise), "").otherwise(t)
+
+    out = bound(bound(nfkc(text), mended), joined)
+    out = F.regexp_replace(F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"[ \t]+", " ")
+    out = F.regexp_replace(bound(out, without_noise), SYMBOLS, " ")
     return collapsed(F.regexp_replace(out, r"(?U)\s+([,.;:!?])", "$1"))
 
 
@@ -127,7 +149,7 @@ def line_blocks(lines: DataFrame) -> DataFrame:
 
 def kind_of(flat: Column) -> Column:
     """The kind of a line without white space beside single blanks."""
-    return F.when(flat == "", "blank").when(is_heading(flat), "heading").when(is_list_item(flat), "list_item").when(is_table_row(flat), "table").otherwise("paragraph")
+    return F.when(flat == "", "blank").when(_heading(flat), "heading").when(F.rlike(flat, F.lit(LIST_MARK)), "list_item").when(_row(flat), "table").otherwise("paragraph")
 
 
 def blocks_of(lines: Column, made: Callable[[Column], Column] = collapsed) -> Column:
@@ -157,25 +179,36 @@ def blocks_of(lines: Column, made: Callable[[Column], Column] = collapsed) -> Co
 
 def document_blocks(docs: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and the columns of ``line_blocks`` for whole texts: each row's lines are folded where the row is."""
-    return docs.select(*keys, F.explode(blocks_of(F.split(text_of(F.col("text")), "\n"))).alias("b")).select(*keys, "b.*")
+    return numbered_blocks(docs, keys).drop("block_index")
+
+
+def numbered_blocks(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """The same with block_index, the block's number in its row from 0."""
+    rows = docs.select(*keys, F.posexplode(blocks_of(F.split(text_of(F.col("text")), "\n"))).alias("block_index", "b"))
+    return rows.select(*keys, F.col("block_index").cast("int"), "b.*")
+
+
+def _indexed(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with block_index, by order of block where they have none."""
+    if "block_index" in blocks.columns:
+        return blocks
+    return blocks.withColumn("block_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("block")) - 1).cast("int"))
 
 
 def block_metadata(blocks: DataFrame, language: Column, audience: str = "both", source_type: str | None = None) -> DataFrame:
     """The blocks with their metadata; numbered before empty ones go."""
-    rows = blocks.withColumn("block_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("block")) - 1).cast("int"))
-    rows = rows.withColumn("text", collapsed(F.col("text"))).where("text <> ''")
+    rows = _indexed(blocks).withColumn("text", collapsed(F.col("text"))).where("text <> ''")
     return rows.select("doc_id", "block_index", "element_type", "text", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_file"), F.lit(source_type or "text").alias("source_type"), F.lit(audience).alias("audience"), language.alias("language"), F.lit("semantic_denoise_v1").alias("normalization_method"))
 
 
 def stamped_blocks(blocks: DataFrame, *, source_file: str | None = None, source_type: str | None = None, subject: str | None = None, audience: str = "both", grades: tuple[int | None, int | None] = (None, None), language: str = "en") -> DataFrame:
     """``blocks`` (doc_id, block, text, and maybe source_file, source_type) with normal text and all metadata.
 
-    Blocks are numbered before those without text go, so numbers may be missing. A source that is named here overrides the
+    Blocks are numbered before those without text go, unless they have a block_index, so numbers may be missing. A source that is named here overrides the
     block's own, an empty one does not; subject, audience, grades and language always do.
     """
     given = lambda name, value: F.lit(value) if value else F.col(name) if name in blocks.columns else F.lit(None).cast("string")
-    rows = blocks.withColumn("block_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("block")) - 1).cast("int"))
-    rows = rows.withColumn("text", normal_text(F.col("text"))).where("text <> ''")
+    rows = _indexed(blocks).withColumn("text", normal_text(F.col("text"))).where("text <> ''")
     stamps = {"source_file": given("source_file", source_file), "source_type": given("source_type", source_type), "subject": F.lit(subject).cast("string"), "audience": F.lit(audience)}
     stamps |= {"grade_min": F.lit(grades[0]).cast("int"), "grade_max": F.lit(grades[1]).cast("int"), "language": F.lit(language), "normalization_method": F.lit("semantic_denoise_v1")}
     return rows.select("doc_id", "block_index", "text", *[c.alias(n) for n, c in stamps.items()])

@@ -126,7 +126,7 @@ QUERIES = {
     "pdf_escape": lambda s, d: spread(table(s, d, "documents")).select("doc_id", S.escape_pdf(F.col("text")).alias("text")),
     "session_read_buffer": lambda s, d: T.session_buffers(_read(s, d), "session_id", "doc_id"),
     "append_turns": _appended,
-    "stamped_blocks": lambda s, d: N.stamped_blocks(N.document_blocks(spread(table(s, d, "documents")), ["doc_id"]).withColumn("source_file", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))), source_file="", source_type="text", subject="history", grades=(5, None)),
+    "stamped_blocks": lambda s, d: N.stamped_blocks(N.numbered_blocks(spread(table(s, d, "documents")), ["doc_id"]).withColumn("source_file", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))), source_file="", source_type="text", subject="history", grades=(5, None)),
 }
 
 

@@ -19,7 +19,7 @@ def _lines(s, d):
 
 def _blocks(s, d):
     """Blocks of all documents as the chunker takes them."""
-    blocks = N.document_blocks(spread(table(s, d, "documents")).withColumnRenamed("lang", "l"), ["doc_id", "l"])
+    blocks = N.numbered_blocks(spread(table(s, d, "documents")).withColumnRenamed("lang", "l"), ["doc_id", "l"])
     return N.block_metadata(blocks, F.col("l"))
 
 

@@ -192,3 +192,35 @@ def test_pages_are_dealt_once(spark):
     rows = spark.createDataFrame([("f", 1, "x", None)], PAGES)
     plan = G.page_blocks(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2 and plan.count("hashpartitioning(path") == plan.count("Exchange") and "Python" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_numbered_in_their_row(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "INTRO\n\n- a\n- b\n\n©\n\nsome words here.", "en", "s", 0), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("stamped_blocks", "block_metadata"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        assert "Window" not in _plan(df)
+        assert sorted(r.block_index for r in df.collect())[:3] == [0, 1, 2]
+
+
+def test_a_page_is_made_normal_only_where_its_lines_are_gone(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators.ingestion import page_blocks
+    from lectern.operators.lines import normal_text
+
+    clean = spark.createDataFrame([("a.\nPage 3\n\ncafe\u0301 â€œ x-\ny © , z\x01",), ("Page 4",), (None,)], "text string").select(normal_text(F.col("text")).alias("t"))
+    # once for a line of several, once for a single one
+    assert _plan(clean).count(r"[\x00-\x1f\x7f]") == 2
+    assert [r.t for r in clean.collect()] == ['a. café " xy, z', "", ""]
+    pages = spark.createDataFrame([("f", 1, "Some words here", ["seen"]), ("f", 2, "draft", ["seen too"]), ("f", 3, None, None)], "path string, page_number int, text string, recognised array<string>")
+    df = page_blocks(pages)
+    # what is dealt is a page's text, or the ends of its lines, and no list of lines
+    dealt = [lines[i + 1] for lines in [_plan(df).split("\n")] for i, x in enumerate(lines) if "RepartitionByExpression" in x]
+    assert len(dealt) == 2 and not any("AS lines#" in x or "AS compact#" in x for x in dealt)
+    assert sorted((r.page_number, r.text, r.producer) for r in df.collect()) == [(1, "Some words here", "lines"), (2, "seen too", "recognised")]
