@@ -8,11 +8,12 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import bound, nfkc, text_of
+from lectern.operators.chunks import WORDS, packed, sentences
 from lectern.operators.lines import blocks_of, flat_basic, is_noise, normal_text
 from lectern.operators.reports import suffix_of
 
@@ -20,6 +21,9 @@ from lectern.operators.reports import suffix_of
 Page = tuple[int, str | None, list[str] | None]
 Reader = Callable[[bytes], list[Page]]
 PAGE = "struct<page_number:int,text:string,recognised:array<string>>"
+READ = pa.schema([("path", pa.string()), ("pages", pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string()), ("recognised", pa.list_(pa.string()))]))), ("error", pa.string())])
+#: Bytes of files that are read before their pages are handed on.
+BATCH = 1 << 20
 #: Ends of lines as in Unicode.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -71,7 +75,7 @@ def binary_files(spark: SparkSession, folder: str) -> DataFrame:
 def read_files(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
     """path, pages and error of each of ``files`` (path, content): a reader's exception, or that there is none, is its row's error and leaves its pages empty; the others go on.
 
-    A file is read inside the task that holds it, one at a time.
+    A file is read inside the task that holds it; what was read goes on in batches of about ``BATCH`` bytes of files.
     """
     readers = READERS if readers is None else readers
 
@@ -83,13 +87,19 @@ def read_files(files: DataFrame, readers: dict[str, Reader] | None = None) -> Da
         except Exception as problem:  # whatever a file does to its reader is that file's own
             return [], str(problem) or type(problem).__name__
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, suffix, content in zip(frame["path"], frame["suffix"], frame["content"]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rows = 0, []
+            for i, (path, suffix) in enumerate(zip(batch.column("path").to_pylist(), batch.column("suffix").to_pylist())):
+                content = batch.column("content")[i].as_py()
                 pages, error = one(suffix, content)
-                yield pd.DataFrame({"path": [path], "pages": [[dict(zip(("page_number", "text", "recognised"), p)) for p in pages]], "error": [error]})
+                rows.append((path, [dict(zip(("page_number", "text", "recognised"), p)) for p in pages], error))
+                size += len(content or b"")
+                if size >= BATCH or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), READ.types)], schema=READ)
+                    size, rows = 0, []
 
-    return files.select("path", suffix_of(F.col("path")).alias("suffix"), "content").mapInPandas(work, f"path string, pages array<{PAGE}>, error string")
+    return files.select("path", suffix_of(F.col("path")).alias("suffix"), F.col("content").cast("binary").alias("content")).mapInArrow(work, f"path string, pages array<{PAGE}>, error string")
 
 
 def pages_of(read: DataFrame) -> DataFrame:
@@ -104,6 +114,15 @@ def run_results(read: DataFrame, chunks: DataFrame, valid: Column) -> DataFrame:
     return read.select("path", F.size("pages").cast("long").alias("pages"), "error").join(made, "path", "left").select("path", "pages", F.coalesce("c", zero).alias("chunk_count"), F.coalesce("v", zero).alias("valid_count"), "error")
 
 
+def packed_results(read: DataFrame, valid: Callable[[Column], Column], words: int = WORDS) -> DataFrame:
+    """``run_results`` of files whose pages are packed into chunks of whole sentences: counted in the file's row, which is read once and not shuffled. ``valid`` is of a chunk's text."""
+    texts = lambda p: F.transform(packed(sentences(p["text"]), words), lambda c: c["text"])
+    counts = F.transform("pages", lambda p: bound(texts(p), lambda ts: F.struct(F.size(ts).alias("c"), F.size(F.filter(ts, valid)).alias("v"))))
+    total = lambda name: F.aggregate(F.transform("counts", lambda x: x[name].cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    rows = read.select("path", F.size("pages").cast("long").alias("pages"), counts.alias("counts"), "error")
+    return rows.select("path", "pages", total("c").alias("chunk_count"), total("v").alias("valid_count"), "error")
+
+
 def composed(text: Column) -> Column:
     """Composed characters, and words joined that a hyphen parts at a line's end."""
     return F.regexp_replace(nfkc(text_of(text)), r"([A-Za-z])-[ \t]*\n[ \t]*([A-Za-z])", "$1$2")

@@ -88,9 +88,7 @@ def _contents(s, d):
 
 def _run(s, d):
     """A whole run: files are read, their pages packed into chunks, and each file has its result."""
-    read = G.read_files(_contents(s, d))
-    chunks = C.chunk_paragraphs(G.pages_of(read), ["path"])
-    return G.run_results(read, chunks, X._valid())
+    return G.packed_results(G.read_files(_contents(s, d)), lambda text: C.reject_reason(text).isNull())
 
 
 def _files_round_trip(s, d):

@@ -224,3 +224,20 @@ def test_a_page_is_made_normal_only_where_its_lines_are_gone(spark):
     dealt = [lines[i + 1] for lines in [_plan(df).split("\n")] for i, x in enumerate(lines) if "RepartitionByExpression" in x]
     assert len(dealt) == 2 and not any("AS lines#" in x or "AS compact#" in x for x in dealt)
     assert sorted((r.page_number, r.text, r.producer) for r in df.collect()) == [(1, "Some words here", "lines"), (2, "seen too", "recognised")]
+
+
+def test_files_go_on_in_batches_and_are_read_once(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    from lectern.operators import ingestion as G
+    from lectern.operators.chunks import chunk_paragraphs, reject_reason
+
+    text = "One sentence of some words stands here. " * 40
+    files = spark.createDataFrame([(f"in/{i}{'.odd' if i % 9 == 4 else '.txt'}", b"\xff" if i % 9 == 5 else f"{text}{i}\f\f{text}".encode() if i % 9 else None) for i in range(90)], "path string, content binary")
+    read = G.read_files(files)
+    valid = lambda t: reject_reason(t if not isinstance(t, str) else F.col(t)).isNull()
+    want = G.run_results(read, chunk_paragraphs(G.pages_of(read), ["path"]), valid("text"))
+    assert sorted(map(tuple, G.packed_results(read, valid).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    spark.createDataFrame([(1, "a", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = _plan(entry.queries()["run_results"](spark, str(tmp_path)))
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
