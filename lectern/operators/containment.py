@@ -18,12 +18,20 @@ from pyspark.sql import functions as F
 from lectern.functions.scalars import bound, text_of
 
 GRAM = 6
+#: Rows of the bank's side (two whole numbers each) that are sent to all tasks at most; with more, both sides are dealt by gram.
+SENT = 1_000_000
 
 
 def grams(text: Column, size: int = GRAM) -> Column:
     """Array of the different hashes of a text's strings of ``size`` characters; empty for a shorter text."""
-    each = lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - size + 1), lambda i: F.xxhash64(F.slice(cs, i, F.lit(size))))
-    return F.when(F.length(text) >= size, bound(F.split(text, ""), lambda cs: F.array_distinct(each(cs)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    # a look ahead takes no characters, so that the next match starts one further
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{size}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))
+
+
+def sent(rows: DataFrame, most: int = SENT) -> DataFrame:
+    """``rows`` marked for sending to all tasks if there are no more than ``most``, so that what is exploded needn't be shuffled to meet them."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def strings(text: Column, size: Column) -> Column:
@@ -48,11 +56,11 @@ def containing(texts: DataFrame, bank: DataFrame) -> DataFrame:
 
     rarest = listed.join(counts, "gram").groupBy("id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     looked = texts.select("id", F.explode(grams(F.col("text"))).alias("gram"))
-    holds = looked.join(rarest.withColumnRenamed("id", "phrase_id"), "gram").select(F.col("id").alias("text_id"), "phrase_id")
+    holds = looked.join(sent(rarest.withColumnRenamed("id", "phrase_id")), "gram").select(F.col("id").alias("text_id"), "phrase_id")
 
     longest = bank.agg(F.max(F.length("text"))).scalar()
     short = texts.where((F.length("text") >= GRAM) & (F.length("text") <= longest))
-    own = short.select("id", F.explode(grams(F.col("text"))).alias("gram")).join(counts, "gram", "left")
+    own = short.select("id", F.explode(grams(F.col("text"))).alias("gram")).join(sent(counts), "gram", "left")
     known = own.groupBy("id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unknown")).where("unknown = 0")
     held = known.select(F.col("id").alias("text_id"), "gram").join(listed.withColumnRenamed("id", "phrase_id"), "gram").select("text_id", "phrase_id")
 

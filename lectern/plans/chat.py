@@ -11,7 +11,7 @@ from lectern.operators import chat_logs as L
 from lectern.operators import containment as C
 from lectern.operators import faq as Q
 from lectern.operators import turns as T
-from lectern.session import table
+from lectern.session import spread, table
 from lectern.sources.fixtures import oracle_with, view
 
 USER = "user1@students.example"
@@ -91,7 +91,7 @@ def _bank_matches(s, d):
 
 def _bank_in_documents(s, d):
     """The texts of the bank that each document holds, or that hold it."""
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), _plain_words(F.col("text")).alias("text"))
+    docs = spread(table(s, d, "documents")).select(F.col("doc_id").alias("id"), _plain_words(F.col("text")).alias("text"))
     bank = table(s, d, "benchmark").select(F.col("item_id").alias("id"), _plain_words(F.col("text")).alias("text"))
     return C.containing(docs, bank).distinct().select(F.col("text_id").alias("doc_id"), F.col("phrase_id").alias("item_id"))
 

@@ -47,3 +47,10 @@ def test_no_nested_loop_and_long_texts(spark):
     assert [tuple(r) for r in rows.collect()] == [(1, 999)]
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_exploded_grams_meet_a_small_bank_without_a_shuffle(spark):
+    texts, bank = (spark.createDataFrame([(1, "some words of text")], "id int, text string") for _ in range(2))
+    plan = containing(texts, bank)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
+    assert [r.n for r in texts.select(F.size(grams(F.lit("a😀b\ncdé"))).alias("n")).collect()] == [2]
