@@ -5,13 +5,18 @@ interval of any length lies in two buckets at most, and a point looks into one b
 are any), and the exact condition is checked behind it: Spark hashes or sorts it, and no nested loop is needed.
 
 A bucket with very many points is dealt to shares: its points by hash, its intervals to each of the shares, so that no task has all of it.
+
+Where pairs are only counted or summed up, none is made: ``sums_within`` and ``overlap_counts`` take differences of running sums, and their work grows as the rows do.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.sources.scratch import scratch_path
+
 #: Width of the narrowest buckets, in the unit of the values.
 WIDTH = 1.0
 #: Levels of intervals that occur at most: 2^60 times the narrowest width; longer ones are of the last.
@@ -75,3 +80,52 @@ def overlapping(left: DataFrame, right: DataFrame, bounds: tuple[str, str], othe
     inside = with_points(left, right.where(F.col(others[0]) <= F.col(others[1])), *bounds, others[0], keys, width, crowd)
     around = with_points(right, left.where(F.col(bounds[0]) <= F.col(bounds[1])), *others, bounds[0], keys, width, crowd).where(F.col(others[0]) < F.col(bounds[0]))
     return inside.unionByName(around)
+
+
+def running(marks: DataFrame, at: str, names: list[str]) -> DataFrame:
+    """For each value of ``at`` in ``marks``: sums of ``names`` over all rows of lesser values (name_before), and with its own (name_through).
+
+    Equal values are one row first. Ranges of values are summed each by itself, and shifted by what lies before; they are stored, so that they are the same for both.
+    """
+    each = marks.where(F.col(at).isNotNull()).groupBy(at).agg(*[F.sum(n).alias(n) for n in names])
+    ranged = each.repartitionByRange(at).withColumn("part__", F.spark_partition_id())
+    path = scratch_path(marks.sparkSession, "running")
+    ranged.write.parquet(path)
+    held = marks.sparkSession.read.schema(ranged.schema).parquet(path)
+    # one row for each range
+    lower = W.orderBy("first__").rowsBetween(W.unboundedPreceding, -1)
+    parts = held.groupBy("part__").agg(F.min(at).alias("first__"), *[F.sum(n).alias(n) for n in names])
+    shifts = parts.select("part__", *[F.coalesce(F.sum(n).over(lower), F.lit(0)).alias(f"{n}__") for n in names])
+    own = W.partitionBy("part__").orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
+    through = held.select(at, "part__", *names, *[F.sum(n).over(own).alias(f"{n}_own") for n in names]).join(F.broadcast(shifts), "part__")
+    sums = [(F.col(f"{n}_own") + F.col(f"{n}__") - less).alias(f"{n}_{kind}") for n in names for kind, less in (("before", F.col(n)), ("through", F.lit(0)))]
+    return through.select(at, *sums)
+
+
+def sums_within(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, names: list[str]) -> DataFrame:
+    """``intervals`` with the sums of the points' whole numbers ``names`` over the points with ``start`` <= ``at`` <= ``end``; 0 where none lies in it.
+
+    Intervals without a bound, or that end before they start, go; points without a place aren't counted.
+    """
+    whole = intervals.where(F.col(start) <= F.col(end))
+    none = [F.lit(0).cast("long").alias(n) for n in names]
+    marks = points.select(F.col(at).alias("at__"), *[F.col(n).cast("long").alias(n) for n in names])
+    for bound in (start, end):
+        marks = marks.unionByName(whole.select(F.col(bound).alias("at__"), *none))
+    sums = running(marks, "at__", names)
+    before = sums.select(F.col("at__").alias(start), *[F.col(f"{n}_before") for n in names])
+    through = sums.select(F.col("at__").alias(end), *[F.col(f"{n}_through") for n in names])
+    out = whole.join(before, start).join(through, end)
+    return out.select(*intervals.columns, *[(F.col(f"{n}_through") - F.col(f"{n}_before")).alias(n) for n in names])
+
+
+def overlap_counts(intervals: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """``intervals`` with the number of all intervals that share a point with each, itself among them: those that start no later than it ends, without those that end before it starts."""
+    whole = intervals.where(F.col(start) <= F.col(end))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    marks = whole.select(F.col(start).alias("at__"), one.alias("starts"), none.alias("ends")).unionByName(whole.select(F.col(end).alias("at__"), none.alias("starts"), one.alias("ends")))
+    sums = running(marks, "at__", ["starts", "ends"])
+    before = sums.select(F.col("at__").alias(start), "ends_before")
+    through = sums.select(F.col("at__").alias(end), "starts_through")
+    out = whole.join(before, start).join(through, end)
+    return out.select(*intervals.columns, (F.col("starts_through") - F.col("ends_before")).alias(name))

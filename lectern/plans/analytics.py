@@ -51,17 +51,15 @@ def _spans(s, d):
 
 def _session_company(s, d):
     """For each session the events of all users while it lasted, and how many of them were errors."""
-    spans, events = _spans(s, d), table(s, d, "events").select("event_id", "event_type", I.seconds(F.col("ts")).alias("at"))
-    pairs = I.with_points(spans, events, "begins", "ends", "at", width=60.0)
-    return pairs.groupBy("user_id", "session_start").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    spans, events = _spans(s, d), table(s, d, "events").select("event_type", I.seconds(F.col("ts")).alias("at"))
+    counted = events.select("at", F.lit(1).alias("events"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("errors"))
+    return I.sums_within(spans, counted, "begins", "ends", "at", ["events", "errors"]).where("events > 0").select("user_id", "session_start", "events", "errors")
 
 
 def _sessions_at_once(s, d):
-    """For each session how many sessions of others overlap it."""
-    mine = _spans(s, d)
-    theirs = mine.select(F.col("user_id").alias("other_id"), F.col("session_start").alias("other_start"), F.col("begins").alias("other_begins"), F.col("ends").alias("other_ends"))
-    pairs = I.overlapping(mine, theirs, ("begins", "ends"), ("other_begins", "other_ends"), width=60.0).where("user_id <> other_id")
-    return pairs.groupBy("user_id", "session_start").agg(F.count("*").alias("sessions"))
+    """For each session how many sessions of others overlap it. A user's sessions lie apart, so all that overlap it are others' but itself."""
+    own = I.overlap_counts(_spans(s, d).where("user_id is not null"), "begins", "ends", "all")
+    return own.where("all > 1").select("user_id", "session_start", (F.col("all") - 1).alias("sessions"))
 
 
 def _after_errors(s, d):

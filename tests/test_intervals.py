@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators.intervals import bucketed, level_of, overlapping, with_points
+from lectern.operators.intervals import bucketed, level_of, overlap_counts, overlapping, sums_within, with_points
 
 INTERVALS = "i int, k string, a double, b double"
 POINTS = "p int, k string, x double"
@@ -55,3 +55,35 @@ def test_no_nested_loop_and_no_whole_product(spark):
     rows.collect()
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sums_and_counts_equal_all_pairs(spark):
+    intervals, points = some(random.Random(4), 200)
+    left, right = spark.createDataFrame(intervals, INTERVALS), spark.createDataFrame(points, POINTS).withColumn("odd", F.col("p") % 2).withColumn("n", F.lit(1))
+    whole = [x for x in intervals if None not in x[2:] and x[2] <= x[3]]
+    inside = {x[0]: [p[0] for p in points if p[2] is not None and x[2] <= p[2] <= x[3]] for x in whole}
+    got = sums_within(left, right, "a", "b", "x", ["n", "odd"]).collect()
+    assert sorted((r.i, r.n, r.odd) for r in got) == sorted((i, len(ps), sum(p % 2 for p in ps)) for i, ps in inside.items())
+    got = overlap_counts(left, "a", "b", "n").collect()
+    assert sorted((r.i, r.n) for r in got) == sorted((x[0], sum(x[2] <= y[3] and y[2] <= x[3] for y in whole)) for x in whole)
+
+
+def test_counting_makes_no_pairs(spark):
+    """Intervals that all overlap: the pairs would be a million, and what is shuffled and joined is as many rows as there are intervals."""
+    left = spark.range(1000).select("id", (F.col("id") / 1000).alias("a"), (F.col("id") / 1000 + 5).alias("b"))
+    rows = overlap_counts(left, "a", "b", "n")
+    assert {r.n for r in rows.collect()} == {1000}
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    assert "explode" not in plan.toString() and "bucket__" not in plan.toString()
+
+
+def test_sessions_at_once_makes_no_pairs(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from lectern.operators import intervals
+
+    def pairs(*a, **k):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(intervals, "with_points", pairs)
+    for name in ("sessions_at_once", "session_company"):
+        assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
