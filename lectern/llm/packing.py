@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices, texts_of
+from .common import give_back, small_batches, text_slices, texts_of
 from .tokens import byte_encoder
 
 CAPACITY = 2048
@@ -136,7 +136,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
         rows += packed
         if rows:
             yield table(rows)
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointing, map_texts, sized, stored, texts_of
+from .common import checkpointing, give_back, map_texts, small_batches, sized, stored, texts_of
 from .components import components
 
 SEED = 42
@@ -146,6 +146,7 @@ def at_anchors(fps: DataFrame, home: bool, chosen: tuple[int, int, int] = LAYOUT
         for b in batches:
             for a in range(0, len(b), 512):
                 yield _replicate(b["fp"].to_numpy(np.int64)[a : a + 512], home, chosen)
+        give_back()
 
     return fps.select("fp").mapInPandas(run, "anchor long, fp long")
 
@@ -206,10 +207,12 @@ def compare_sorted(batches, threshold: int):
         if found:
             a, b = spanning(np.concatenate(found, axis=1))
             yield pd.DataFrame({"a": a, "b": b})
+    give_back()
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD, chosen: tuple[int, int, int] | None = None) -> DataFrame:
     """(a, b): links that connect all fingerprints of ``fps`` (distinct fp, stored) that chains of near ones connect."""
+    small_batches(fps.sparkSession)
     chosen = chosen or layout(fps.count())
     at_home = at_anchors(fps, True, chosen)
     # an anchor with many homes has several shares; by the layout few have
