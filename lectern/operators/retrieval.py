@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,8 +16,10 @@ from lectern.functions.scalars import text_of
 
 #: Bytes of queries that meet every vector in one pass; more queries are dealt to passes.
 PASS = 64 << 20
-#: Queries that are multiplied with a frame of vectors at a time.
-BLOCK = 256
+#: Queries and vectors of a frame that are multiplied at a time: of these scores, and of some arrays as large, a task holds one set.
+BLOCK, TILE = 256, 2048
+#: Bytes of joined frames that Spark hands to a task at a time.
+BATCH_BYTES = 8 << 20
 #: Scores are told apart to so many digits.
 DIGITS = 6
 
@@ -32,8 +34,10 @@ def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _l2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    squares = (x * x).sum(axis=1)[None] + (y * y).sum(axis=1)[:, None] - 2 * _dot(x, y)
-    return 0.0 - np.sqrt(np.maximum(squares, 0.0))
+    squares = (x * x).sum(axis=1)[None] + (y * y).sum(axis=1)[:, None]
+    squares -= 2 * _dot(x, y)
+    np.sqrt(np.maximum(squares, 0.0, out=squares), out=squares)
+    return np.subtract(0.0, squares, out=squares)
 
 
 #: Scores of all vectors (rows of the first) for all queries (rows of the second).
@@ -66,20 +70,36 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     place = np.argsort(ids, kind="stable").argsort(kind="stable")
     scores = np.floor(scores * 10**DIGITS + 0.5)
     last = 2.0**62 / len(ids)  # what is beyond comes first or last, as what isn't a number comes last
-    ranked = np.clip(np.nan_to_num(scores, nan=-last, posinf=last, neginf=-last), -last, last)
-    key = (-ranked).astype(np.int64) * len(ids) + place[None]
+    ranked = np.nan_to_num(scores, nan=-last, posinf=last, neginf=-last)
+    np.clip(ranked, -last, last, out=ranked)
+    key = np.negative(ranked, out=ranked).astype(np.int64)
+    key *= len(ids)
+    key += place
     k = min(k, len(ids))
     at = np.argpartition(key, k - 1, axis=1)[:, :k] if k < len(ids) else np.broadcast_to(np.arange(k), (len(scores), k))
     return np.repeat(np.arange(len(scores)), k), ids[at].ravel(), np.take_along_axis(scores, at, axis=1).ravel() / 10**DIGITS
 
 
+def _best_by_tiles(score: Callable, x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_best`` of all vectors ``x`` for the queries ``y``, of which only ``TILE`` are scored at a time: the best of the tiles' best."""
+    if len(ids) <= TILE:
+        return _best(ids, score(x, y), k)
+    found = [_best(ids[a : a + TILE], score(x[a : a + TILE], y), k) for a in range(0, len(ids), TILE)]
+    vec, value = (np.concatenate([f[i].reshape(len(y), -1) for f in found], axis=1) for i in (1, 2))
+    k = min(k, vec.shape[1])
+    at = np.lexsort((vec, np.where(np.isnan(value), np.inf, -value)), axis=1)[:, :k]
+    return np.repeat(np.arange(len(y)), k), np.take_along_axis(vec, at, axis=1).ravel(), np.take_along_axis(value, at, axis=1).ravel()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot") -> DataFrame:
     """query_id, vec_id, score, rank: the ``k`` best vectors of each query, the lesser vec_id of equals.
 
     An exhaustive scan, as exact results need. Vectors and queries are packed, frames of each to a row, and each frame of vectors is multiplied with all queries, which go to all tasks
-    in passes of ``PASS`` bytes at most; it keeps the ``k`` best of each query by partial selection. So vectors are read once a pass, and what is shuffled is k rows a query and frame, not a row a pair.
+    in passes of ``PASS`` bytes at most, in blocks and tiles of bounded size; it keeps the ``k`` best of each query by partial selection. So vectors are read once a pass, and what is shuffled is k rows a query and frame, not a row a pair.
     """
     score = SCORES[metric]
+    # in force when the result is run; Spark's own bound is 64 MB, and each of an executor's tasks holds a batch on both sides
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     asked = queries.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     width, own_width = _width(rows), _width(asked)
@@ -93,7 +113,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot")
                 ids, own = (np.frombuffer(b.column(c)[i].as_py(), np.int64) for c in ("ids", "q_ids"))
                 x, y = (np.frombuffer(b.column(c)[i].as_py(), w).astype(np.float64).reshape(len(n), -1) for c, n, w in (("vectors", ids, width), ("q_vectors", own, own_width)))
                 for a in range(0, len(own), BLOCK):
-                    row, vec, value = _best(ids, score(x, y[a : a + BLOCK]), k)
+                    row, vec, value = _best_by_tiles(score, x, y[a : a + BLOCK], ids, k)
                     yield pa.RecordBatch.from_pydict({"query_id": own[a : a + BLOCK][row], "vec_id": vec, "score": value})
 
     def best(part: DataFrame) -> DataFrame:

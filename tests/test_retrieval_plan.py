@@ -48,6 +48,28 @@ def test_nearest_equals_all_pairs(spark, monkeypatch, metric, kind):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("metric", ["dot", "cosine", "l2"])
+def test_tiles_of_a_frame_give_what_the_frame_gives(monkeypatch, metric):
+    r = np.random.default_rng(3)
+    x, ids = np.repeat(r.standard_normal((60, 4)), 5, axis=0), r.permutation(300)
+    x[7] = 0
+    y = x[::9]
+    whole = V._best(ids, V.SCORES[metric](x, y), 9)
+    for tile in (1, 8, 70, 299):
+        monkeypatch.setattr(V, "TILE", tile)
+        tiled = V._best_by_tiles(V.SCORES[metric], x, y, ids, 9)
+        row = lambda found: sorted(zip(found[0].tolist(), found[1].tolist(), np.nan_to_num(found[2], nan=-9).round(6).tolist()))
+        assert row(tiled) == row(whole)
+
+
+def test_a_task_scores_few_pairs_at_a_time(monkeypatch):
+    sizes = []
+    score = lambda x, y: sizes.append(len(x) * len(y)) or V.SCORES["l2"](x, y)
+    x = np.random.default_rng(1).standard_normal((10_000, 4))
+    V._best_by_tiles(score, x, x[:256], np.arange(10_000), 6)
+    assert sum(sizes) == 2_560_000 and max(sizes) <= 256 * 2048
+
+
 def test_nulls_and_empty_sides(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (None, [1.0, 1.0]), (3, [0.0, 0.0])], TYPES.format("float"))
     assert sorted((r.query_id, r.vec_id) for r in V.nearest(df, df, 5).collect()) == [(1, 1), (1, 3), (3, 1), (3, 3)]
