@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import SNIPPET, STUDENT_MODE, TEACHER_MODE
@@ -47,51 +48,70 @@ SCALARS = (
 )
 
 
+def _batch(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
+
+
 class PackedChunks:
-    """Rows (key, at, part) of one partition in order of ``at`` as chunks of at most ``WORDS`` words; a longer part stands alone. One chunk is held at a time."""
+    """Rows (key, at, part) of one partition in order of ``at``, a batch at a time, as chunks of at most ``WORDS`` words; a longer part stands alone. One batch and its chunks are held at a time."""
 
     def __init__(self) -> None:
         self.key, self.number, self.parts, self.words = None, 0, [], 0
 
-    def eval(self, row: Row) -> Iterator[tuple]:
-        n = len(row["part"].split())
-        if self.parts and self.words + n > WORDS:
-            yield self._closed()
-        self.key = row["key"]
-        self.parts.append(row["part"])
-        self.words += n
-
-    def terminate(self) -> Iterator[tuple]:
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, part in zip(rows.column("key").to_pylist(), rows.column("part").to_pylist()):
+            n = len(part.split())
+            if self.parts and self.words + n > WORDS:
+                out.append(self._closed())
+            self.key = key
+            self.parts.append(part)
+            self.words += n
+        if out:
+            yield self._table(out)
+
+    def terminate(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
-            yield self._closed()
+            yield self._table([self._closed()])
 
     def _closed(self) -> tuple:
         out = self.key, self.number, " ".join(self.parts), len(self.parts)
         self.number, self.parts, self.words = self.number + 1, [], 0
         return out
 
+    def _table(self, rows: list[tuple]) -> pa.RecordBatch:
+        return _batch(rows, key=pa.int64(), chunk_index=pa.int32(), text=pa.string(), sentence_count=pa.int32())
+
 
 class LineBlocks:
-    """Rows (key, at, flat, kind) of one partition in order of ``at`` as blocks: runs of paragraph or table lines, each heading and list item alone; blank lines end a run. One block is held at a time."""
+    """Rows (key, at, flat, kind) of one partition in order of ``at``, a batch at a time, as blocks: runs of paragraph or table lines, each heading and list item alone; blank lines end a run. One batch and its blocks are held at a time."""
 
     def __init__(self) -> None:
         self.key, self.kind, self.number, self.lines = None, None, 0, []
 
-    def eval(self, row: Row) -> Iterator[tuple]:
-        kind = row["kind"]
-        if kind != self.kind or kind in ("heading", "list_item"):
-            yield from self._closed()
-            self.number += 1
-        self.key, self.kind = row["key"], kind
-        self.lines.append(row["flat"])
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, flat, kind in zip(*(rows.column(c).to_pylist() for c in ("key", "flat", "kind"))):
+            if kind != self.kind or kind in ("heading", "list_item"):
+                out += self._closed()
+                self.number += 1
+            self.key, self.kind = key, kind
+            self.lines.append(flat)
+        if out:
+            yield self._table(out)
+
+    def terminate(self) -> Iterator[pa.RecordBatch]:
+        if out := self._closed():
+            yield self._table(out)
 
-    def terminate(self) -> Iterator[tuple]:
-        yield from self._closed()
+    def _closed(self) -> list[tuple]:
+        lines, self.lines = self.lines, []
+        if not lines or self.kind == "blank":
+            return []
+        return [(self.key, self.number, self.kind, len(lines), ("\n" if self.kind == "table" else " ").join(lines))]
 
-    def _closed(self) -> Iterator[tuple]:
-        if self.lines and self.kind != "blank":
-            yield self.key, self.number, self.kind, len(self.lines), ("\n" if self.kind == "table" else " ").join(self.lines)
-        self.lines = []
+    def _table(self, rows: list[tuple]) -> pa.RecordBatch:
+        return _batch(rows, key=pa.int64(), block=pa.int64(), element_type=pa.string(), lines=pa.int64(), text=pa.string())
 
 
 TABLES = {
@@ -106,5 +126,5 @@ def registered(spark: SparkSession) -> SparkSession:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returned} RETURN {body}")
     spark.udf.register("sequence_ratio", sequence_ratio)
     for name, (kind, columns) in TABLES.items():
-        spark.udtf.register(name, F.udtf(kind, returnType=columns))
+        spark.udtf.register(name, F.arrow_udtf(kind, returnType=columns))
     return spark

@@ -48,3 +48,27 @@ def test_table_functions_over_partitions(spark):
         by.setdefault(r.key, []).append((r.i, r.c.text, r.c.n))
     assert {k: sorted(v) for k, v in got.items()} == by
     assert spark.sql("SELECT * FROM packed_chunks(TABLE(SELECT * FROM {parts} WHERE key > 9) PARTITION BY key ORDER BY at)", parts=parts).count() == 0
+
+
+def test_table_functions_take_batches_and_go_on_over_them(spark):
+    """Rows come in batches, not one by one, and a key of several batches is cut as one."""
+    from lectern.sources import sql_functions
+
+    registered(spark)
+    parts = [(1, i, " ".join(["w"] * (i % 40))) for i in range(25_000)] + [(2, 0, "alone"), (3, 0, "x " * 500)]
+    rows = spark.createDataFrame(parts, "key long, at int, part string")
+    got = spark.sql("SELECT * FROM packed_chunks(TABLE({rows}) PARTITION BY key ORDER BY at)", rows=rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan
+    want, held, words = [], [], 0
+    for part in (p for k, _, p in parts if k == 1):
+        n = len(part.split())
+        if held and words + n > sql_functions.WORDS:
+            want.append(" ".join(held))
+            held, words = [], 0
+        held.append(part)
+        words += n
+    want.append(" ".join(held))
+    out = sorted(map(tuple, got.collect()))
+    assert [r[2] for r in out if r[0] == 1] == want and [r[1] for r in out if r[0] == 1] == list(range(len(want)))
+    assert [r[1:] for r in out if r[0] != 1] == [(0, "alone", 1), (0, "x " * 500, 1)]
