@@ -14,7 +14,7 @@ from lectern.llm.language import UNDETERMINED, predict_language, train_language
 from lectern.llm.packing import pack_documents
 from lectern.llm.pii import find_personal, sanitised
 from lectern.llm.similar import similar_documents
-from lectern.llm.substrings import remove_repeats, with_dense
+from lectern.llm.substrings import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents of a lower score are in no language that the model knows.
@@ -61,19 +61,19 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Bytes of a character that a cut has split are left out.
     """
     checkpointing(spark)
-    rows = stored(without_repeats(with_dense(docs.select(*COLUMNS), WORDS + 1, PASSAGE).withColumn("cuts", F.lit(0)), PASSAGE), "cut")
+    rows = stored(without_repeats(docs.select(*COLUMNS).withColumn("cuts", F.lit(0)), PASSAGE, (WORDS + 1, PASSAGE)), "cut")
     dense = rows.where("dense")
     if not dense.isEmpty():
-        rows = rows.where("not dense").unionByName(without_repeats(dense, SHORTEST))
+        rows = rows.where("not dense").drop("dense").unionByName(without_repeats(dense, SHORTEST))
     return rows.where((F.col("cuts") == 0) | F.rlike("text", F.lit(r"\S"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def without_repeats(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` without the passages that strings of ``size`` bytes find; their number is added to cuts."""
-    rows = remove_repeats(docs, size, size // 2, carry=("lang", "source", "dense", "cuts"), words=WORDS)
+def without_repeats(docs: DataFrame, size: int, dense: tuple[int, int] | None = None) -> DataFrame:
+    """``docs`` without the passages that strings of ``size`` bytes find; their number is added to cuts. With ``dense`` as ``remove_repeats`` takes it."""
+    rows = remove_repeats(docs, size, size // 2, carry=("lang", "source", "cuts"), words=WORDS, dense=dense)
     text = F.try_validate_utf8(F.col("kept").cast("string"))
     broken = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    return rows.select("doc_id", F.coalesce(text, broken).alias("text"), "lang", "source", "dense", (F.col("cuts") + F.size("spans")).alias("cuts"))
+    return rows.select("doc_id", F.coalesce(text, broken).alias("text"), "lang", "source", (F.col("cuts") + F.size("spans")).alias("cuts"), *(["dense"] if dense else []))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

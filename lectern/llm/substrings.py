@@ -57,7 +57,7 @@ def rolling(data: np.ndarray, size: int) -> np.ndarray:
     if n < size:
         return np.zeros(0, np.uint64)
     if not _TABLES or len(_TABLES[0]) < n:
-        most = max(n, 1 << 20)
+        most = 1 << max(n - 1, 1 << 16).bit_length()
         _TABLES[:] = _powers(BASE, most), _powers(pow(BASE, -1, 1 << 64), most)
     up, down = _TABLES
     sums = np.zeros(n + 1, np.uint64)
@@ -246,18 +246,27 @@ def worded_runs(runs: list[dict], data: bytes, length: int, words: int) -> list[
     return [r for r in out if enough(r["a"], r["b"] - 1 + length)]
 
 
+def is_dense(data: bytes, words: int, size: int) -> bool:
+    """Whether some ``words`` words in a row of the text lie in fewer than ``size`` bytes."""
+    space = np.concatenate([[True], np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)), [True]])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    return len(starts) >= words and bool((ends[words - 1 :] - starts[: len(starts) - words + 1] < size).any())
+
+
 def _spaced(data: bytes, at: int) -> bool:
     """Whether a word ends or begins at this place, or none is near."""
     return data[at - 1 : at].isspace() or data[at : at + 1].isspace()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: tuple[str, ...] = (), words: int | None = None, dense: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, the columns ``carry``, kept (binary), spans (array of struct a, b: bytes removed) and n_bytes of every row of ``docs`` (doc_id, text).
 
     A byte goes if a ``length``-byte string that covers it starts anywhere else too, in the same text or another. Null
     texts are empty; texts shorter than ``length`` stay whole; repeated rows are occurrences like others; other
     columns aren't read; an empty table gives no rows. ``kept`` may end within a character: it is bytes. With ``words``,
     only unbroken runs of such strings go that hold more than so many whole words, or ``LENGTH`` bytes (texts without spaces).
+    With ``dense``, the words and bytes of ``is_dense``, a last column dense tells that of the whole text; it is found here, as a step of its own
+    before would keep a second Python worker in every task that reads the texts.
     """
     checkpointing(docs.sparkSession)
     texts = signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text"))
@@ -265,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     whole = texts.join(runs, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("sig") == F.col("r_sig")), "left").select("doc_id", *carry, "text", "runs")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept, spans, sizes = [], [], []
+        kept, spans, sizes, flags = [], [], [], []
         for data, own in zip(_bytes_of(batch), batch.column("runs").to_pylist()):
             own = own or []
             cut = removed_spans(own if words is None else worded_runs(own, data, length, words), length)
@@ -276,28 +285,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
             kept.append(b"".join([*parts, data[at:]]))
             spans.append([{"a": a, "b": b} for a, b in cut])
             sizes.append(len(data))
+            if dense:
+                flags.append(is_dense(data, *dense))
         first = [batch.column(i) for i in range(1 + len(carry))]
-        return pa.RecordBatch.from_arrays([*first, pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(sizes, pa.int64())], ["doc_id", *carry, "kept", "spans", "n_bytes"])
+        return pa.RecordBatch.from_arrays([*first, pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(sizes, pa.int64()), *([pa.array(flags, pa.bool_())] if dense else [])], ["doc_id", *carry, *(m.name for m in made)])
 
     span = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
-    made = [T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(span)), T.StructField("n_bytes", T.LongType())]
+    made = [T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(span)), T.StructField("n_bytes", T.LongType()), *([T.StructField("dense", T.BooleanType())] if dense else [])]
     return map_texts(whole, "text", T.StructType([*whole.schema.fields[: 1 + len(carry)], *made]), work)
 
 
-def with_dense(docs: DataFrame, words: int, size: int) -> DataFrame:
-    """``docs`` with dense: whether some ``words`` words in a row of the text lie in fewer than ``size`` bytes."""
-
-    def is_dense(data: bytes) -> bool:
-        space = np.concatenate([[True], np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)), [True]])
-        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-        return len(starts) >= words and bool((ends[words - 1 :] - starts[: len(starts) - words + 1] < size).any())
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([is_dense(d) for d in _bytes_of(batch)], pa.bool_())], [*batch.schema.names, "dense"])
-
-    return map_texts(docs, "text", T.StructType([*docs.schema.fields, T.StructField("dense", T.BooleanType())]), work)
-
-
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of all documents without 400-byte strings that occur again, as digests."""
     rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lectern.llm import similar
+from lectern.llm import similar, substrings
 from lectern.llm.simhash import fingerprint
 from lectern.llm.tokens import byte_encoder
 from tests.llm.test_pii import brute as personal
@@ -165,3 +165,22 @@ def test_pairs_of_a_crowd_come_whole_from_its_parts(spark):
     want = sorted((i, j) for i in range(90) for j in range(i + 1, 90) if close(i, j))
     for size in (10, 1000):
         assert sorted((min(x.a, x.b), max(x.a, x.b)) for x in similar.crowded_pairs(rows, heads, size).collect()) == want
+
+
+def test_repeats_keeps_one_python_step_in_a_task(spark, monkeypatch):
+    """Two in a row are two workers in a task, and idle ones stay for all later stages."""
+    plans, write = [], substrings.stored
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df, name):
+        plans.append(shown(df))
+        return write(df, name)
+
+    for module in (substrings, corpus_pipeline):
+        monkeypatch.setattr(module, "stored", watched)
+    docs = spark.createDataFrame([(i, f"{i} " * 60 + " ".join("abcdefghij" * 9), "en", "s", 0) for i in range(4)], SCHEMA)
+    plans.append(shown(corpus_pipeline.repeats(spark, docs, "")))
+    for plan in plans:
+        for stage in re.split(r"\bExchange\b", plan):
+            assert stage.count("MapInArrow") <= 1 + plan.count("Union")
+    assert any("MapInArrow" in p for p in plans)

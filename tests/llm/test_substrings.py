@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lectern.llm.substrings import remove_repeats, repeated_in_shard
+from lectern.llm.substrings import is_dense, remove_repeats, repeated_in_shard
 from lectern.llm.suffixes import permuted_common_prefixes, suffix_array
 
 
@@ -62,3 +62,11 @@ def test_documents_equal_brute_force(spark, length, gram, crowd):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_dense_texts_are_told_where_they_are_cut(spark):
+    texts = [None, "", "a b c", "a  bbbbbb\tc", "ab cd", "aaaaaa b c d"]
+    want = [False, False, True, False, False, True]
+    assert [is_dense((t or "").encode(), 3, 6) for t in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.dense for r in remove_repeats(docs, 40, 20, dense=(3, 6)).orderBy("doc_id").collect()] == want
