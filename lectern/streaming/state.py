@@ -19,28 +19,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Latest(StatefulProcessor):
-    """The payload of the greatest order of each key, given out whenever there is a greater one; rows without an order are left out."""
-
-    def __init__(self, key: str):
-        self.key = key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "at long, payload string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = best = self.row.get() if self.row.exists() else None
-        for frame in rows:
-            frame = frame[frame["at"].notna()]
-            if len(frame):
-                top = frame.loc[frame["at"].idxmax()]
-                if best is None or top["at"] > best[0]:
-                    best = (int(top["at"]), top["payload"])
-        if best is not held:
-            self.row.update(best)
-            yield pd.DataFrame([(*key, *best)], columns=[self.key, "at", "payload"])
-
-
 class Buffers(StatefulProcessor):
     """The parts of each key in their order as one text of ``limit`` characters at most, given out whenever it changes.
 
@@ -115,17 +93,14 @@ class Pending(StatefulProcessor):
         yield pd.DataFrame(out, columns=["msg_id", "session_id", "pending", "reply"])
 
 
-#: Times in payloads with all their digits.
-EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
-
-
 def stream_latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of the greatest whole number ``order`` of each key of a stream, for output in update mode."""
-    rest = [f for f in rows.schema if f.name != key]
-    packed = rows.select(key, F.col(order).cast("long").alias("at"), F.to_json(F.struct(*[f.name for f in rest]), EXACT).alias("payload"))
-    schema = T.StructType([rows.schema[key], T.StructField("at", T.LongType()), T.StructField("payload", T.StringType())])
-    last = packed.groupBy(key).transformWithStateInPandas(Latest(key), schema, "Update", "None")
-    return last.select(key, F.from_json("payload", T.StructType(rest), EXACT).alias("row")).select(key, "row.*")
+    """The row of the greatest whole number ``order`` of each key of a stream, for output in update mode; rows without an order are left out.
+
+    A key's state is that row alone. It is an aggregate, without a timer or a call of Python for each key, and gives a key's row out whenever rows of it come.
+    """
+    at = F.col(order).cast("long")
+    rest = [f.name for f in rows.schema if f.name != key]
+    return rows.where(at.isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("row")).select(key, "row.*")
 
 
 def stream_buffers(parts: DataFrame, key: str, order: str, text: str, glue: str = "\n\n", limit: int = 12_000) -> DataFrame:

@@ -120,3 +120,12 @@ def test_a_batch_that_is_written_again_is_written_over(spark):
     spark.createDataFrame([("a", 0, "half")], "key string, at long, text string").write.mode("append").parquet(f"{feed.out}/batch=1")
     feed.go([("a", 2, "y")])
     assert [tuple(r) for r in feed.last("key").collect()] == [("a", 2, "y")] and feed.rows().count() == 2
+
+
+def test_latest_rows_need_no_python_for_each_key(spark):
+    """A call for each key took most of the query's time."""
+    path = scratch_path(spark, "in")
+    spark.createDataFrame([("a", 1, "x")], "key string, at long, text string").write.parquet(path)
+    found = K.stream_latest(spark.readStream.schema("key string, at long, text string").parquet(path), "key", "at")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan and "Python" not in plan
