@@ -11,8 +11,9 @@ A key's contents are first compared with the most central of them each, which sh
 group's copies were made has all the group's common keys. Contents of one key that are not connected by then are compared with
 each other where a key has no more than ``CROWD`` of them. Where it has more, each is first compared with ``DRAWN`` of them, drawn by a hash of key
 and content, which connects most. What still isn't connected in such a key is then compared pair by pair too: its contents are dealt to parts of about
-``PART``, and each two parts meet in a task of their own (``crowded_pairs``). So no key loses a pair; the work grows with the square of a key's contents
-that are linked with none, the memory of a task doesn't.
+``PART``, and each two parts meet in a task of their own (``crowded_links``). There sketches are held against each other first. Contents with a partner by
+sketch meet again with all their shingles, and only links leave those tasks, at most one for each two roots. So no key loses a pair; comparisons grow with the square
+of a key's contents that are linked with none, rows and the memory of a task don't. A content of which too few shingles occur in any other of its task is in no pair.
 
 A pair is left out if the counts of shingles rule the similarity out or their sketches (a byte of each minimum) agree in under
 ``SKETCHED`` of the places, which a pair at 0.8 does with probability 2e-6; the others' texts are compared shingle by shingle, so that
@@ -21,10 +22,12 @@ no link is a guess.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +46,8 @@ SKETCHED = 0.6
 CROWD, DRAWN = 32, 2
 #: Contents of a crowded key in one part, on average, and how many of a part are held against another at a time.
 PART, ROWS_AT_ONCE = 1024, 64
+#: Where whole sets of shingles meet, a part has no more than ``PART`` times as many on average.
+MEAN = 512
 _random = np.random.default_rng(42)
 XORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 ODDS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -130,8 +135,8 @@ def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select(["a", "b"]).take(pa.array(found, pa.int64()))
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """(a, b) of two parts of a key, or of one with itself: contents of different roots whose counts and sketches may belong to similar ones."""
+def _met(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (x, y) of two parts of a key, or of one with itself, in blocks by x: contents of different roots whose counts and sketches may belong to similar ones."""
     low, high, part = (table.column(c).to_numpy() for c in ("low", "high", "part"))
     content, root, n = (table.column(c).to_numpy() for c in ("content", "root", "n"))
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
@@ -139,7 +144,6 @@ def _across(table: pa.Table) -> pa.Table:
     # rows of one root together, which aren't held against each other
     here = here[np.argsort(root[here], kind="stable")]
     there = np.flatnonzero(part == high)
-    found: list = [np.zeros((2, 0), np.int64)]
     for i in range(0, len(here), ROWS_AT_ONCE):
         own = here[i : i + ROWS_AT_ONCE]
         others = there[root[there] != root[own[0]]] if root[own[0]] == root[own[-1]] else there
@@ -150,19 +154,94 @@ def _across(table: pa.Table) -> pa.Table:
         for j in range(0, len(x), 1 << 14):
             a, b = x[j : j + (1 << 14)], y[j : j + (1 << 14)]
             near = (sketch[a] == sketch[b]).sum(axis=1) >= SKETCHED * BANDS * ROWS
-            found.append(np.stack([content[a[near]], content[b[near]]]))
+            yield a[near], b[near]
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """(a, b): the contents of all pairs of rows that ``_met`` has."""
+    content = table.column("content").to_numpy()
+    found = [np.zeros((2, 0), np.int64), *(content[np.stack(pair)] for pair in _met(table))]
     a, b = np.concatenate(found, axis=1)
     return pa.table({"a": a, "b": b})
 
 
-def crowded_pairs(rows: DataFrame, heads: DataFrame, size: int = PART) -> DataFrame:
-    """(a, b): all pairs of ``rows`` (key, content, root, k: the key's contents) of one key and different roots that counts and sketches allow; pairs may come twice."""
+def _asked(table: pa.Table) -> pa.Table:
+    """(key, content) of the rows that are in any pair of ``_met``."""
+    asked = np.zeros(len(table), bool)
+    for pair in _met(table):
+        asked[np.concatenate(pair)] = True
+    return table.select(["key", "content"]).filter(pa.array(asked))
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """(a, b): links between contents whose shingles are alike, one for each two roots that they connect; never all pairs."""
+    content, part, low, high = (table.column(c).to_numpy() for c in ("content", "part", "low", "high"))
+    sets = table.column("shingles").to_pylist()
+    n = np.array([len(x) // 8 for x in sets], np.int64)
+    starts = np.cumsum(n) - n
+    values, ids = np.unique(np.frombuffer(b"".join(sets), np.int64), return_inverse=True)
+    of = np.repeat(np.arange(len(n)), n)
+    # of a row's shingles, those that another row holds against which it may be held: no pair has more in common
+    sides = [np.bincount(ids[(part == p)[of]], minlength=len(values)) for p in (low[0], high[0])]
+    held = sides[0] > 1 if low[0] == high[0] else (sides[0] > 0) & (sides[1] > 0)
+    most = np.bincount(of, weights=held[ids], minlength=len(n)) if len(of) else np.zeros(len(n))
+    _, group = np.unique(table.column("root").to_numpy(), return_inverse=True)
+    marked = np.zeros(len(values), bool)
+    found = []
+    for a, b in _met(table):
+        able = np.minimum(most[a], most[b]) >= LEAST / (1 + LEAST) * (n[a] + n[b]) - SLACK
+        a, b = a[able], b[able]
+        for x, others in zip(a[np.flatnonzero(np.diff(a, prepend=-1))], np.split(b, np.flatnonzero(np.diff(a)) + 1)):
+            others = others[group[others] != group[x]]
+            if not len(others):
+                continue
+            own, width = ids[starts[x] : starts[x] + n[x]], n[others]
+            first = np.cumsum(width) - width
+            at = np.arange(width.sum()) + np.repeat(starts[others] - first, width)
+            marked[own] = True
+            both = np.add.reduceat(marked[ids[at]], first, dtype=np.int64)
+            marked[own] = False
+            for y in others[both >= LEAST * (n[x] + width - both) - SLACK]:
+                if group[y] != group[x]:
+                    found.append((content[x], content[y]))
+                    group[group == group[y]] = group[x]
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
+
+
+def _meetings(rows: DataFrame, heads: DataFrame, size: int) -> GroupedData:
+    """``rows`` (key, content, root, k) with the columns of ``heads``, dealt to parts of about ``size`` of a key's k; a group is two parts of a key or one with itself."""
     parts = F.greatest(F.ceil(F.col("k") / size), F.lit(1)).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    sent = dealt.join(heads.select("content", "n", "sketch"), "content").select("key", "content", "root", "n", "sketch", "part", other)
-    sent = sent.select("key", "content", "root", "n", "sketch", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    return sent.groupBy("key", "low", "high").applyInArrow(_across, "a long, b long")
+    own = ["key", "content", "root", "part", *[c for c in heads.columns if c != "content"]]
+    sent = dealt.join(heads, "content").select(*own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return sent.select(*own, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).groupBy("key", "low", "high")
+
+
+def crowded_pairs(rows: DataFrame, heads: DataFrame, size: int = PART) -> DataFrame:
+    """(a, b): all pairs of ``rows`` (key, content, root, k: the key's contents) of one key and different roots that counts and sketches allow; pairs may come twice."""
+    return _meetings(rows, heads.select("content", "n", "sketch"), size).applyInArrow(_across, "a long, b long")
+
+
+def crowded_links(rows: DataFrame, heads: DataFrame, docs: DataFrame, size: int = PART) -> DataFrame:
+    """(a, b): links, stored, that connect all roots which similar texts of one key of ``rows`` (key, content, root, k: the key's contents) connect.
+
+    The pairs of ``crowded_pairs`` are compared shingle by shingle where they meet, so that only links leave a task. Shingles are sent for those contents alone that are in such a pair.
+    """
+    heads = heads.select("content", "sig", "n", "sketch")
+    asked = stored(_meetings(rows, heads.drop("sig"), size).applyInArrow(_asked, "key long, content long").distinct(), "asked")
+    needed = sized(stored(heads.join(asked.select("content").distinct(), "content", "left_semi"), "needed"), 100_000)
+    texts = docs.select("sig", "text").join(needed.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingles(t)).tobytes() for t in texts_of(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(sets, pa.binary())], ["sig", "shingles"])
+
+    sets = stored(map_texts(texts, "text", "sig long, shingles binary", work, 1 << 20), "sets")
+    heads = stored(needed.join(sets, "sig").drop("sig"), "whole")
+    left = rows.select("key", "content", "root").join(asked, ["key", "content"], "left_semi")
+    weight = left.join(needed, "content").groupBy("key").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / MEAN)).alias("k"))
+    return stored(_meetings(left.join(weight, "key"), heads, size).applyInArrow(_linked, "a long, b long").distinct(), "linked")
 
 
 def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
@@ -222,7 +301,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         roots = grown(roots, rest)
     if not many.isEmpty():
         left = unconnected(roots, many)
-        last = verified(crowded_pairs(left, heads), heads, docs) if not left.isEmpty() else left
+        last = crowded_links(left, heads, docs) if not left.isEmpty() else left
         if not last.isEmpty():
             roots = grown(roots, last)
     return own.select("doc_id", "sig", "content").join(roots, "content", "left").select("doc_id", "sig", "content", F.coalesce("root", "content").alias("root"))

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import similar, substrings
@@ -167,6 +168,76 @@ def test_pairs_of_a_crowd_come_whole_from_its_parts(spark):
         assert sorted((min(x.a, x.b), max(x.a, x.b)) for x in similar.crowded_pairs(rows, heads, size).collect()) == want
 
 
+def _crowd(r, n, words, least, most):
+    """``n`` texts that each differ in ``least`` to ``most`` words from one stem."""
+    stem = [f"w{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(stem)
+        for at in r.sample(range(words), r.randint(least, most)):
+            own[at] = f"x{r.randrange(10**9)}"
+        out.append(" ".join(own))
+    return out
+
+
+def _alike(texts):
+    sets = [set(similar.shingles(t).tolist()) for t in texts]
+    return [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def test_links_of_a_crowd_connect_what_its_similar_pairs_connect(spark):
+    """One part, several, one of a few contents; some roots are known, some texts are of other lengths."""
+    r = random.Random(12)
+    texts = _crowd(r, 70, 150, 1, 7) + [" ".join(t.split()[:130]) for t in _crowd(r, 10, 150, 0, 2)] + [" ".join(f"y{r.randrange(10**9)}" for _ in range(150)) for _ in range(5)]
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("sig", F.xxhash64("text"))
+    own = similar._contents(docs).cache()
+    number = {x.content: x.doc_id for x in own.collect()}
+    node = {i: c for c, i in number.items()}
+    assert len(number) == len(texts)
+    pairs = _alike(texts)
+    want = least_of(len(texts), pairs)
+    assert 3 < len(set(want)) - 5 < 60 < len(pairs)
+    known = pairs[:5]
+    start = least_of(len(texts), known)
+    rows = spark.createDataFrame([(5, node[i], node[start[i]], len(texts)) for i in range(len(texts))], "key long, content long, root long, k long")
+    for size in (15, 1000):
+        found = [(number[x.a], number[x.b]) for x in similar.crowded_links(rows, own, docs, size).collect()]
+        assert {(min(p), max(p)) for p in found} <= set(pairs)
+        assert least_of(len(texts), known + found) == want
+        assert size < 1000 or len(found) == len(set(start)) - len(set(want))
+
+
+def least_of(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+    return root
+
+
+def test_near_dedup_makes_no_rows_of_a_crowds_pairs(spark, monkeypatch):
+    """Texts of one stem, none of which is near another, share their keys: rows in proportion to them, not to their pairs."""
+    texts, write, rows = _crowd(random.Random(13), 400, 200, 3, 4), similar.stored, {}
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similar, "stored", counted)
+    near = _alike(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert len(near) < 1000
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(least_of(len(texts), near))
+    # a content's keys, the central ones of them and those drawn of them
+    assert max(rows.values()) <= similar.BANDS * (1 + similar.DRAWN) * len(texts) < len(texts) * (len(texts) - 1) / 4, rows
+
+
 def test_repeats_keeps_one_python_step_in_a_task(spark, monkeypatch):
     """Two in a row are two workers in a task, and idle ones stay for all later stages."""
     plans, write = [], substrings.stored
