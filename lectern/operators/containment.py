@@ -70,10 +70,10 @@ def held_whole(short: DataFrame, long: DataFrame) -> DataFrame:
 
 def holding(texts: DataFrame, bank: DataFrame, counts: DataFrame) -> DataFrame:
     """text_id and phrase_id where the text holds the phrase."""
-    own = bank.select("id", F.explode(keys(F.col("text"))).alias("gram"))
-    rarest = own.join(counts, "gram").groupBy("id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    rarest = rarest.unionByName(bank.where(F.length("text") < GRAM).select("id", F.xxhash64("text").alias("gram"))).withColumnRenamed("id", "phrase_id")
-    phrases = bank.toDF("phrase_id", "phrase")
+    phrases = bank.toDF("phrase_id", "phrase", "sig")
+    own = bank.select("sig", "text").distinct().select("sig", F.explode(keys(F.col("text"))).alias("gram"))
+    rarest = own.join(counts, "gram").groupBy("sig").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    rarest = rarest.unionByName(bank.where(F.length("text") < GRAM).select("sig", F.col("sig").alias("gram")).distinct())  # sig is such a phrase's hash as a whole
 
     headless = F.when(F.size(head_pieces(F.col("text"))) == 0, F.least(F.length("text"), F.lit(GRAM)))
     facts = bank.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"), F.collect_set(headless).alias("sizes")).first()  # GRAM sizes at most
@@ -81,26 +81,32 @@ def holding(texts: DataFrame, bank: DataFrame, counts: DataFrame) -> DataFrame:
     # strings are hashed behind the explode: a lambda in it would take it out of generated code and copy the text for each of them
     looked = texts.select("id", "text", F.explode(found).alias("part")).select(F.col("id").alias("text_id"), "text", F.xxhash64("part").alias("gram"))
     if facts.n <= SENT and facts.characters <= SENT_CHARACTERS:
-        pairs = looked.join(F.broadcast(rarest.join(phrases, "phrase_id")), "gram")
+        pairs = looked.join(F.broadcast(rarest.join(phrases, "sig")), "gram")
     else:
-        pairs = looked.select("text_id", "gram").join(rarest, "gram").join(phrases, "phrase_id").join(texts.toDF("text_id", "text"), "text_id")
+        dealt = texts.select(F.col("id").alias("text_id"), "text", F.xxhash64("text").alias("text_sig"))
+        few = dealt.select("text_sig", F.explode(_hashes(found)).alias("gram"))
+        pairs = few.join(rarest, "gram").select("text_sig", "sig").distinct().join(phrases, "sig").join(dealt, "text_sig")
     return pairs.where(F.contains("text", "phrase")).select("text_id", "phrase_id")
 
 
 def held(short: DataFrame, bank: DataFrame, listed: DataFrame, counts: DataFrame) -> DataFrame:
     """text_id and phrase_id where the phrase holds the text, of ``GRAM`` characters or more."""
-    own = short.select("id", F.explode(keys(F.col("text"))).alias("gram")).join(sent(counts), "gram", "left")
-    known = own.groupBy("id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unknown")).where("unknown = 0")
-    pairs = known.select(F.col("id").alias("text_id"), "gram").join(listed.withColumnRenamed("id", "phrase_id"), "gram").select("text_id", "phrase_id")
-    pairs = pairs.join(bank.toDF("phrase_id", "phrase"), "phrase_id").join(short.toDF("text_id", "text"), "text_id")
+    short = short.select("id", "text", F.xxhash64("text").alias("text_sig"))
+    own = short.select("text_sig", "text").distinct().select("text_sig", F.explode(keys(F.col("text"))).alias("gram")).join(sent(counts), "gram", "left")
+    known = own.groupBy("text_sig").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unknown")).where("unknown = 0")
+    pairs = known.select("text_sig", "gram").join(listed, "gram").select("text_sig", "sig")
+    pairs = pairs.join(bank.toDF("phrase_id", "phrase", "sig"), "sig").join(short.withColumnRenamed("id", "text_id"), "text_sig")
     return pairs.where(F.contains("phrase", "text")).select("text_id", "phrase_id")
 
 
 def containing(texts: DataFrame, bank: DataFrame) -> DataFrame:
-    """text_id and phrase_id of every text and phrase (both id, text) of which one holds the other; pairs may come twice. Null and empty ones hold nothing and are in nothing."""
+    """text_id and phrase_id of every text and phrase (both id, text) of which one holds the other; pairs may come twice. Null and empty ones hold nothing and are in nothing.
+
+    Ids may be null or repeated: inside, a text goes by its hash (sig).
+    """
     texts, bank = (x.select("id", text_of(F.col("text")).alias("text")) for x in (texts, bank))
-    bank = bank.where("text <> ''")
-    listed = bank.select("id", F.explode(grams(F.col("text"))).alias("gram"))
+    bank = bank.where("text <> ''").withColumn("sig", F.xxhash64("text"))
+    listed = bank.select("sig", "text").distinct().select("sig", F.explode(grams(F.col("text"))).alias("gram"))
     counts = listed.groupBy("gram").agg(F.count("*").alias("n"))
 
     longest = bank.agg(F.max(F.length("text"))).scalar()

@@ -78,3 +78,11 @@ def test_a_long_text_is_made_once_and_only_its_heads_are_looked_up(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(" marked") == 1 and [tuple(r) for r in found.collect()] == [(1, 1)]
     assert texts.select(head_pieces(F.col("text")).alias("h")).first().h == ["words ", "of tex", "text t", "that h", "hold a", "a phra", "phrase", "or not", "not ma", "marked"]
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_repeated_and_missing_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(containment, "SENT", sent)
+    bank = [(1, "the first phrase of all"), (1, "another phrase by that id"), (None, "a phrase without id"), (2, "the first phrase of all"), (3, "of"), (3, "id")]
+    texts = [(7, "here is the first phrase of all of them"), (7, "and another phrase by that id too"), (None, "this is a phrase without id"), (8, "first phrase"), (8, "by that id"), (None, "phrase of all"), (None, "without id"), (9, "th"), (9, "ano")]
+    assert pairs(spark, texts, bank) == plain(texts, bank)
